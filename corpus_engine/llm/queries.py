@@ -18,6 +18,15 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_engine.llm.secrets import BASE, joined, scan
+
+    found = scan(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s.kind < len(BASE))
+    counts = [F.size(F.filter("spans", lambda s, i=i: s.kind == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
+    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_engine.llm.bpe import encode_decode
 
@@ -31,6 +40,25 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), threshold=4, width=4).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_engine.llm.licenses import scan
+
+    return scan(documents(spark, sf_dir))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_engine.llm.langid import fit, held_out, predict
+
+    docs = documents(spark, sf_dir)
+    return predict(docs, fit(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_engine.llm.decontaminate import contaminated
+
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_engine.llm.sharding import shard
 
@@ -39,8 +67,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
+    "op4_licenses": op4_licenses,
+    "op5_language": op5_language,
+    "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
 }
 
