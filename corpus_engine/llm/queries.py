@@ -23,8 +23,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = scan(documents(spark, sf_dir))
     base = F.filter("spans", lambda s: s.kind < len(BASE))
-    counts = [F.size(F.filter("spans", lambda s, i=i: s.kind == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
-    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+    def count(kind: int, name: str):
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{name}")
+
+    return found.select("doc_id", *[count(i, r.kind) for i, r in enumerate(BASE)], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
