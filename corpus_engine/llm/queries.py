@@ -56,6 +56,22 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, fit(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_engine.llm.substrings import remove_repeats
+
+    cut = remove_repeats(documents(spark, sf_dir), width=13)
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return cut.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_runindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_engine.llm.runindex import remove_repeats
+
+    cut = remove_repeats(documents(spark, sf_dir), length=200)
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return cut.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_engine.llm.decontaminate import contaminated
 
@@ -75,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_licenses": op4_licenses,
     "op5_language": op5_language,
+    "op7_substrings": op7_substrings,
+    "op8_runindex": op8_runindex,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
 }
