@@ -56,6 +56,32 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, fit(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of the text with its second half replaced by the start of the next document."""
+    import pyarrow as pa
+
+    from corpus_engine.llm.spotsigs import jaccard, signatures, text_form, with_next
+
+    def each(ids, own, following):
+        edited = [a[: len(a) - len(a) // 2] + b[: len(a) // 2] for a, b in zip(own, following, strict=True)]
+        sets = [signatures(x) for x in own] + [signatures(x) for x in following[-1:]]
+        changed = [signatures(x) for x in edited]
+        columns = {
+            "doc_id": pa.array(ids, pa.int64()),
+            "n_chars": pa.array(map(len, own), pa.int64()),
+            "edited": pa.array(edited, pa.string()),
+            "fingerprint": pa.array(map(text_form, sets[:-1]), pa.string()),
+            "edited_fingerprint": pa.array(map(text_form, changed), pa.string()),
+            "near_edited": pa.array([jaccard(a, b) for a, b in zip(sets, changed, strict=False)], pa.float64()),
+            "near_next": pa.array([jaccard(a, b) for a, b in zip(sets, sets[1:], strict=False)], pa.float64()),
+        }
+        return pa.table(columns)
+
+    schema = "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    found = with_next(documents(spark, sf_dir), schema, each)
+    return found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_engine.llm.substrings import remove_repeats
 
@@ -91,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_licenses": op4_licenses,
     "op5_language": op5_language,
+    "op6_spotsigs": op6_spotsigs,
     "op7_substrings": op7_substrings,
     "op8_runindex": op8_runindex,
     "op9_decontamination": op9_decontamination,
