@@ -65,8 +65,9 @@ def find(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     any_of = "|".join(f"(?:{r.pattern})" for r in rules)
     each = (
-        texts.where(text.rlike(any_of))
-        .select("blob", F.monotonically_increasing_id().alias("row"), F.explode(F.array(*[matches(i, r) for i, r in enumerate(rules)])).alias("r"))
+        texts.select("blob", "text", F.monotonically_increasing_id().alias("row"))  # also keeps the test below the ledger's joins
+        .where(text.rlike(any_of))
+        .select("blob", "row", F.explode(F.array(*[matches(i, r) for i, r in enumerate(rules)])).alias("r"))
         .select("blob", "row", "r.kind", "r.least", F.posexplode("r.m").alias("at", "m"))
     )
     end = F.sum(F.col("m.gap") + F.col("m.len")).over(Window.partitionBy("blob", "row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
