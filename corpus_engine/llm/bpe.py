@@ -162,9 +162,11 @@ def model(key: str, file_text: str) -> PrefixBpe:
     return _models[key]
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """(doc_id, ids, decoded): ids packed as little-endian unsigned 32-bit integers, decoded the text they stand for.
 
+    With keep_text the text itself is returned as well.
+
     The vocabulary file (a few MB, whatever the input) is read on the driver and broadcast.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -175,6 +177,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         for batch in batches:
             for b in slices(batch):
                 ids = [bpe.encode_packed(x or "") for x in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(map(bpe.decode_packed, ids), pa.string())], ["doc_id", "ids", "decoded"])
+                columns = {"doc_id": b.column(0), "ids": pa.array(ids, pa.binary()), "decoded": pa.array(map(bpe.decode_packed, ids), pa.string())}
+                yield pa.RecordBatch.from_pydict(columns | ({"text": b.column(1)} if keep_text else {}))
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, decoded string")
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, decoded string" + ", text string" * keep_text)
