@@ -37,9 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and survives the loss of an executor."""
+def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage and survives the loss of an executor.
+
+    narrow: for tables of few and short rows behind an exchange: a file for each core at most, not one for each
+    partition, since every open Parquet file takes memory outside the heap.
+    """
     spark = df.sparkSession
+    df = df.coalesce(spark.sparkContext.defaultParallelism) if narrow else df
     path = f"{shared_dir(spark)}/corpus_engine/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -23,6 +23,7 @@ from corpus_engine.llm.common import written
 UNITS = ("mm", "cm", "m", "km", "g", "kg", "mg", "t", "s", "ms", "min", "h", "l", "ml", "kb", "mb", "gb", "hz", "v", "w", "kw", "c", "f", "ft", "lb", "lbs", "oz", "mph", "eur", "usd", "percent", "meters", "metres", "miles", "inches", "hours", "minutes", "seconds", "days", "years", "dollars", "euros")
 #: Placeholders and the sign that joins the parts of a decimal number, from the private use area.
 NUMBER, UNIT, NAME, POINT = "\ue000", "\ue001", "\ue002", "\ue004"
+INNER_NAME = r"(?<=[\p{Ll},;:] )\p{Lu}\p{Ll}+"
 BETWEEN = r"[^\p{L}\p{N}\p{M}_\uE000-\uE004]+"
 #: Benchmark windows up to which their side of the join is broadcast (16 bytes each); beyond it is shuffled.
 BROADCAST_WINDOWS = 500_000
@@ -36,74 +37,78 @@ def template(text: Column, names: bool = True, values: bool = False) -> Column:
     units = F.regexp_replace(numbers, rf"(?<={NUMBER}[0-9{POINT}]{{0,40}}[ -]?)(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", UNIT + kept)
     out = F.when(text.rlike("[0-9]"), units).otherwise(text)
     if names:
-        out = F.regexp_replace(out, r"(?<=[\p{Ll},;:] )\p{Lu}\p{Ll}+", NAME + kept)
+        out = F.regexp_replace(out, INNER_NAME, NAME + kept)
     return F.split(F.lower(out), BETWEEN, -1)
 
 
-def with_windows(df: DataFrame, width: int, names: bool = True) -> DataFrame:
-    """df, which has `text`, with its template `t` and the hash of every window of width entries, in order, as `windows`.
+def windows(df: DataFrame, width: int, id_col: str, names: bool = True) -> DataFrame:
+    """(id, t, at, h): the hash h of every window of a table (id, text), with the template t it is from.
 
     Each step is a column of its own: an expression inlined into a lambda would be evaluated for every element.
     """
     hashed = df.withColumn("t", template(F.col("text"), names)).withColumn("hashed", F.transform("t", lambda t: F.xxhash64(t)))
-    several = F.transform(F.sequence(F.lit(0), F.size("hashed") - width), lambda i: F.xxhash64(*[F.get("hashed", i + j) for j in range(width)]))
-    return hashed.withColumn("windows", F.when(F.size("hashed") >= width, several)).drop("hashed")
+    several = F.transform(F.sequence(F.lit(0), F.size("hashed") - width), lambda i: window_hash(i, width))
+    rows = hashed.withColumn("w", F.when(F.size("hashed") >= width, several))
+    # outer: else a filter on the windows is inferred and evaluates all steps above once more, nested
+    return rows.select(id_col, "t", F.posexplode_outer("w").alias("at", "h")).where("h is not null")
+
+
+def window_hash(i: Column, width: int) -> Column:
+    return F.xxhash64(*[F.get("hashed", i + j) for j in range(width)])
+
+
+def is_slot(t: Column) -> Column:
+    return t.isin(NUMBER, UNIT, NAME)
+
+
+def slotted_windows(df: DataFrame, width: int, id_col: str) -> DataFrame:
+    """(id, at, h, filled): the windows with placeholders only; filled has what they stand for."""
+    typed = df.where(F.col("text").rlike(rf"[0-9]|{INNER_NAME}")).withColumn("t", template(F.col("text"))).withColumn("hashed", F.transform("t", lambda t: F.xxhash64(t))).withColumn("values", template(F.col("text"), values=True))
+    starts = F.filter(F.sequence(F.lit(0), F.size("t") - width), lambda i: F.exists(F.slice("t", i + 1, width), is_slot))
+    rows = typed.withColumn("starts", F.when(F.size("t") >= width, starts)).withColumn("w", F.transform("starts", lambda i: F.struct(i.alias("at"), window_hash(i, width).alias("h"), F.slice("values", i + 1, width).alias("filled"))))
+    return rows.select(id_col, F.explode_outer("w").alias("w")).where("w is not null").select(id_col, "w.*")
 
 
 def item_windows(benchmark: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, pos, h, slots, n_windows): both templates of every item; slots is whether the window has placeholders."""
+    """(item_id, pos, h, slots, n_windows) of both templates; slots is whether the window has placeholders."""
     items = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
-    both = None
-    for names in (True, False):
-        one = with_windows(items, width, names).select("item_id", "t", F.posexplode_outer("windows").alias("pos", "h"))
-        both = one if both is None else both.unionByName(one)
-    part = F.slice("t", F.col("pos") + 1, width)
+    both = windows(items, width, "item_id", True).unionByName(windows(items, width, "item_id", False))
+    part = F.slice("t", F.col("at") + 1, width)
     whole = ~F.exists(part, lambda t: t == "")  # marks at the ends of a text leave an empty token
-    slots = F.exists(part, lambda t: t.isin(NUMBER, UNIT, NAME))
-    each = both.where("h is not null").where(whole).select("item_id", "pos", "h", slots.alias("slots")).distinct()
+    each = both.where(whole).select("item_id", F.col("at").alias("pos"), "h", F.exists(part, is_slot).alias("slots")).distinct()
     size = each.groupBy(F.col("item_id").alias("q")).agg(F.countDistinct("pos").alias("n_windows"))
     return each.join(size, F.col("item_id").eqNullSafe(F.col("q"))).drop("q")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, containment: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows, n_found, containment) of the pairs that reach the containment."""
-    items = written(item_windows(benchmark, width), "benchmark_windows")
+    items = written(item_windows(benchmark, width), "benchmark_windows", narrow=True)
     small = items.count() <= BROADCAST_WINDOWS
     # every hash once: a document's window meets one row, whatever number of items hold it
     keys = items.groupBy("h").agg(F.collect_set(F.struct("item_id", "pos", "slots", "n_windows")).alias("held"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # outer: else a filter on the windows is inferred and evaluates all steps above once more, nested
-    seen = with_windows(texts, width).select("doc_id", F.posexplode_outer("windows").alias("at", "h")).where("h is not null")
-    hits = seen.join(F.broadcast(keys) if small else keys, "h").select("doc_id", "at", F.explode("held").alias("i")).select("doc_id", "i.item_id", "i.pos", (F.col("at") - F.col("i.pos")).alias("shift"), "i.slots", "i.n_windows")
-    hits = written(hits.distinct(), "benchmark_hits")
-    # only pairs that can still reach the containment need their slots looked at
-    near = hits.groupBy("doc_id", "item_id", "n_windows").agg(F.countDistinct("pos").alias("n")).where(F.col("n") >= containment * F.col("n_windows")).drop("n")
-    near = written(near, "benchmark_near")
-    same = lambda a, b: a.doc_id.eqNullSafe(b.doc_id) & a.item_id.eqNullSafe(b.item_id)
-    hits = hits.join(near, same(hits, near), "left_semi")
-    slotted = hits.where("slots")
-    wanted = slotted.select("doc_id").distinct()
-    texts = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id), "left_semi").select(F.col("doc_id").alias("d"), template(F.col("text"), values=True).alias("ours"))
-    questions = benchmark.select(F.col("item_id").alias("q"), template(F.col("text")).alias("kinds"), template(F.col("text"), values=True).alias("theirs"))
-    slot = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.struct(F.get("kinds", F.col("pos") + j).alias("kind"), F.get("theirs", F.col("pos") + j).alias("theirs"), F.get("ours", F.col("shift") + F.col("pos") + j).alias("ours")))
-    filled = (
-        slotted.join(texts, slotted.doc_id.eqNullSafe(texts.d))
-        .join(questions, slotted.item_id.eqNullSafe(questions.q))
-        .select("doc_id", "item_id", "shift", F.explode_outer(slot).alias("f"))
-        .where(F.col("f.kind").isin(NUMBER, UNIT, NAME))
-        .groupBy("doc_id", "item_id", "shift", "f.kind", "f.theirs")
-        .agg(F.countDistinct("f.ours").alias("n"))
-        .where("n > 1")
-        .select("doc_id", "item_id", "shift")
-        .distinct()
-    )
-    odd = filled.select(F.col("doc_id").alias("o_doc"), F.col("item_id").alias("o_item"), F.col("shift").alias("o_shift"))
-    kept = hits.join(odd, hits.doc_id.eqNullSafe(F.col("o_doc")) & hits.item_id.eqNullSafe(F.col("o_item")) & (hits["shift"] == F.col("o_shift")) & hits.slots, "left_anti")
+    hits = windows(texts, width, "doc_id").select("doc_id", "at", "h").join(F.broadcast(keys) if small else keys, "h")
+    hits = hits.select("doc_id", "at", F.explode("held").alias("i")).select("doc_id", "i.item_id", "i.pos", (F.col("at") - F.col("i.pos")).alias("shift"), "i.slots", "i.n_windows")
+    hits = written(hits.distinct(), "benchmark_hits", narrow=True)
+    if items.where("slots").limit(1).count():
+        odd = inconsistent(texts, benchmark.select(F.col("item_id"), F.col("text")), width, small)
+        hits = hits.join(odd, hits.doc_id.eqNullSafe(F.col("o_doc")) & hits.item_id.eqNullSafe(F.col("o_item")) & (hits["shift"] == F.col("o_shift")) & hits.slots, "left_anti")
     share = F.col("n_found") / F.col("n_windows")
-    return kept.groupBy("doc_id", "item_id", "n_windows").agg(F.countDistinct("pos").alias("n_found")).withColumn("containment", share).where(F.col("containment") >= containment)
+    return hits.groupBy("doc_id", "item_id", "n_windows").agg(F.countDistinct("pos").alias("n_found")).withColumn("containment", share).where(F.col("containment") >= containment)
+
+
+def inconsistent(texts: DataFrame, benchmark: DataFrame, width: int, small: bool) -> DataFrame:
+    """Alignments (o_doc, o_item, o_shift) in which one benchmark value stands for several document values."""
+    theirs = slotted_windows(benchmark, width, "item_id").groupBy("h").agg(F.collect_set(F.struct("item_id", F.col("at").alias("pos"), F.col("filled").alias("theirs"))).alias("held"))
+    ours = slotted_windows(texts, width, "doc_id").join(F.broadcast(theirs) if small else theirs, "h")
+    pairs = ours.select("doc_id", "at", F.col("filled").alias("ours"), F.explode("held").alias("i"))
+    slot = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.struct(F.get("i.theirs", j).alias("theirs"), F.get("ours", j).alias("ours")))
+    filled = pairs.select("doc_id", "i.item_id", (F.col("at") - F.col("i.pos")).alias("shift"), F.explode_outer(slot).alias("f")).where(F.left("f.theirs", F.lit(1)).isin(NUMBER, UNIT, NAME))
+    several = filled.groupBy("doc_id", "item_id", "shift", "f.theirs").agg(F.countDistinct("f.ours").alias("n")).where("n > 1")
+    return written(several.select(F.col("doc_id").alias("o_doc"), F.col("item_id").alias("o_item"), F.col("shift").alias("o_shift")).distinct(), "benchmark_odd", narrow=True)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 5, containment: float = 0.8) -> DataFrame:
     """docs without those that hold a benchmark item."""
-    bad = written(contaminated(docs, benchmark, width, containment).select(F.col("doc_id").alias("_ce_bad")).distinct(), "contaminated")
+    bad = written(contaminated(docs, benchmark, width, containment).select(F.col("doc_id").alias("_ce_bad")).distinct(), "contaminated", narrow=True)
     return docs.join(bad, docs.doc_id.eqNullSafe(bad._ce_bad), "left_anti")
