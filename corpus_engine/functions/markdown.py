@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpus_engine.config import DEFAULT, EngineConfig
-from corpus_engine.functions.text import lines, newlines, stripped
+from corpus_engine.functions.text import let, lines, newlines, stripped
 
 # Patterns that fix what counts as front matter, a heading, a fence and a link (fixed values).
 FRONT = r"(?s)\A---[ \t]*\r?\n.*?\r?\n---[ \t]*\r?\n?"
@@ -46,14 +46,22 @@ def without_front_matter(text: Column) -> Column:
 def front_bounds(text: Column) -> Column:
     """(start, end) of the lines between the first line `---` and the next, or null."""
     trimmed = F.transform(lines(without_bom(text)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    closing = F.array_position(F.slice(trimmed, 2, F.greatest(F.size(trimmed) - 1, F.lit(0))), "---")
-    return F.when((F.get(trimmed, F.lit(0)) == "---") & (closing > 0), F.struct(F.lit(1).alias("start"), closing.cast("int").alias("end")))
+
+    def found(rows):
+        closing = F.array_position(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), "---")
+        return F.when((F.get(rows, F.lit(0)) == "---") & (closing > 0), F.struct(F.lit(1).alias("start"), closing.cast("int").alias("end")))
+
+    return let(trimmed, found)
 
 
 def front_block(text: Column) -> Column:
     """The lines of the front matter, or null without one."""
-    b = front_bounds(text)
-    return F.when(b.isNotNull(), F.slice(lines(without_bom(text)), 2, b["end"] - 1))
+    return let(front_bounds(text), lambda b: F.when(b.isNotNull(), F.slice(lines(without_bom(text)), 2, b["end"] - 1)))
+
+
+def front_text(text: Column) -> Column:
+    """The front matter's lines, each between line ends, or null without one: what keys are looked up in."""
+    return F.concat(F.lit("\n"), F.array_join(front_block(text), "\n"), F.lit("\n"))
 
 
 def _unquoted(c: Column) -> Column:
@@ -63,30 +71,36 @@ def _unquoted(c: Column) -> Column:
 
 def front_values(text: Column, key: str) -> Column:
     """Every scalar of one key as written: inline, flow list or block sequence; null without the key; the first key wins."""
-    block = F.concat(F.lit("\n"), F.array_join(front_block(text), "\n"), F.lit("\n"))
+    return let(front_text(text), lambda front: values_of(front, key))
+
+
+def values_of(front: Column, key: str) -> Column:
     head = rf"\n{key}:([^\n]*)"
-    inline = F.trim(F.regexp_extract(block, head, 1))
-    flow = F.transform(F.filter(F.split(F.regexp_extract(inline, r"^\[(.*)\]$", 1), ",", -1), lambda x: F.trim(x) != ""), _unquoted)
-    items = F.regexp_extract_all(F.regexp_extract(block, rf"\n{key}:[ \t]*((?:\n\s*- +[^\n]*)*)", 1), F.lit(r"\n\s*- +([^\n]*)"), F.lit(1))
-    none = F.lit(None).cast("array<string>")
-    return F.when(front_block(text).isNull() | ~block.rlike(head), none).when(inline.rlike(r"^\[.*\]$"), flow).when(inline != "", F.array(_unquoted(inline))).otherwise(F.transform(items, _unquoted))
+    items = F.regexp_extract_all(F.regexp_extract(front, rf"\n{key}:[ \t]*((?:\n\s*- +[^\n]*)*)", 1), F.lit(r"\n\s*- +([^\n]*)"), F.lit(1))
+
+    def parsed(inline):
+        flow = F.transform(F.filter(F.split(F.regexp_extract(inline, r"^\[(.*)\]$", 1), ",", -1), lambda x: F.trim(x) != ""), _unquoted)
+        return F.when(inline.rlike(r"^\[.*\]$"), flow).when(inline != "", F.array(_unquoted(inline))).otherwise(F.transform(items, _unquoted))
+
+    return F.when(front.rlike(head), let(F.trim(F.regexp_extract(front, head, 1)), parsed))
 
 
 def folded_value(text: Column, key: str) -> Column:
     """A key's value with indented continuation lines joined by spaces, block-scalar heads and outer quotes dropped."""
-    block = F.concat(F.lit("\n"), F.array_join(front_block(text), "\n"), F.lit("\n"))
-    found = F.regexp_extract_all(block, F.lit(rf"\n{key}:([^\n]*(?:\n[ \t]+\S[^\n]*)*)"), F.lit(1))
-    bare = F.transform(found, lambda v: F.regexp_replace(F.regexp_replace(v, r"^\s*[>|][+-]?[0-9]?[+-]?\s*(?=\n|$)", ""), r"\s*\n\s*", " "))
-    value = F.trim(F.array_join(F.transform(bare, lambda v: stripped(v)), " "))
-    clean = F.regexp_replace(value, r"""^(["'])(.*)\1$""", "$2")
-    return F.when(F.size(found) > 0, F.nullif(clean, F.lit("")))
+
+    def value(found):
+        bare = F.transform(found, lambda v: F.regexp_replace(F.regexp_replace(v, r"^\s*[>|][+-]?[0-9]?[+-]?\s*(?=\n|$)", ""), r"\s*\n\s*", " "))
+        joined = F.trim(F.array_join(F.transform(bare, lambda v: stripped(v)), " "))
+        return F.when(F.size(found) > 0, F.nullif(F.regexp_replace(joined, r"""^(["'])(.*)\1$""", "$2"), F.lit("")))
+
+    return let(F.regexp_extract_all(front_text(text), F.lit(rf"\n{key}:([^\n]*(?:\n[ \t]+\S[^\n]*)*)"), F.lit(1)), value)
 
 
 def headings(text: Column) -> Column:
     """ATX headings outside front matter and fences: depth, text and 1-based line."""
-    front = front_lines(text)
-    start = F.struct(F.lit("").alias("fence"), front.cast("int").alias("line"), F.array().cast(HEADINGS).alias("found"))
-    body = F.slice(lines(text), front.cast("int") + 1, F.size(lines(text)))
+    start = F.struct(F.lit("").alias("fence"), front_lines(text).cast("int").alias("line"), F.array().cast(HEADINGS).alias("found"))
+    all_lines = lines(text)
+    body = F.slice(all_lines, front_lines(text).cast("int") + 1, F.greatest(F.size(all_lines), F.lit(0)))
 
     def step(s, x):
         mark = F.regexp_extract(x, FENCE, 1)
@@ -123,29 +137,36 @@ def section_end(found: Column, line: Column, depth: Column, total: Column) -> Co
 def section_text(text: Column, found: Column, wanted: Column) -> Column:
     """The first section whose heading is `wanted` in any case, trimmed at its end; null if there is none."""
     key = F.lower(stripped(F.regexp_replace(stripped(wanted), "^#+", "")))
-    h = F.get(F.filter(found, lambda x: F.lower(x["text"]) == key), F.lit(0))
-    all_lines = lines(text)
-    last = section_end(found, h["line"], h["depth"], F.size(all_lines))
-    body = F.array_join(F.slice(all_lines, h["line"], last - h["line"] + 1), "\n")
-    return F.when(h.isNotNull(), F.concat(F.regexp_replace(body, r"(?U)\s+\z", ""), F.lit("\n")))
+
+    def body(h):
+        def cut(rows):
+            last = section_end(found, h["line"], h["depth"], F.size(rows))
+            return F.array_join(F.slice(rows, h["line"], last - h["line"] + 1), "\n")
+
+        return F.when(h.isNotNull(), F.concat(F.regexp_replace(let(lines(text), cut), r"(?U)\s+\z", ""), F.lit("\n")))
+
+    return let(F.get(F.filter(found, lambda x: F.lower(x["text"]) == key), F.lit(0)), body)
 
 
 def sections(text: Column, found: Column, cfg: EngineConfig = DEFAULT) -> Column:
     """Heading-scoped spans: breadcrumb, line, body, and whether the body begins with its heading; empty ones dropped."""
-    own = heading_paths(found, cfg.section_max_depth)
-    all_lines = lines(text)
-    total = F.size(all_lines)
 
-    def span(h, i):
-        end = F.coalesce(F.get(own, i + 1)["line"] - 1, total)
-        return F.struct(F.array_join(h["path"], " > ").alias("breadcrumb"), h["line"].alias("line"), stripped(F.array_join(F.slice(all_lines, h["line"], end - h["line"] + 1), "\n")).alias("body"), F.lit(True).alias("heading"))
+    def spans(rows, own):
+        total = F.size(rows)
+
+        def span(h, i):
+            end = F.coalesce(F.get(own, i + 1)["line"] - 1, total)
+            body = stripped(F.array_join(F.slice(rows, h["line"], end - h["line"] + 1), "\n"))
+            return F.struct(F.array_join(h["path"], " > ").alias("breadcrumb"), h["line"].alias("line"), body.alias("body"), F.lit(True).alias("heading"))
+
+        front = front_lines(text).cast("int")
+        first = F.coalesce(F.get(own, F.lit(0))["line"], total + 1)
+        raw = F.array_join(F.slice(rows, front + 1, F.greatest(first - 1 - front, F.lit(0))), "\n")
+        blanks = newlines(F.regexp_extract(raw, r"(?U)\A\s*", 0))
+        lead = F.struct(F.lit("").alias("breadcrumb"), (front + 1 + blanks).cast("int").alias("line"), stripped(raw).alias("body"), F.lit(False).alias("heading"))
+        return F.filter(F.concat(F.array(lead), F.transform(own, span)), lambda s: s["body"] != "")
 
-    front = front_lines(text).cast("int")
-    first = F.coalesce(F.get(own, F.lit(0))["line"], total + 1)
-    raw = F.array_join(F.slice(all_lines, front + 1, F.greatest(first - 1 - front, F.lit(0))), "\n")
-    blanks = newlines(F.regexp_extract(raw, r"(?U)\A\s*", 0))
-    lead = F.struct(F.lit("").alias("breadcrumb"), (front + 1 + blanks).cast("int").alias("line"), stripped(raw).alias("body"), F.lit(False).alias("heading"))
-    return F.filter(F.concat(F.array(lead), F.transform(own, span)), lambda s: s["body"] != "")
+    return let(F.struct(lines(text).alias("rows"), heading_paths(found, cfg.section_max_depth).alias("own")), lambda x: spans(x["rows"], x["own"]))
 
 
 def title_of(text: Column, otherwise: Column) -> Column:
@@ -157,9 +178,8 @@ def title_of(text: Column, otherwise: Column) -> Column:
 def first_sentence(text: Column, most: int = 240) -> Column:
     """The opening sentence of the first line that is plain text."""
     plain = F.filter(F.transform(lines(without_front_matter(text)), stripped), lambda x: (x != "") & ~x.rlike(r"^(#|>|-|\*|\||```|---)"))
-    cut = stripped(F.regexp_extract(F.get(plain, F.lit(0)), r"(?U)\A(.*?)(?:(?<=[.!?])\s.*)?\z", 1))
-    head = F.left(cut, F.lit(most))
-    return F.when(F.char_length(cut) > most, F.concat(F.regexp_replace(head, r" [^ ]*\z", ""), F.lit("..."))).otherwise(cut)
+    sentence = stripped(F.regexp_extract(F.get(plain, F.lit(0)), r"(?U)\A(.*?)(?:(?<=[.!?])\s.*)?\z", 1))
+    return let(sentence, lambda c: F.when(F.char_length(c) > most, F.concat(F.regexp_replace(F.left(c, F.lit(most)), r" [^ ]*\z", ""), F.lit("..."))).otherwise(c))
 
 
 def paragraphs(text: Column) -> Column:
@@ -190,6 +210,10 @@ def embed_text(title: Column, description: Column, breadcrumb: Column, text: Col
 def assembled(pages: Column) -> Column:
     """Pages as one text: joined plainly if any has a heading, else each under a heading with its page number."""
     clean = F.transform(pages, lambda p: stripped(F.coalesce(p, F.lit(""))))
-    joined = F.array_join(F.filter(clean, lambda p: p != ""), "\n\n")
-    numbered = F.filter(F.transform(clean, lambda p, i: F.when(p != "", F.concat(F.lit("## Page "), (i + 1).cast("string"), F.lit("\n\n"), p))), lambda p: p.isNotNull())
-    return F.when(joined.rlike(r"(?m)^#{1,6}\s+\S"), joined).otherwise(F.array_join(numbered, "\n\n"))
+
+    def put(texts):
+        plain = F.array_join(F.filter(texts, lambda p: p != ""), "\n\n")
+        numbered = F.filter(F.transform(texts, lambda p, i: F.when(p != "", F.concat(F.lit("## Page "), (i + 1).cast("string"), F.lit("\n\n"), p))), lambda p: p.isNotNull())
+        return let(plain, lambda j: F.when(j.rlike(r"(?m)^#{1,6}\s+\S"), j).otherwise(F.array_join(numbered, "\n\n")))
+
+    return let(clean, put)

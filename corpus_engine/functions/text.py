@@ -11,6 +11,11 @@ from corpus_engine.config import DEFAULT, EngineConfig
 SPACE = r"(?U)\s"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
 
@@ -92,7 +97,8 @@ def normal_path(raw: Column) -> Column:
             F.struct(F.slice(s["held"], 1, F.greatest(F.size(s["held"]) - 1, F.lit(0))).alias("held"), (s["out"] | (F.size(s["held"]) == 0)).alias("out"))
         ),
     )
-    return F.when(raw.isNull() | F.contains(raw, F.lit("\0")), F.lit(None)).otherwise(F.when(~step["out"], F.array_join(step["held"], "/")))
+    found = let(step, lambda s: F.when(~s["out"], F.array_join(s["held"], "/")))
+    return F.when(raw.isNull() | F.contains(raw, F.lit("\0")), F.lit(None)).otherwise(found)
 
 
 def percent(path: Column, keep: str = "/") -> Column:

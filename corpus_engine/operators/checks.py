@@ -29,10 +29,12 @@ def catalogue_drift(notes: DataFrame, shown: DataFrame, cfg: EngineConfig = DEFA
 
 
 def front_matter(notes: DataFrame) -> DataFrame:
-    block = md.front_block(F.col("text"))
-    absent = F.array_compact(F.array(*[F.when(md.front_values(F.col("text"), k).isNull(), F.lit(k)) for k in REQUIRED]))
-    bad = F.when(block.isNull(), "no front matter").when(F.size(absent) > 0, F.concat(F.lit("missing "), F.array_join(absent, ", ")))
-    return finding(notes.withColumn("bad", bad).where("bad is not null"), "front_matter", F.col("bad"))
+
+    def missing(front):
+        absent = F.array_compact(F.array(*[F.when(~front.rlike(rf"\n{k}:"), F.lit(k)) for k in REQUIRED]))
+        return F.when(front.isNull(), "no front matter").when(F.size(absent) > 0, F.concat(F.lit("missing "), F.array_join(absent, ", ")))
+
+    return finding(notes.withColumn("bad", tx.let(md.front_text(F.col("text")), missing)).where("bad is not null"), "front_matter", F.col("bad"))
 
 
 def hygiene(notes: DataFrame) -> DataFrame:

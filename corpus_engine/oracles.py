@@ -124,7 +124,7 @@ rule("L5_bm25_scores", BM25, "SELECT query, chunk, round(score, 6) AS score FROM
 rule("L6_rarest_term", TERMS, "SELECT a.query, coalesce(min(df), 0) AS rarest FROM asked a LEFT JOIN terms t USING (query) LEFT JOIN dfs USING (term) GROUP BY ALL")
 rule("L7_containment", TERMS, "SELECT t.query, p.chunk FROM terms t JOIN posted p USING (term) JOIN (SELECT query, count(*) AS n FROM terms GROUP BY ALL) z USING (query) GROUP BY t.query, p.chunk HAVING count(*) = max(z.n)")
 rule("V1_normalised_vectors", "", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS norm, CASE WHEN list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) > 0 THEN 1e0 ELSE 0e0 END AS unit FROM embeddings")
-rule("V4_hashed_vectors", f"{LIFTED}, {hashed('dv', 'chunks', 'chunk', 'text')}", "SELECT k AS chunk, dim::INTEGER AS dim, round(value, 6) AS value FROM dv")
+rule("V4_hashed_vectors", f"{LIFTED}, {hashed('dv', 'chunks', 'chunk', 'text')}", "SELECT k AS chunk, dim::INTEGER AS dim, round(value, 6) + 0e0 AS value FROM dv")
 rule("V5_dense_topk", "", "SELECT query, vec_id, score, rank FROM (SELECT a.vec_id AS query, b.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 4) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 4) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) WHERE rank <= 50")
 rule("V6_embed_misses", "", "SELECT lang, count(*) AS chunks, count(DISTINCT coalesce(text, '')) AS texts FROM documents WHERE coalesce(text, '') NOT IN (SELECT coalesce(text, '') FROM documents WHERE lang = 'en') GROUP BY lang")
 rule("R1_F12_lexical_candidates", SPARSE, "SELECT query, chunk, score, rank FROM sparse")

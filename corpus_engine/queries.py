@@ -320,7 +320,7 @@ def V1_normalised_vectors(spark, sf_dir):
 
 @query
 def V4_hashed_vectors(spark, sf_dir):
-    return vectors.hashed_entries(lifted(spark, sf_dir), DIMS).select("chunk", "dim", F.round("value", 6).alias("value"))
+    return vectors.hashed_entries(lifted(spark, sf_dir), DIMS).select("chunk", "dim", (F.round("value", 6) + F.lit(0.0)).alias("value"))  # no negative zero
 
 
 @query
