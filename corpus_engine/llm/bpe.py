@@ -24,7 +24,7 @@ from corpus_engine.llm.common import slices, texts
 #: The pattern of byte-level pretokenisers (fixed value); white space is the Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Entries of a worker's caches of pretokens and of pairs; they are emptied when full. Longer pretokens aren't kept.
-CACHE, LONGEST_KEPT = 400_000, 64
+CACHE, LONGEST_KEPT = 200_000, 64
 
 
 def byte_alphabet() -> dict[str, int]:

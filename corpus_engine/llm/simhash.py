@@ -144,7 +144,7 @@ def close_pairs(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, threshold: int
         left.append(rep[near])
         right.append(rep[near + shift])
         held += len(near)
-        if held > 1 << 20:
+        if held > 1 << 18:
             a, b = star(np.concatenate(left), np.concatenate(right))
             left, right, held = [a], [b], 0
         shift += 1
@@ -156,7 +156,7 @@ def close_pairs(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, threshold: int
 def links(nodes: DataFrame, threshold: int = 4, tile: int = TILE) -> DataFrame:
     """(a, b), a < b: edges with the same components as all pairs of nodes (fp, rep) within the threshold."""
     near = covered(nodes, threshold)
-    crowded = written(near.groupBy("key").count().where(F.col("count") > tile), "crowded")
+    crowded = written(near.groupBy("key").count().where(F.col("count") > tile), "crowded", narrow=True)
     n = crowded.count()
     if n:
         salts = crowded.select("key", F.ceil(F.col("count") / tile).cast("int").alias("s"))
@@ -201,15 +201,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def mark(e):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    held = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    held = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges", narrow=True)
     seen = mark(held)
     while True:
         ends = held.select(F.col("b").alias("u"), F.col("a").alias("v")).unionByName(held.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        low = written(ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large_star")
-        large = written(ends.join(low, "u").where("v > u").select(F.col("v").alias("b"), F.col("m").alias("a")).where("a < b"), "large")
-        low = written(large.groupBy("b").agg(F.min("a").alias("m")), "small_star")
+        low = written(ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large_star", narrow=True)
+        large = written(ends.join(low, "u").where("v > u").select(F.col("v").alias("b"), F.col("m").alias("a")).where("a < b"), "large", narrow=True)
+        low = written(large.groupBy("b").agg(F.min("a").alias("m")), "small_star", narrow=True)
         small = large.join(low, "b").select(F.explode(F.array(F.struct(F.col("a").alias("b"), F.col("m").alias("a")), F.struct("b", F.col("m").alias("a")))).alias("e")).select("e.a", "e.b").where("a < b")
-        new = written(small.distinct(), "edges")
+        new = written(small.distinct(), "edges", narrow=True)
         now = mark(new)
         if now == seen:
             return new.select(F.col("b").alias("node"), F.col("a").alias("component"))
