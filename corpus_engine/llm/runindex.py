@@ -31,6 +31,8 @@ from corpus_engine.llm.substrings import mixed, part_bounds, rolling
 
 GRAM = 16
 PLACE = np.uint64((1 << 30) - 1)
+#: Strings whose anchors are looked for at once.
+STEP = 1 << 18
 #: Different pieces of one anchor up to which they share an index.
 CROWD = 2048
 #: What is answered for a piece: it stands twice; send its bytes; send the hashes of its strings.
@@ -45,21 +47,13 @@ class Anchored:
         sizes = np.array([len(x) for x in data], np.int64)
         self.start = np.concatenate([[0], np.cumsum(sizes)])
         self.buffer = b"".join(data)
-        n, w = len(self.buffer), length - GRAM + 1
-        starts = n - length + 1
+        w = length - GRAM + 1
+        starts = len(self.buffer) - length + 1
         empty = np.empty(0, np.int64)
         self.first, self.last, self.anchor = empty, empty, empty.astype(np.uint64)
         self.place = empty
         if starts > 0:
-            grams = self._grams()
-            keyed = (grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64)
-            pad = -len(keyed) % w
-            blocks = np.concatenate([keyed, np.full(pad, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, w)
-            ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-            back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-            del blocks, keyed
-            least = (np.minimum(back[:starts], ahead[w - 1 : w - 1 + starts]) & PLACE).astype(np.int64)
-            del ahead, back
+            least = np.concatenate([self._least(lo, min(lo + STEP, starts), w) for lo in range(0, starts, STEP)])
             valid = np.zeros(starts + 1, bool)
             for a, b in zip(self.start[:-1], self.start[1:], strict=True):
                 valid[a : max(a, b - length + 1)] = True
@@ -70,8 +64,8 @@ class Anchored:
             ends = np.concatenate([edge[1:], [starts]]) - 1
             ok = valid[edge]
             self.first, self.last = edge[ok], ends[ok]
-            self.place = least[self.first]
-            self.anchor = grams[self.place]
+            self.place = least[self.first].astype(np.int64)
+            self.anchor = mixed(~self._grams(self.place) * np.uint64(0xA0761D6478BD642F))  # least hashes are all small: spread them
         digest, buf = xxhash.xxh3_64_intdigest, self.buffer
         piece = np.fromiter((digest(buf[a : b + length], p - a) for a, b, p in zip(self.first.tolist(), self.last.tolist(), self.place.tolist(), strict=True)), np.uint64, len(self.first))
         piece &= ~np.uint64(1)
@@ -85,10 +79,23 @@ class Anchored:
         self.which = np.empty(len(a), np.int64)
         self.which[order] = np.cumsum(new) - 1
 
-    def _grams(self) -> np.ndarray:
-        n = len(self.buffer)
-        eight = np.ndarray((n - 7,), "<u8", self.buffer, strides=(1,))
-        return mixed(eight[: n - GRAM + 1] * np.uint64(0x9FB21C651E98DF25) + (eight[8:] ^ (eight[8:] >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93))
+    def _grams(self, at) -> np.ndarray:
+        """Hashes of the grams at a slice of places or at given ones."""
+        eight = np.ndarray((len(self.buffer) - 7,), "<u8", self.buffer, strides=(1,))
+        if isinstance(at, slice):
+            one, two = eight[at], eight[at.start + 8 : at.stop + 8]
+        else:
+            one, two = eight[at], eight[at + 8]
+        return mixed(one * np.uint64(0x9FB21C651E98DF25) + (two ^ (two >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93))
+
+    def _least(self, lo: int, hi: int, w: int) -> np.ndarray:
+        """Places of the grams of least hash, the first of equal ones, of the strings that start within [lo, hi)."""
+        keyed = (self._grams(slice(lo, hi + w - 1)) & ~PLACE) | np.arange(lo, hi + w - 1, dtype=np.uint64)
+        blocks = np.concatenate([keyed, np.full(-len(keyed) % w, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, w)
+        ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+        back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+        n = hi - lo
+        return (np.minimum(back[:n], ahead[w - 1 : w - 1 + n]) & PLACE).astype(np.int32)
 
     def strings(self, piece: int) -> np.ndarray:
         """Hashes of the strings of one piece."""
@@ -210,8 +217,8 @@ def repeated_strings(pieces: list[bytes], length: int) -> list[np.ndarray]:
 
 def remove_repeats(docs: DataFrame, length: int = 200, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, removed, kept): removed is the maximal runs [start, end) of bytes, kept the other bytes."""
-    rows, bundles, _ = bundled(texts(docs, id_col, text_col), target_bytes=3 << 20)
-    parts = max(1, bundles // 4)
+    rows, bundles, _ = bundled(texts(docs, id_col, text_col), target_bytes=2 << 20)
+    parts = bundles
 
     def anchored(table):
         return Anchored(table.column("doc_id").to_pylist(), as_bytes(table.column("text").combine_chunks()), length)
