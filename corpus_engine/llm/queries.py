@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_engine.llm.common import documents
+from corpus_engine.llm.oracles import ORACLES as SQL
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -131,4 +132,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = SQL
