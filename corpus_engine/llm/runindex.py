@@ -139,7 +139,9 @@ class RunIndex:
         left = self.start[owner + 1] - 1 - np.arange(n)  # bytes before the end of the piece
         suffixes = self._sorted(raw, n, owner, left)
         text = np.frombuffer(raw, np.uint8, n)
-        before = np.where(np.isin(suffixes, self.start[:-1]), -1 - owner[suffixes], text[suffixes - 1].astype(np.int64))  # of a piece's start: none equal
+        before = text[np.arange(-1, n - 1)].astype(np.int32)
+        before[self.start[:-1]] = -1 - np.arange(len(pieces))  # of pieces' starts: none equal
+        before = before[suffixes]
         change = np.flatnonzero(before[1:] != before[:-1]) + 1  # run heads but the first
         self.runs = len(change) + 1
         common = self._common(suffixes[change - 1], suffixes[change], left)
@@ -159,18 +161,23 @@ class RunIndex:
         held = np.minimum(left, 7).astype(np.uint64)
         key = (eight >> (np.uint64(64) - np.uint64(8) * held).clip(max=63)) << (np.uint64(8) * (np.uint64(7) - held))
         key = np.where(held == 0, np.uint64(0), key) << np.uint64(3) | held  # 7 bytes, cut at the piece's end, and how many are there
-        tie = np.where(left < 7, owner + 1, 0)
-        order = np.lexsort((tie, key))
-        k, t = key[order], tie[order]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (t[1:] != t[:-1])])
+        order = np.argsort(key)
+        k = key[order]
+        new = np.concatenate([[True], k[1:] != k[:-1]])
         rank = np.empty(n, np.int64)
         rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # of a group: where it begins
+        ends = np.flatnonzero(left < 7)  # their keys are whole suffixes: equal ones differ by their pieces' ends only
+        o = ends[np.lexsort((owner[ends], rank[ends]))]
+        first = np.concatenate([[True], rank[o[1:]] != rank[o[:-1]]])
+        at = np.arange(len(o))
+        rank[o] += at - np.maximum.accumulate(np.where(first, at, 0))
         alone = new & np.concatenate([new[1:], [True]])
         open_ = order[~alone]
+        open_ = open_[left[open_] >= 7]
         step = 7
         while len(open_):
             here, there = rank[open_], rank[np.minimum(open_ + step, n - 1)]
-            o = np.lexsort((there, here)) if n >= 1 << 31 else np.argsort(here << 31 | there, kind="stable")
+            o = np.lexsort((there, here)) if n >= 1 << 31 else np.argsort(here << 31 | there)
             open_, here, there = open_[o], here[o], there[o]
             first = np.concatenate([[True], here[1:] != here[:-1]])
             new = first | np.concatenate([[True], there[1:] != there[:-1]])
