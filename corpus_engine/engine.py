@@ -62,23 +62,16 @@ class Engine:
     def search_batch(self, queries: DataFrame, k: int | None = None) -> DataFrame:
         """(query, chunk, path, title, breadcrumb, line, score, text, place) for queries (query, q)."""
         text = F.concat_ws(" ", "title", "breadcrumb", "text")
-        tagged = self.chunks().withColumn("tag", F.concat("chunk", F.lit("@"), "path"))
-        path = F.substring_index("chunk", "@", -1)
-        tag = lambda df: df.join(tagged.select("chunk", "tag"), "chunk").withColumn("chunk", F.col("tag")).drop("tag")
-        plain = tagged.select("chunk", text.alias("text"))
-        sparse = hybrid.rank_candidates(lexical.bm25(plain, queries, self.postings(), self.cfg), self.cfg.candidates).where("score > 0")
-        none = self.spark.createDataFrame([], "query string, chunk string, rank int")
-        dense = none
+        plain = self.chunks().select("chunk", "path", text.alias("text"))
+        dense = self.spark.createDataFrame([], "query string, chunk string, rank int")
         if self.embedder is not None:
             asked = [(r["query"], r["q"]) for r in queries.toLocalIterator()]  # a stated set, searched in blocks
             v = self.embedder.embed([f"search_query: {q}" for _, q in asked])
             kind = dict(queries.dtypes)["query"]
             dense = vectors.dense_topk(self.vectors(), [(i, list(map(float, x))) for (i, _), x in zip(asked, v, strict=True)], self.cfg.candidates, query_type=kind)
-        fused = hybrid.fuse(tag(dense.select("query", "chunk", "rank")), tag(sparse.select("query", "chunk", "score", "rank")), self.cfg)
-        pins = hybrid.lookup_hits(tag(self.postings()), queries, tag(sparse), path, self.cfg)
-        best = hybrid.diversify(fused, pins, path, self.cfg.k(k), self.cfg).withColumn("chunk", F.substring_index("chunk", "@", 1)).drop("path")
+        best = hybrid.search(plain, queries, dense, k, self.postings(), self.cfg).drop("path")
         own = self.chunks().select("chunk", "path", "title", "breadcrumb", "line", "text")
-        return best.join(own, "chunk").select("query", "chunk", "path", "title", "breadcrumb", "line", F.round("score", 4).alias("score"), "text", "place")
+        return best.join(own, "chunk").select("query", "chunk", "path", "title", "breadcrumb", "line", "score", "text", "place")
 
     def search(self, q: str, k: int | None = None) -> list:
         return self.search_batch(self.spark.createDataFrame([("q", q)], "query string, q string"), k).orderBy("place").collect()

@@ -13,12 +13,49 @@ from corpus_engine.operators.lexical import raw_tokens
 
 #: Queries that are held on each executor in one search, with their vectors (4 MB at 1024 dimensions).
 QUERY_BLOCK = 1024
+#: Vectors that are multiplied at once.
+VECTOR_BATCH = 4096
 
 
 class Embedder(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
+def norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
+def l2_normalised(v: Column) -> Column:
+    n = F.greatest(norm(v), F.lit(1e-12))
+    return F.transform(v, lambda x: (x / n).cast("float"))
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def hashed_entries(texts: DataFrame, dims: int = 256, id_col: str = "chunk", text_col: str = "text") -> DataFrame:
+    """(chunk, dim, value): a hashed bag of words, L2-normalised and sparse.
+
+    A token's weight is 1 + ln(count); the first two 32-bit words of its MD5 give a dimension each, the second with
+    a minus sign.
+    """
+    each = texts.select(F.col(id_col).alias("chunk"), F.explode_outer(raw_tokens(F.col(text_col))).alias("token")).where("token is not null")
+    counted = each.groupBy("chunk", "token").agg(F.count("*").alias("n"))
+    hashed = counted.select("chunk", (1 + F.log("n")).alias("w"), F.md5(F.col("token").cast("binary")).alias("h"))
+
+    def bucket(at: int) -> Column:
+        return (F.conv(F.substring("h", at, 8), 16, 10).cast("long") % dims).cast("int")
+
+    pair = F.array(F.struct(bucket(1).alias("dim"), F.col("w").alias("v")), F.struct(bucket(9).alias("dim"), (-F.col("w")).alias("v")))
+    summed = hashed.select("chunk", F.explode(pair).alias("e")).groupBy("chunk", F.col("e.dim").alias("dim")).agg(F.sum("e.v").alias("v"))
+    size = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("chunk")))
+    return summed.withColumn("s", size).select("chunk", "dim", (F.col("v") / F.greatest("s", F.lit(1e-12))).alias("value"))
+
+
+def embed(self, texts: list[str]) -> np.ndarray: ...
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
@@ -86,13 +123,24 @@ def embed_misses(chunks: DataFrame, store: DataFrame, embedder: Embedder, dims:
     return keyed.join(store.unionByName(new), "text_sha"), new
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, id, score) of the k best rows of each column; ties go to the smaller id."""
+    order = np.argsort(ids, kind="stable")
+    ids, scores = ids[order], scores[order]
+    at = np.argsort(-scores, axis=0, kind="stable")[:k]
+    number = np.broadcast_to(np.arange(scores.shape[1]), at.shape)
+    return number.ravel(), ids[at.ravel()], np.take_along_axis(scores, at, axis=0).ravel()
+
+
 def dense_topk(vectors: DataFrame, queries: list[tuple[object, list[float]]], k: int, id_col: str = "chunk", vector_col: str = "embedding", query_type: str = "long", id_type: str = "string", digits: int = 6) -> DataFrame:
-    """(query, chunk, score) of the k best chunks for each query: exact, by blocks.
+    """(query, chunk, score, rank) of the k best chunks for each query: exact, by blocks.
 
-    The query block goes to all executors; each holds one Arrow batch of vectors at a time, multiplies and keeps k rows
-    a query, so what is shuffled is k rows a query and task, not scores of all pairs. Ties go to the smaller id.
+    A block of queries goes to all executors; each multiplies one Arrow batch of vectors at a time and passes on k rows
+    a query, so what is shuffled is k rows a query and batch, not the scores of all pairs. Ties go to the smaller id.
+    vector_col is an array of all dimensions, or an array of structs (dim, value) of those that are not zero.
     """
     out = None
+    dims = len(queries[0][1]) if queries else 0
     for lo in range(0, len(queries), QUERY_BLOCK):
         block = queries[lo : lo + QUERY_BLOCK]
         held = vectors.sparkSession.sparkContext.broadcast(([q for q, _ in block], np.array([v for _, v in block], np.float64)))
@@ -101,22 +149,22 @@ def dense_topk(vectors: DataFrame, queries: list[tuple[object, list[float]]], k:
             import pandas as pd
 
             names, q = held.value
-            best = None
             for f in frames:
-                if not len(f):
-                    continue
-                scores = np.round(np.stack(f[vector_col].to_numpy()).astype(np.float64) @ q.T, digits)
-                ids = f[id_col].to_numpy()
-                rows = pd.DataFrame({"query": np.repeat(np.arange(len(names)), len(ids)), "chunk": np.tile(ids, len(names)), "score": scores.T.ravel()})
-                best = rows if best is None else pd.concat([best, rows])
-                best = best.sort_values(["query", "score", "chunk"], ascending=[True, False, True]).groupby("query", sort=False).head(k)
-            if best is not None:
-                yield best.assign(query=[names[i] for i in best["query"]])
+                for at in range(0, len(f), VECTOR_BATCH):
+                    part = f.iloc[at : at + VECTOR_BATCH]
+                    rows = np.zeros((len(part), dims))
+                    for i, v in enumerate(part[vector_col]):
+                        if len(v) and isinstance(v[0], dict):
+                            rows[i, [e["dim"] for e in v]] = [e["value"] for e in v]
+                        else:
+                            rows[i] = v
+                    number, ids, scores = _best(part[id_col].to_numpy(), np.round(rows @ q.T, digits), k)
+                    yield pd.DataFrame({"query": [names[i] for i in number], "chunk": ids, "score": scores})
 
         found = vectors.select(id_col, vector_col).where(F.col(vector_col).isNotNull()).mapInPandas(run, f"query {query_type}, chunk {id_type}, score double")
         out = found if out is None else out.unionByName(found)
     if out is None:
-        return vectors.sparkSession.createDataFrame([], f"query {query_type}, chunk {id_type}, score double")
+        return vectors.sparkSession.createDataFrame([], f"query {query_type}, chunk {id_type}, score double, rank int")
     return top_n(out, k, "chunk")
 
 
@@ -126,8 +174,10 @@ def top_n(scored: DataFrame, n: int, tie: str, by: str = "score", key: str = "qu
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def sparse_topk(entries: DataFrame, query_entries: DataFrame, n: int, digits: int = 6) -> DataFrame:
-    """(query, chunk, score, rank): the same search over sparse entries, for hashed vectors."""
-    q = query_entries.select(F.col("chunk").alias("query"), "dim", F.col("value").alias("qv"))
-    scored = entries.join(q, "dim").groupBy("query", "chunk").agg(F.round(F.sum(F.col("value") * F.col("qv")), digits).alias("score"))
-    return top_n(scored, n, "chunk")
+def hashed_topk(entries: DataFrame, query_entries: DataFrame, n: int, dims: int, query_type: str = "long", digits: int = 6) -> DataFrame:
+    """(query, chunk, score, rank): the same search over hashed vectors (chunk, dim, value); chunks without a token are in no list."""
+    asked: dict = {}
+    for r in query_entries.toLocalIterator():  # a stated query set
+        asked.setdefault(r["chunk"], [0.0] * dims)[r["dim"]] = r["value"]
+    rows = entries.groupBy("chunk").agg(F.collect_list(F.struct("dim", "value")).alias("embedding"))
+    return dense_topk(rows, sorted(asked.items()), n, query_type=query_type, digits=digits)

@@ -36,14 +36,15 @@ def fuse(dense: DataFrame, sparse: DataFrame, cfg: EngineConfig = DEFAULT) -> Da
 def lookup_hits(posted: DataFrame, queries: DataFrame, sparse: DataFrame, path: Column, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """(query, chunk, pin): lexical candidates that hold every term of a query whose rarest known term is nearly unique.
 
-    The best of each path by lexical rank, at most lookup_max_matches of them, numbered from 1.
+    The best of each path by lexical rank, at most lookup_max_matches of them, numbered from 1. path is an expression
+    over the candidates. Only the candidates' postings are looked at.
     """
     rare = lexical.rarest_term(posted, queries).where((F.col("rarest") > 0) & (F.col("rarest") <= cfg.lookup_max_matches)).select("query")
     wanted = lexical.query_terms(queries.join(rare, "query", "left_semi"))
     size = wanted.groupBy("query").agg(F.count("*").alias("terms"))
-    near = sparse.join(rare, "query", "left_semi").select("query", "chunk", F.col("rank").alias("sparse_rank"))
-    held = near.join(wanted, "query").join(posted.select("chunk", "term"), ["chunk", "term"]).groupBy("query", "chunk", "sparse_rank").agg(F.count("*").alias("held"))
-    full = held.join(size, "query").where("held = terms").withColumn("path", path)
+    near = sparse.join(rare, "query", "left_semi").select("query", "chunk", path.alias("path"), F.col("rank").alias("sparse_rank"))
+    held = near.join(wanted, "query").join(posted.select("chunk", "term"), ["chunk", "term"]).groupBy("query", "chunk", "path", "sparse_rank").agg(F.count("*").alias("held"))
+    full = held.join(size, "query").where("held = terms")
     first = full.withColumn("n", F.row_number().over(Window.partitionBy("query", "path").orderBy("sparse_rank"))).where("n = 1")
     return first.withColumn("pin", F.row_number().over(Window.partitionBy("query").orderBy("sparse_rank"))).where(F.col("pin") <= cfg.lookup_max_matches).select("query", "chunk", "pin")
 
@@ -64,14 +65,19 @@ def diversify(fused: DataFrame, pins: DataFrame, path: Column, k: int, cfg: Engi
     return rows.withColumn("occurrence", occurrence).withColumn("tier", tier).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("query", "chunk", "score", "path", "place")
 
 
-def search(chunks: DataFrame, queries: DataFrame, dense: DataFrame, path: Column, k: int | None = None, posted: DataFrame | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """(query, chunk, score, path, place) for queries (query, q) over chunks (chunk, text).
+def with_paths(candidates: DataFrame, paths: DataFrame) -> DataFrame:
+    """Candidates, some dozens a query, with the path of each from (chunk, path): the large side is only probed."""
+    return candidates.join(paths.select("chunk", "path"), "chunk")
+
+
+def search(chunks: DataFrame, queries: DataFrame, dense: DataFrame, k: int | None = None, posted: DataFrame | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """(query, chunk, score, path, place) for queries (query, q) over chunks (chunk, path, text).
 
     dense is (query, chunk, rank), the dense candidates. Lexical candidates whose score is not positive drop out after
-    the cut to the candidates, not before.
+    the cut to the candidates, not before. Scores have four digits.
     """
     posted = lexical.postings(chunks) if posted is None else posted
     sparse = rank_candidates(lexical.bm25(chunks, queries, posted, cfg), cfg.candidates).where("score > 0")
-    pins = lookup_hits(posted, queries, sparse, path, cfg)
-    found = diversify(fuse(dense, sparse, cfg), pins, path, cfg.k(k), cfg)
+    pins = lookup_hits(posted, queries, with_paths(sparse, chunks), F.col("path"), cfg)
+    found = diversify(with_paths(fuse(dense, sparse, cfg), chunks), pins, F.col("path"), cfg.k(k), cfg)
     return found.withColumn("score", F.round("score", 4))

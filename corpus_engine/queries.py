@@ -344,16 +344,11 @@ def V6_embed_misses(spark, sf_dir):
 def arms(spark, sf_dir):
     c, q = lifted(spark, sf_dir), asked(spark, sf_dir)
     posted = lexical.postings(c)
-    dense = vectors.sparse_topk(vectors.hashed_entries(c, DIMS), vectors.hashed_entries(q.select(F.col("query").alias("chunk"), F.col("q").alias("text")), DIMS), DEFAULT.candidates)
+    dense = vectors.hashed_topk(vectors.hashed_entries(c, DIMS), vectors.hashed_entries(q.select(F.col("query").alias("chunk"), F.col("q").alias("text")), DIMS), DEFAULT.candidates, DIMS)
     sparse = hybrid.rank_candidates(lexical.bm25(c, q, posted), DEFAULT.candidates).where("score > 0")
     return c, q, posted, dense, sparse
 
 
-def path_of(c):
-    """chunk to path as a column of a joined table."""
-    return c.select(F.col("chunk").alias("c_chunk"), F.col("path").alias("c_path"))
-
-
 @query
 def R1_F12_lexical_candidates(spark, sf_dir):
     return arms(spark, sf_dir)[4].select("query", "chunk", "score", F.col("rank").cast("long").alias("rank"))
@@ -365,10 +360,6 @@ def R2_rrf(spark, sf_dir):
     return hybrid.fuse(dense, sparse).select("query", "chunk", F.round("score", 6).alias("score"), F.col("pos").cast("long").alias("pos"))
 
 
-def placed(c, df):
-    return df.join(path_of(c), F.col("chunk") == F.col("c_chunk"))
-
-
 @query
 def R4_lookup_hits(spark, sf_dir):
     _, q, posted, _, sparse = arms(spark, sf_dir)
@@ -376,14 +367,9 @@ def R4_lookup_hits(spark, sf_dir):
 
 
 def hybrid_results(spark, sf_dir, k=None):
-    """The hybrid search over chunk ids that carry their path, so that no plan looks it up again."""
-    c, q, posted, dense, sparse = arms(spark, sf_dir)
-    tag = lambda df: placed(c, df).withColumn("chunk", F.concat("chunk", F.lit("@"), "c_path")).drop("c_chunk", "c_path")
-    path = F.substring_index("chunk", "@", -1)
-    fused = hybrid.fuse(tag(dense), tag(sparse))
-    pins = hybrid.lookup_hits(tag(posted), q, tag(sparse), path)
-    found = hybrid.diversify(fused, pins, path, DEFAULT.k(k))
-    return found.select("query", F.substring_index("chunk", "@", 1).alias("chunk"), "path", F.round("score", 4).alias("score"), F.col("place").cast("long").alias("place"))
+    c, q, posted, dense, _ = arms(spark, sf_dir)
+    found = hybrid.search(c, q, dense, k, posted)
+    return found.select("query", "chunk", "path", "score", F.col("place").cast("long").alias("place"))
 
 
 @query
