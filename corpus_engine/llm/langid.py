@@ -160,6 +160,6 @@ def accepted(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """The rows of docs whose text has a letter and whose language is known with at least the score `least`."""
     from corpus_engine.llm.common import P, written
 
-    found = written(predict(docs, fit(docs)), "languages")
-    bad = found.where((F.col("lang_pred") == "und") | (F.col("score") < least)).select(F.col("doc_id").alias(f"{P}bad")).distinct()
+    found = predict(docs, fit(docs)).where((F.col("lang_pred") == "und") | (F.col("score") < least))
+    bad = written(found.select(F.col("doc_id").alias(f"{P}bad")).distinct(), "languages", narrow=True)
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(f"{P}bad")), "left_anti")
