@@ -11,6 +11,7 @@ from corpus_engine.functions import text as tx
 from corpus_engine.operators import catalogue
 from corpus_engine.operators import links as lk
 
+# Required keys and callout types (fixed values).
 REQUIRED = ("type", "title", "description", "tags", "timestamp")
 CALLOUT_TYPES = ("NOTE", "TIP", "IMPORTANT", "WARNING", "CAUTION")
 

@@ -12,7 +12,7 @@ from corpus_engine.functions import markdown as md
 from corpus_engine.functions import text as tx
 
 
-def read_vault(spark: SparkSession, root: str, cfg: EngineConfig = DEFAULT) -> DataFrame:
+def read_folder(spark: SparkSession, root: str, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """(path, content, size, mtime) of every note and document below root, hidden ones left out."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.length(F.lit(root.rstrip("/"))) + F.locate(root.rstrip("/"), "path")

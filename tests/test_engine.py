@@ -170,13 +170,13 @@ def test_uploads_and_written(spark):
     assert {r.path: r.status for r in mutate.uploaded(files, new).collect()} == {"Files/a.pdf": "replaced", "Files/b.pdf": "filed", "Other/c.pdf": "refused", "Files/d.pdf": "refused"}
 
 
-def test_vault_source(spark, tmp_path):
+def test_folder_source(spark, tmp_path):
     (tmp_path / "A b").mkdir()
     (tmp_path / "A b" / "n+1.md").write_bytes(b"\xef\xbb\xbfx\r\ny\xff")
     (tmp_path / ".hidden").mkdir()
     (tmp_path / ".hidden" / "h.md").write_text("h")
     (tmp_path / "d.pdf").write_bytes(b"page one is long enough to be text in this case of ours|two")
-    files = src.read_vault(spark, str(tmp_path))
+    files = src.read_folder(spark, str(tmp_path))
     assert sorted(r.path for r in files.collect()) == ["A b/n+1.md", "d.pdf"]
     assert files.where("path like '%.md'").select(src.note_text(F.col("content")).alias("t")).first().t == "x\ny�"
     src.EXTRACTORS[".pdf"] = lambda b: b.decode().split("|")
