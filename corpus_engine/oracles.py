@@ -165,3 +165,9 @@ rule("CK8_documents", f"{NOTES}, {EXTRACTED}, linked AS (SELECT DISTINCT 'Files/
 rule("G1_catalogue_entries", f"{HEADED}, firsts AS (SELECT path, title FROM (SELECT path, NULL AS title FROM notes))", rf"""SELECT n.path, regexp_replace(n.path, '/[^/]*$', '') AS folder, CASE WHEN n.doc_id % 5 <> 0 THEN 'Doc ' || n.doc_id ELSE coalesce(t.title, 'doc-' || n.doc_id) END AS title, CASE WHEN n.doc_id % 5 <> 0 THEN lang || ' text from ' || source ELSE s.sentence END AS description
 FROM notes n JOIN src USING (doc_id) JOIN ({ORACLES['M16_first_sentences'].split('FROM src)', 1)[1]}) s ON s.path = n.path LEFT JOIN (SELECT path, {STRIP.format("regexp_replace(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^#" + chr(92) + "s+" + chr(92) + "S'))[1], '^#" + chr(92) + "s+', '')")} AS title FROM notes) t ON t.path = n.path
 WHERE NOT regexp_matches(n.path, '(^|/)\.') AND NOT lower(n.path) LIKE 'workflows/%' AND NOT lower(n.path) LIKE 'reports/%'""")
+rule("R3_lookup_gate", f"{SPARSE}, {PINS.format(path='c.path', join='JOIN chunks c ON c.chunk = s.chunk')}", "SELECT a.query, coalesce(min(df), 0) AS rarest, a.query IN (SELECT query FROM pins) AS is_lookup FROM asked a LEFT JOIN terms t USING (query) LEFT JOIN dfs USING (term) GROUP BY a.query")
+rule("J6_upserted_sizes", FILES, "SELECT path, CASE WHEN path LIKE 'src4/%' THEN 0 ELSE size END AS size FROM files WHERE path NOT LIKE 'src6/%'")
+rule("T4_folder_order", f"{FILES}, folders AS (SELECT DISTINCT unnest(list_transform(range(1, len(string_split(path, '/'))), lambda n: array_to_string(string_split(path, '/')[:n], '/'))) AS folder FROM files)", "SELECT folder, replace(lower(folder), '/', chr(1)) AS order_key FROM folders")
+rule("A4_median_tokens", NOTES, "SELECT regexp_replace(path, '/[^/]*$', '') AS folder, median(floor(length(text) / 36e-1)::BIGINT) AS median_tokens, count(CASE WHEN floor(length(text) / 36e-1) >= 400 THEN 1 END) AS long_notes FROM notes GROUP BY 1")
+rule("G2_catalogue_lines", ORACLES["G1_catalogue_entries"][5:].rsplit("SELECT n.path", 1)[0] + ", entries AS (SELECT n.path" + ORACLES["G1_catalogue_entries"].rsplit("SELECT n.path", 1)[1] + "), heads2 AS (SELECT DISTINCT unnest(list_transform(range(1, len(string_split(folder, '/')) + 1), lambda n: array_to_string(string_split(folder, '/')[:n], '/'))) AS folder FROM entries)",
+     "SELECT folder, 1 AS kind, '- [' || title || '](' || path || ')' || CASE WHEN coalesce(description, '') <> '' THEN ' - ' || description ELSE '' END AS line FROM entries UNION ALL SELECT folder, 0, repeat('#', least(len(string_split(folder, '/')) + 1, 6)) || ' ' || string_split(folder, '/')[-1] FROM heads2 UNION ALL SELECT '', 2, '> [!NOTE] `' || x || '/` is not listed note by note' FROM (VALUES ('Reports'), ('Workflows')) v(x)")

@@ -372,6 +372,14 @@ def hybrid_results(spark, sf_dir, k=None):
     return found.select("query", "chunk", "path", "score", F.col("place").cast("long").alias("place"))
 
 
+@query
+def R3_lookup_gate(spark, sf_dir):
+    """Whether a query names something nearly unique that some candidate holds in full."""
+    c, q, posted, _, sparse = arms(spark, sf_dir)
+    pinned = hybrid.lookup_hits(posted, q, hybrid.with_paths(sparse, c), F.col("path")).select("query").distinct().withColumn("hit", F.lit(True))
+    return lexical.rarest_term(posted, q).join(pinned, "query", "left").select("query", "rarest", F.coalesce("hit", F.lit(False)).alias("is_lookup"))
+
+
 @query
 def R7_hybrid_search(spark, sf_dir):
     return hybrid_results(spark, sf_dir)
@@ -427,6 +435,28 @@ def J5_cache_retention(spark, sf_dir):
     return cache.retained(d.where("source <> 'src5'"), d.where("source = 'src5'"), "key").groupBy("source").agg(F.count("*").alias("kept"))
 
 
+@query
+def J6_upserted_sizes(spark, sf_dir):
+    """Files with those of one source emptied and those of another gone."""
+    f = files(spark, sf_dir)
+    changed = f.where(F.startswith("path", F.lit("src4/"))).select("path", F.lit(0).cast("long").alias("size"))
+    return catalogue.upsert(f, changed, f.where(F.startswith("path", F.lit("src6/"))).select("path"))
+
+
+@query
+def T4_folder_order(spark, sf_dir):
+    """Folders by their parts, not as strings."""
+    f = files(spark, sf_dir).select(F.explode(tx.ancestors(F.col("path"))).alias("folder")).distinct()
+    key = F.transform(tx.parts(F.col("folder")), F.lower)
+    return f.orderBy(key).select("folder", F.array_join(key, "\x01").alias("order_key"))
+
+
+@query
+def A4_median_tokens(spark, sf_dir):
+    n = notes(spark, sf_dir).select(tx.folder(F.col("path")).alias("folder"), md.token_estimate(F.col("text")).alias("tokens"))
+    return n.groupBy("folder").agg(F.median("tokens").alias("median_tokens"), F.count_if(F.col("tokens") >= DEFAULT.chunk_target_tokens).alias("long_notes"))
+
+
 @query
 def J10_ancestor_folders(spark, sf_dir):
     return files(spark, sf_dir).select(F.explode_outer(tx.ancestors(F.col("path"))).alias("folder")).where("folder is not null").groupBy("folder").agg(F.count("*").alias("files"))
