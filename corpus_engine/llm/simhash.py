@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_engine.llm.common import as_bytes, texts, written
+from corpus_engine.llm.common import as_bytes, slices, texts, written
 
 SEED = 42
 LAST = (1 << 63) - 1
@@ -54,9 +54,10 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
     """(doc_id, fp): the fingerprint as a signed long."""
 
     def run(batches):
-        for b in batches:
-            fp = np.array([simhash(x, width) for x in as_bytes(b.column(1))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+        for batch in batches:
+            for b in slices(batch):
+                fp = np.array([simhash(x, width) for x in as_bytes(b.column(1))], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
