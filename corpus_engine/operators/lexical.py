@@ -40,7 +40,8 @@ def stem_map(terms: DataFrame) -> DataFrame:
 
 def postings(chunks: DataFrame, id_col: str = "chunk", text_col: str = "text", stemmed: bool = False) -> DataFrame:
     """(chunk, term, tf): one row for each term of each chunk."""
-    each = chunks.select(F.col(id_col).alias("chunk"), F.explode_outer(tokens(F.col(text_col))).alias("term")).where("term is not null")
+    # stop words go after the explode: there the test is compiled, in an array function it is interpreted
+    each = chunks.select(F.col(id_col).alias("chunk"), F.explode_outer(raw_tokens(F.col(text_col))).alias("term")).where(F.col("term").isNotNull() & ~F.col("term").isin(*STOP_WORDS))
     if stemmed:
         stems = stem_map(each)
         each = each.join(stems, "term").select("chunk", F.col("stem").alias("term")).where(~F.col("term").isin(*STOP_WORDS))
@@ -74,7 +75,7 @@ def idf_table(posted: DataFrame, stats: DataFrame, cfg: EngineConfig = DEFAULT)
 
 def query_terms(queries: DataFrame, id_col: str = "query", text_col: str = "q") -> DataFrame:
     """(query, term, qtf)."""
-    return queries.select(F.col(id_col).alias("query"), F.explode_outer(tokens(F.col(text_col))).alias("term")).where("term is not null").groupBy("query", "term").agg(F.count("*").alias("qtf"))
+    return queries.select(F.col(id_col).alias("query"), F.explode_outer(raw_tokens(F.col(text_col))).alias("term")).where(F.col("term").isNotNull() & ~F.col("term").isin(*STOP_WORDS)).groupBy("query", "term").agg(F.count("*").alias("qtf"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, posted: DataFrame | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
