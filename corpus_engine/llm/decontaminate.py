@@ -8,8 +8,9 @@ item if at least `containment` of the item's windows are found in it. DataFrame
 
 Since a document's case may be changed, an item is also looked up with its names as plain words.
 
-Null or empty texts have no windows. An item of fewer than `width` tokens has none and is never found. Repeated rows
-count as one document of that id; a null id is an id like any other. Repeated items are each reported.
+Null or empty texts have no windows. An item of fewer than `width` tokens has none and is never found. Rows equal in id
+and text count as one document; different texts of one id, or without an id, are different documents. Repeated items are
+each reported.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpus_engine.llm.common import written
+from corpus_engine.llm.common import blob_of, written
 
 #: Units that follow a number (fixed values).
 UNITS = ("mm", "cm", "m", "km", "g", "kg", "mg", "t", "s", "ms", "min", "h", "l", "ml", "kb", "mb", "gb", "hz", "v", "w", "kw", "c", "f", "ft", "lb", "lbs", "oz", "mph", "eur", "usd", "percent", "meters", "metres", "miles", "inches", "hours", "minutes", "seconds", "days", "years", "dollars", "euros")
@@ -82,11 +83,16 @@ def item_windows(benchmark: DataFrame, width: int, id_col: str = "item_id", text
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, containment: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows, n_found, containment) of the pairs that reach the containment."""
+    return found(docs, benchmark, width, containment, id_col, text_col).withColumn("doc_id", F.col("doc_id.id"))
+
+
+def found(docs: DataFrame, benchmark: DataFrame, width: int = 5, containment: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As contaminated, but doc_id is the row's identity: a struct of its id and its text's SHA-256."""
     items = written(item_windows(benchmark, width), "benchmark_windows", narrow=True)
     small = items.count() <= BROADCAST_WINDOWS
     # every hash once: a document's window meets one row, whatever number of items hold it
     keys = items.groupBy("h").agg(F.collect_set(F.struct("item_id", "pos", "slots", "n_windows")).alias("held"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.struct(F.col(id_col).alias("id"), blob_of(F.col(text_col)).alias("blob")).alias("doc_id"), F.col(text_col).alias("text"))
     hits = windows(texts, width, "doc_id").select("doc_id", "at", "h").join(F.broadcast(keys) if small else keys, "h")
     hits = hits.select("doc_id", "at", F.explode("held").alias("i")).select("doc_id", "i.item_id", "i.pos", (F.col("at") - F.col("i.pos")).alias("shift"), "i.slots", "i.n_windows")
     hits = written(hits.distinct(), "benchmark_hits", narrow=True)
@@ -110,5 +116,5 @@ def inconsistent(texts: DataFrame, benchmark: DataFrame, width: int, small: bool
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 5, containment: float = 0.8) -> DataFrame:
     """docs without those that hold a benchmark item."""
-    bad = written(contaminated(docs, benchmark, width, containment).select(F.col("doc_id").alias("_ce_bad")).distinct(), "contaminated", narrow=True)
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad._ce_bad), "left_anti")
+    bad = written(found(docs, benchmark, width, containment).select(F.col("doc_id.id").alias("_ce_bad"), F.col("doc_id.blob").alias("_ce_blob")).distinct(), "contaminated", narrow=True)
+    return docs.join(bad, docs.doc_id.eqNullSafe(bad._ce_bad) & (blob_of(docs.text) == bad._ce_blob), "left_anti")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpus_engine.llm.common import slices
+from corpus_engine.llm.common import blob_of, slices
 
 #: Folded characters: 0 anything but a letter, 1-26 a-z, 27-127 other letters by code point.
 SYMBOLS = 128
@@ -124,8 +124,8 @@ def sample(labelled: DataFrame, per_language: int, most_languages: int, id_col:
     return [c for own in kept.values() for c in own], [y for y, own in kept.items() for _ in own]
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score): score is a softmax over the languages' ridge outputs."""
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", blob: bool = False) -> DataFrame:
+    """(doc_id, lang_pred, score): score is a softmax over the languages' ridge outputs; blob adds the text's SHA-256."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks only: a bound of the model, not of the input
 
     def run(batches):
@@ -141,9 +141,11 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                     p = np.exp(4 * (f - f.max(1, keepdims=True)))
                     for i, k, v in zip(named, best, 1 / p.sum(1), strict=True):
                         pred[i], score[i] = m.languages[k], v
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score), *b.columns[2:]], ["doc_id", "lang_pred", "score", *more])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    more = ["blob"] if blob else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[blob_of(F.col(text_col)).alias(c) for c in more])
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double" + ", blob string" * blob)
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -157,9 +159,12 @@ def fit(docs: DataFrame, per_language: int = 400, most_languages: int = 200, lan
 
 
 def accepted(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The rows of docs whose text has a letter and whose language is known with at least the score `least`."""
+    """The rows of docs whose text has a letter and whose language is known with at least the score `least`.
+
+    A row goes for its own text only, not for that of another row of its id.
+    """
     from corpus_engine.llm.common import P, written
 
-    found = predict(docs, fit(docs)).where((F.col("lang_pred") == "und") | (F.col("score") < least))
-    bad = written(found.select(F.col("doc_id").alias(f"{P}bad")).distinct(), "languages", narrow=True)
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(f"{P}bad")), "left_anti")
+    found = predict(docs, fit(docs), blob=True).where((F.col("lang_pred") == "und") | (F.col("score") < least))
+    bad = written(found.select(F.col("doc_id").alias(f"{P}bad"), F.col("blob").alias(f"{P}blob")).distinct(), "languages", narrow=True)
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(f"{P}bad")) & (blob_of(F.col("text")) == F.col(f"{P}blob")), "left_anti")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_engine.llm.common import as_bytes, slices, texts, written
+from corpus_engine.llm.common import as_bytes, blob_of, slices, texts, written
 
 SEED = 42
 LAST = (1 << 63) - 1
@@ -50,16 +50,18 @@ def simhash(data: bytes, width: int = 4) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text", blob: bool = False) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long; blob adds the text's SHA-256."""
+    more = ["blob"] if blob else []
 
     def run(batches):
         for batch in batches:
             for b in slices(batch):
                 fp = np.array([simhash(x, width) for x in as_bytes(b.column(1))], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], ["doc_id", "fp", *more])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    rows = texts(docs, id_col, text_col).select("doc_id", "text", *[blob_of(F.col("text")).alias(c) for c in more])
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", blob string" * blob)
 
 
 class AnchorCode:
@@ -225,3 +227,17 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, width: int = 4, id_col:
     member = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", F.coalesce("component", "rep").alias("root"))
     member = written(member.select("fp", F.when(F.col("root") != LAST, F.col("root")).alias("component_id")), "simhash_members")
     return rows.join(member, "fp").select("doc_id", "fp", "component_id")
+
+
+def heads(docs: DataFrame, threshold: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, blob, n): of each group of linked fingerprints the row of the smallest id, then text hash, and how often it occurs.
+
+    Nodes are the fingerprints themselves, so rows of different texts are told apart where ids are null or repeated.
+    """
+    rows = written(fingerprints(docs, width, id_col, text_col, blob=True), "simhash")
+    nodes = written(rows.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "blob")).alias("first")), "simhash_nodes")
+    roots = connected_components(links(nodes.select("fp", F.col("fp").alias("rep")), threshold))
+    first = nodes.join(roots, nodes.fp == roots.node, "left").groupBy(F.coalesce("component", "fp").alias("root")).agg(F.min("first").alias("first"))
+    first = written(first.select(F.col("first.id").alias("id"), F.col("first.blob").alias("head")), "simhash_heads")
+    held = rows.join(first, (F.coalesce("doc_id", F.lit(LAST)) == F.col("id")) & (F.col("blob") == F.col("head")))
+    return held.groupBy("doc_id", "blob").agg(F.count("*").alias("n"))

@@ -44,3 +44,21 @@ def test_stages(spark, tmp_path):
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_rows_without_or_with_repeated_ids_are_told_apart(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    base = [r.text for r in docs.where("lang = 'en' and n_chars between 800 and 4000").orderBy("doc_id").limit(8).collect()]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    keys = [None, None, None, None, None, 7, 7, 3, None]
+    texts = [base[0], base[1], base[2], f"{base[3]} {item}", "?! 12", base[4], base[5], base[0], base[1]]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in zip(keys, texts, strict=True)], docs.schema)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = sorted(((r.doc_id or 0, r.text) for r in docs.collect()))
+    rows = [(k or 0, t) for k, t in zip(keys, texts, strict=True)]
+    assert kept["language"] == sorted(r for i, r in enumerate(rows) if i != 4)
+    assert kept["near_dedup"] == sorted(rows[i] for i in (1, 2, 3, 5, 6, 7))
+    assert kept["decontamination"] == sorted(rows[i] for i in (1, 2, 5, 6, 7))
