@@ -316,6 +316,17 @@ def test_decontamination(spark, none):
     assert decontaminate.contaminated(none, items).count() == 0 and decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_names_at_sentence_starts_and_of_short_items(spark):
+    question = "{n} has {a} apples. {n} gives {b} apples to Anna. How many apples does {n} have left?"
+    fill = lambda n, a, b: question.format(n=n, a=a, b=b)
+    rows = [(1, "x y. " + fill("Bob", 9, 4)), (2, fill("Bob", 9, 9).replace("Bob gives", "Tim gives")), (3, "so\n" + fill("Tom", 5, 2)), (4, "They asked: who wrote HAMLET? Nobody knew."), (5, "Who wrote Macbeth?"), (6, "Now what is 2+2?"), (7, "What is 2+3?")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, fill("Tom", 5, 2)), (2, "Who wrote Hamlet?"), (3, "What is 2+2?"), (5, "Who wrote Hamlet?")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.containment) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(1, 1, 1.0), (3, 1, 1.0), (4, 2, 1.0), (4, 5, 1.0), (6, 3, 1.0)}
+    assert {r.doc_id for r in decontaminate.clean(docs, items).collect()} == {2, 5, 7}
+
+
 def test_decontamination_query_finds_planted_passages(spark):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet").collect() for t in ("documents", "benchmark"))
     want = {(d.doc_id, i.item_id) for d in docs for i in items if i.text.lower() in d.text.lower()}
