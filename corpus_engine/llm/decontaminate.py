@@ -1,14 +1,15 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become tokens, and tokens become a template: numbers, units after a number and names (capitalised words inside
-a sentence) turn into typed placeholders, other words into lower case. Hashes of template windows of the benchmark are
-hash-joined with those of the documents. Windows that agree only up to placeholders count if the slots are filled
-consistently along their alignment: one benchmark value always stands for one document value. A document holds an
-item if at least `containment` of the item's windows are found in it. DataFrame operations only.
+Texts become tokens, and tokens become a template: numbers, units after a number and names turn into typed
+placeholders, other words into lower case. Hashes of template windows of the benchmark are hash-joined with those of
+the documents. Windows that agree only up to placeholders count if the slots are filled consistently along their
+alignment: one benchmark value always stands for one document value, and one document value for one benchmark value.
+A document holds an item if at least `containment` of the item's windows are found in it. DataFrame operations only.
 
-Since a document's case may be changed, an item is also looked up with its names as plain words. Since names also start
-sentences and lines, a third lookup takes every capitalised word of items and documents as a name; there a window counts
-only if it has a word that is no placeholder, and its slots have to be consistent among themselves.
+Documents have one template, in which every capitalised word is a name: names also start sentences and lines. Items
+have three, since a copy may have another case or stand elsewhere in a sentence: with every capitalised word as a
+name, with those inside a sentence only, and with none. A window of the first counts only if it has a word that is no
+placeholder. The place of an item is found if its window of any of the three is.
 
 An item of fewer than `width` tokens is one window, all its tokens with the values they have in it: only copies of it
 (in any case and with any marks between) hold it, at one token just that word. Null or empty texts have no windows. Rows equal in id
@@ -29,6 +30,8 @@ UNITS = ("mm", "cm", "m", "km", "g", "kg", "mg", "t", "s", "ms", "min", "h", "l"
 NUMBER, UNIT, NAME, POINT = "\ue000", "\ue001", "\ue002", "\ue004"
 INNER_NAME = r"(?<=[\p{Ll},;:] )\p{Lu}\p{Ll}+"
 ANY_NAME = r"(?<![\p{L}\p{N}\p{M}_\uE000-\uE004])\p{Lu}\p{Ll}+"
+#: The names that each of an item's templates replaces.
+TEMPLATES = (ANY_NAME, INNER_NAME, None)
 BETWEEN = r"[^\p{L}\p{N}\p{M}_\uE000-\uE004]+"
 #: Benchmark windows up to which their side of the join is broadcast (16 bytes each); beyond it is shuffled.
 BROADCAST_WINDOWS = 500_000
@@ -41,9 +44,9 @@ def template(text: Column, names: str | None = INNER_NAME, values: bool = False)
     """
     kept = "$0" if values else ""
     text = F.coalesce(text, F.lit(""))
-    numbers = F.regexp_replace(F.regexp_replace(text, r"(?<=[0-9])[.,](?=[0-9])", POINT), rf"[0-9][0-9{POINT}]*", NUMBER + kept)
-    units = F.regexp_replace(numbers, rf"(?<={NUMBER}[0-9{POINT}]{{0,40}}[ -]?)(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", UNIT + kept)
-    out = F.when(text.rlike("[0-9]"), units).otherwise(text)
+    numbers = F.regexp_replace(F.regexp_replace(text, r"(?<=\p{Nd})[.,](?=\p{Nd})", POINT), rf"\p{{Nd}}[\p{{Nd}}{POINT}]*", NUMBER + kept)
+    units = F.regexp_replace(numbers, rf"(?<={NUMBER}[\p{{Nd}}{POINT}]{{0,40}}[ -]?)(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", UNIT + kept)
+    out = F.when(text.rlike(r"\p{Nd}"), units).otherwise(text)
     if names:
         out = F.regexp_replace(out, names, NAME + kept)
     return F.split(F.lower(out), BETWEEN, -1)
@@ -61,16 +64,6 @@ def windows(df: DataFrame, width: int, id_col: str, names: str | None = INNER_NA
     return rows.select(id_col, "t", F.posexplode_outer("w").alias("at", "h")).where("h is not null")
 
 
-def renamed_windows(df: DataFrame, width: int, id_col: str) -> DataFrame:
-    """(id, t, at, h): the windows with a capitalised word that is a name for ANY_NAME only, t being that template."""
-    typed = df.where(F.col("text").rlike(ANY_NAME)).withColumn("t", template(F.col("text"), ANY_NAME)).withColumn("inner", template(F.col("text")))
-    more = F.filter(F.transform(F.zip_with("t", "inner", lambda t, u: t != u), lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
-    at = F.array_distinct(F.flatten(F.transform("more", lambda i: F.sequence(F.greatest(i - width + 1, F.lit(0)), i))))
-    rows = typed.withColumn("more", more).withColumn("hashed", F.transform("t", lambda t: F.xxhash64(t))).withColumn("starts", at)
-    rows = rows.withColumn("w", F.transform(F.filter("starts", lambda i: i <= F.size("hashed") - width), lambda i: F.struct(i.alias("at"), window_hash(i, width).alias("h"))))
-    return rows.select(id_col, "t", F.explode_outer("w").alias("w")).where("w is not null").select(id_col, "t", "w.*")
-
-
 def window_hash(i: Column, width: int) -> Column:
     return F.xxhash64(*[F.get("hashed", i + j) for j in range(width)])
 
@@ -79,26 +72,26 @@ def is_slot(t: Column) -> Column:
     return t.isin(NUMBER, UNIT, NAME)
 
 
-def slotted_windows(df: DataFrame, width: int, id_col: str, names: str) -> DataFrame:
+def slotted_windows(df: DataFrame, width: int, id_col: str, names: str | None) -> DataFrame:
     """(id, at, h, filled): the windows with placeholders only; filled has what they stand for."""
-    typed = df.where(F.col("text").rlike(rf"[0-9]|{names}")).withColumn("t", template(F.col("text"), names)).withColumn("hashed", F.transform("t", lambda t: F.xxhash64(t))).withColumn("values", template(F.col("text"), names, values=True))
+    some = rf"\p{{Nd}}|{names}" if names else r"\p{Nd}"
+    typed = df.where(F.col("text").rlike(some)).withColumn("t", template(F.col("text"), names)).withColumn("hashed", F.transform("t", lambda t: F.xxhash64(t))).withColumn("values", template(F.col("text"), names, values=True))
     starts = F.filter(F.sequence(F.lit(0), F.size("t") - width), lambda i: F.exists(F.slice("t", i + 1, width), is_slot))
     rows = typed.withColumn("starts", F.when(F.size("t") >= width, starts)).withColumn("w", F.get(F.transform(F.array("values"), lambda v: F.transform("starts", lambda i: F.struct(i.alias("at"), window_hash(i, width).alias("h"), F.slice(v, i + 1, width).alias("filled")))), F.lit(0)))
     return rows.select(id_col, F.explode_outer("w").alias("w")).where("w is not null").select(id_col, "w.*")
 
 
 def item_windows(benchmark: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, pos, h, slots, renamed, n_windows) of all templates; slots is whether the window has placeholders.
-
-    renamed: the window is of the template that takes every capitalised word as a name.
-    """
+    """(item_id, pos, h, slots, n_windows) of all templates; slots is whether the window has placeholders."""
     items = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
-    both = windows(items, width, "item_id").unionByName(windows(items, width, "item_id", None)).withColumn("renamed", F.lit(False))
-    both = both.unionByName(renamed_windows(items, width, "item_id").withColumn("renamed", F.lit(True)))
-    part = F.slice("t", F.col("at") + 1, width)
-    whole = ~F.exists(part, lambda t: t == "")  # marks at the ends of a text leave an empty token
-    some_word = ~F.col("renamed") | F.exists(part, lambda t: ~is_slot(t))
-    each = both.where(whole & some_word).select("item_id", F.col("at").alias("pos"), "h", F.exists(part, is_slot).alias("slots"), "renamed").distinct()
+    each = None
+    for names in TEMPLATES:
+        part = F.slice("t", F.col("at") + 1, width)
+        whole = ~F.exists(part, lambda t: t == "")  # marks at the ends of a text leave an empty token
+        some_word = F.exists(part, lambda t: ~is_slot(t)) if names == ANY_NAME else F.lit(True)
+        own = windows(items, width, "item_id", names).where(whole & some_word).select("item_id", F.col("at").alias("pos"), "h", F.exists(part, is_slot).alias("slots"))
+        each = own if each is None else each.unionByName(own)
+    each = each.distinct()
     size = each.groupBy(F.col("item_id").alias("q")).agg(F.countDistinct("pos").alias("n_windows"))
     return each.join(size, F.col("item_id").eqNullSafe(F.col("q"))).drop("q")
 
@@ -121,41 +114,40 @@ def found(docs: DataFrame, benchmark: DataFrame, width: int = 5, containment: fl
     items = written(item_windows(benchmark, width), "benchmark_windows", narrow=True)
     small = items.count() <= BROADCAST_WINDOWS
     # every hash once: a document's window meets one row, whatever number of items hold it
-    keys = items.groupBy("h").agg(F.collect_set(F.struct("item_id", "pos", "slots", "renamed", "n_windows")).alias("held"))
+    keys = items.groupBy("h").agg(F.collect_set(F.struct("item_id", "pos", "slots", "n_windows")).alias("held"))
     texts = docs.select(F.struct(F.col(id_col).alias("id"), blob_of(F.col(text_col)).alias("blob")).alias("doc_id"), F.col(text_col).alias("text"))
-
-    def met(w: DataFrame, renamed: bool) -> DataFrame:
-        rows = w.select("doc_id", "at", "h").join(F.broadcast(keys) if small else keys, "h").select("doc_id", "at", F.explode("held").alias("i"))
-        return rows.select("doc_id", "i.item_id", "i.pos", (F.col("at") - F.col("i.pos")).alias("shift"), "i.slots", (F.col("i.renamed") | F.lit(renamed)).alias("renamed"), "i.n_windows")
-
-    hits = met(windows(texts, width, "doc_id"), False)
-    if items.where("renamed").limit(1).count():
-        hits = hits.unionByName(met(renamed_windows(texts, width, "doc_id"), True))
+    met = windows(texts, width, "doc_id", ANY_NAME).select("doc_id", "at", "h").join(F.broadcast(keys) if small else keys, "h").select("doc_id", "at", F.explode("held").alias("i"))
+    hits = met.select("doc_id", "i.item_id", "i.pos", (F.col("at") - F.col("i.pos")).alias("shift"), "i.slots", "i.n_windows")
     hits = written(hits.distinct(), "benchmark_hits", narrow=True)
-    for renamed, names in ((False, INNER_NAME), (True, ANY_NAME)):
-        slotted = hits.where(F.col("slots") & (F.col("renamed") == renamed)).select(F.col("doc_id").alias("s_doc")).distinct()
-        if slotted.limit(1).count():
-            odd = inconsistent(texts.join(slotted, F.col("doc_id").eqNullSafe(F.col("s_doc")), "left_semi"), benchmark.select(F.col("item_id"), F.col("text")), width, small, names)
-            same = hits.doc_id.eqNullSafe(F.col("o_doc")) & hits.item_id.eqNullSafe(F.col("o_item")) & (hits["shift"] == F.col("o_shift"))
-            hits = hits.join(odd, same & hits.slots & (hits.renamed == renamed), "left_anti")
+    slotted = hits.where("slots").select(F.col("doc_id").alias("s_doc")).distinct()
+    if slotted.limit(1).count():
+        odd = inconsistent(texts.join(slotted, F.col("doc_id").eqNullSafe(F.col("s_doc")), "left_semi"), benchmark.select(F.col("item_id"), F.col("text")), width, small)
+        same = hits.doc_id.eqNullSafe(F.col("o_doc")) & hits.item_id.eqNullSafe(F.col("o_item")) & (hits["shift"] == F.col("o_shift"))
+        hits = hits.join(odd, same & hits.slots, "left_anti")
     short = written(short_items(benchmark, width), "short_items", narrow=True)
     for n in sorted(r["n_tokens"] for r in short.select("n_tokens").distinct().collect()):
         own = short.where(F.col("n_tokens") == n).groupBy("h").agg(F.collect_list("item_id").alias("held"))
         rows = windows(texts, n, "doc_id", None, values=True).select("doc_id", "h").join(F.broadcast(own) if small else own, "h")
         rows = rows.select("doc_id", F.explode("held").alias("item_id")).distinct()
-        hits = hits.unionByName(rows.select("doc_id", "item_id", F.lit(0).alias("pos"), F.lit(0).alias("shift"), F.lit(False).alias("slots"), F.lit(False).alias("renamed"), F.lit(1).cast("long").alias("n_windows")))
+        hits = hits.unionByName(rows.select("doc_id", "item_id", F.lit(0).alias("pos"), F.lit(0).alias("shift"), F.lit(False).alias("slots"), F.lit(1).cast("long").alias("n_windows")))
     share = F.col("n_found") / F.col("n_windows")
     return hits.groupBy("doc_id", "item_id", "n_windows").agg(F.countDistinct("pos").alias("n_found")).withColumn("containment", share).where(F.col("containment") >= containment)
 
 
-def inconsistent(texts: DataFrame, benchmark: DataFrame, width: int, small: bool, names: str) -> DataFrame:
-    """Alignments (o_doc, o_item, o_shift) in which one benchmark value stands for several document values."""
-    theirs = slotted_windows(benchmark, width, "item_id", names).groupBy("h").agg(F.collect_set(F.struct("item_id", F.col("at").alias("pos"), F.col("filled").alias("theirs"))).alias("held"))
-    ours = slotted_windows(texts, width, "doc_id", names).join(F.broadcast(theirs) if small else theirs, "h")
+def inconsistent(texts: DataFrame, benchmark: DataFrame, width: int, small: bool) -> DataFrame:
+    """Alignments (o_doc, o_item, o_shift) whose slots are filled by no one-to-one relation of values."""
+    theirs = None
+    for names in TEMPLATES:
+        own = slotted_windows(benchmark, width, "item_id", names)
+        theirs = own if theirs is None else theirs.unionByName(own)
+    theirs = theirs.groupBy("h").agg(F.collect_set(F.struct("item_id", F.col("at").alias("pos"), F.col("filled").alias("theirs"))).alias("held"))
+    ours = slotted_windows(texts, width, "doc_id", ANY_NAME).join(F.broadcast(theirs) if small else theirs, "h")
     pairs = ours.select("doc_id", "at", F.col("filled").alias("ours"), F.explode("held").alias("i"))
     slot = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.struct(F.get("i.theirs", j).alias("theirs"), F.get("ours", j).alias("ours")))
     filled = pairs.select("doc_id", "i.item_id", (F.col("at") - F.col("i.pos")).alias("shift"), F.explode_outer(slot).alias("f")).where(F.left("f.theirs", F.lit(1)).isin(NUMBER, UNIT, NAME))
-    several = filled.groupBy("doc_id", "item_id", "shift", "f.theirs").agg(F.countDistinct("f.ours").alias("n")).where("n > 1")
+    filled = written(filled.select("doc_id", "item_id", "shift", "f.theirs", "f.ours").distinct(), "benchmark_slots", narrow=True)
+    each = [filled.groupBy("doc_id", "item_id", "shift", side).agg(F.count("*").alias("n")).where("n > 1") for side in ("theirs", "ours")]
+    several = each[0].select("doc_id", "item_id", "shift").unionByName(each[1].select("doc_id", "item_id", "shift"))
     return written(several.select(F.col("doc_id").alias("o_doc"), F.col("item_id").alias("o_item"), F.col("shift").alias("o_shift")).distinct(), "benchmark_odd", narrow=True)
 
 

@@ -327,6 +327,13 @@ def test_decontamination_of_names_at_sentence_starts_and_of_short_items(spark):
     assert {r.doc_id for r in decontaminate.clean(docs, items).collect()} == {2, 5, 7}
 
 
+def test_slots_are_filled_one_to_one(spark):
+    fill = "Mary carried {} apples and {} pears from the old barn to the market.".format
+    docs = spark.createDataFrame([(1, fill(4, 4)), (2, fill(8, 9)), (3, fill(5, 3)), (4, "and so " + fill(3, 5).lower()), (5, fill("\u0663", "\u0665"))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, fill(3, 5))], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.contaminated(docs, items).collect()} == {2, 3, 4, 5}
+
+
 def test_decontamination_query_finds_planted_passages(spark):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet").collect() for t in ("documents", "benchmark"))
     want = {(d.doc_id, i.item_id) for d in docs for i in items if i.text.lower() in d.text.lower()}
