@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Prefix of every internal column, so that extra columns of an input cannot clash with ours.
 P = "_ce_"
+#: The largest id; a null id counts as it where ids are put in order.
+LAST = (1 << 63) - 1
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and survives the loss of an executor.
+    """df as a table in the shared folder: cuts the lineage and survives the loss of an executor. See erase.
 
     narrow: for tables of few and short rows behind an exchange: a file for each core at most, not one for each
     partition, since every open Parquet file takes memory outside the heap.
@@ -53,13 +55,25 @@ def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     df = df.coalesce(spark.sparkContext.defaultParallelism) if narrow else df
     path = f"{shared_dir(spark)}/corpus_engine/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._ce_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def erase(*tables: DataFrame) -> None:
+    """Deletes tables made by written that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._ce_path)
 
 
 def release(spark: SparkSession) -> None:
     """Deletes all tables of this library in the shared folder; results not yet read are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corpus_engine")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/corpus_engine")
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
@@ -85,29 +99,45 @@ def slices(batch, rows: int = 256, most: int = 8 << 20):
 
 
 def cell_of(key: Column, splitters: list[int]) -> Column:
-    """Number of splitters that are at most key. Short lists become one expression, long ones a vectorised search."""
-    if len(splitters) <= 64:
-        return sum((F.when(key >= F.lit(s), 1).otherwise(0) for s in splitters), F.lit(0)).cast("int")
-    cuts = np.array(splitters, dtype=np.int64)
+    """Number of splitters that are at most key: a binary search of log2(n) steps in one array literal."""
+    if not splitters:
+        return F.lit(0)
+    top = 1 << len(splitters).bit_length() - 1
+    cuts = F.split(F.lit(",".join(map(str, splitters))), ",").cast("array<bigint>")  # folded to a literal by the optimiser
 
-    @F.pandas_udf("int")
-    def find(ids):
-        return ids.__class__(np.searchsorted(cuts, ids.to_numpy(dtype=np.int64), side="right").astype(np.int32))
+    def search(k):
+        def step(at, half):
+            return F.when(F.get(cuts, at + half - 1) <= k, at + half).otherwise(at)
+
+        return F.aggregate(F.array(*[F.lit(top >> i) for i in range(top.bit_length())]), F.lit(0), step)
 
-    return find(key)
+    return F.get(F.transform(F.array(key), search), F.lit(0))  # the key is evaluated once
+
+
+def one_of(value: Column, sorted_values: list[int]) -> Column:
+    """Whether value is among them, by the same search."""
+    held = F.split(F.lit(",".join(map(str, sorted_values))), ",").cast("array<bigint>")
+    return F.coalesce(F.get(held, cell_of(value, sorted_values) - 1) == value, F.lit(False))
 
 
 def bundled(docs: DataFrame, target_bytes: int = 6 << 20) -> tuple[DataFrame, int, list[int]]:
     """(bundle, doc_id, text): ranges of doc_id of about target_bytes of text each, in id order.
 
     Returns also the number of bundles and their splitters. A null doc_id counts as the largest.
-    Equal ids share a bundle; a bundle is one unit of Python work and bounds its memory.
+    Equal ids share a bundle; a bundle is one unit of Python work and bounds its memory. The splitters, 8 bytes for
+    target_bytes of text, are broadcast once to each executor.
     """
     from corpus_engine.llm.sharding import histogram_splitters
 
-    key = F.coalesce(F.col("doc_id"), F.lit((1 << 62) - 1))
+    key = F.shiftright(F.coalesce(F.col("doc_id"), F.lit(LAST)), 1)  # half of the range, so that no difference overflows
     sizes = written(docs.select(key.alias("k"), (F.octet_length("text") + F.lit(64)).cast("long").alias("w")), "sizes")
     total = sizes.agg(F.sum("w")).first()[0] or 0
     n = max(1, -(-int(total) // target_bytes))
     cuts = histogram_splitters(sizes, n, tolerance=0.25)[0] if n > 1 else []
-    return docs.select(cell_of(key, cuts).alias("bundle"), "doc_id", "text"), n, cuts
+    held = docs.sparkSession.sparkContext.broadcast(np.array(cuts, np.int64))
+
+    @F.pandas_udf("int")
+    def find(ids):
+        return ids.__class__(np.searchsorted(held.value, ids.to_numpy(dtype=np.int64), side="right").astype(np.int32))
+
+    return docs.select(find(key).alias("bundle"), "doc_id", "text"), n, cuts

@@ -4,7 +4,9 @@ The key of a row is (crc32 of the text, hash of the id), packed into one long: a
 training, in which equal texts are neighbours; only a splitter inside a large group of copies parts them.
 Candidate boundaries (probes) split the key range; one aggregation gives the exact bytes below each, and only cells
 that hold a wanted splitter are refined, until it is within the tolerance or the cell is a single key.
-What the driver holds is bounded by the number of probes, not by the input.
+What the driver holds grows with the number of splitters only: some counts a splitter and round, and at most PROBES
+counts where there are fewer. Shards of more than PIECE_ROWS rows are sorted in pieces, a splitter for so many rows, so
+that no task sorts a whole shard; the pieces' offsets (12 bytes for PIECE_ROWS rows) are broadcast.
 
 Null text: size 16 and the crc of the empty text. Null id: hashed like any other value. Empty table: no rows.
 Repeated rows: same key, kept all, in one shard unless the shard ends among them.
@@ -28,6 +30,8 @@ def histogram_splitters(df: DataFrame, n: int, tolerance: float, key: str = "k",
 
     A part's bounds are within tolerance x (total / n) of the ideal unless one key alone outweighs that.
     """
+    from corpus_engine.llm.common import one_of
+
     low, high, total = df.agg(F.min(key), F.max(key), F.sum(weight)).first()
     if low is None or n <= 1:
         return [], 0
@@ -43,7 +47,7 @@ def histogram_splitters(df: DataFrame, n: int, tolerance: float, key: str = "k",
         rounds += 1
         bits = min(shift, max(1, (PROBES // len(cells)).bit_length() - 1))
         step = shift - bits
-        rows = df if rounds == 1 else df.where(F.shiftright(offset, shift).isin(list(cells)))
+        rows = df if rounds == 1 else df.where(one_of(F.shiftright(offset, shift), sorted(cells)))
         counts: dict[int, list[tuple[int, int]]] = {}
         for p, w in sorted((int(p), int(w)) for p, w in rows.groupBy(F.shiftright(offset, step)).agg(F.sum(weight)).collect()):
             counts.setdefault(p >> bits, []).append((p, w))
