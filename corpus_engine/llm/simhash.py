@@ -1,14 +1,16 @@
 """SimHash near-duplicates, linked by anchor-point covering.
 
-Fingerprints of 64 bits are cut into threshold // 2 + 1 parts, so a linked pair differs in at most one bit of some
-part. The anchors of a part are the words of a covering code: the Hamming code on its low bits, all words on the
-rest, covering radius 1. Each fingerprint goes to every anchor within radius + 1, so both of a linked pair meet at
-an anchor near the first. Members are compared per anchor; an anchor with many members is dealt out in tiles of
+Fingerprints, of 64 bits a lane, are cut into parts. The anchors of a part are the words of a covering code: the
+Hamming code on its low bits, all words on the rest, covering radius 1. Each fingerprint goes to every anchor within 2
+(the radius, and half of the 2 bits that two members of an anchor may differ by in the part): of words that differ in
+2 bits one lies between them, and its nearest anchor is within 2 of both. So all pairs that differ by 2 bits or fewer
+in some part meet. threshold // 3 + 1 parts find every pair within the threshold; more bits and more parts with a higher
+threshold find most pairs of a wider range. Members are compared per anchor; an anchor with many members is dealt out in tiles of
 pairs of slices. A tile returns a spanning star of its links, not all pairs; stars are joined by alternating
 large-star and small-star rounds over tables in the shared folder.
 
 Null or wordless text: fingerprint 0, linked like any other. Equal fingerprints are one node; its copies are never
-paired. Repeated rows each get a row. A null doc_id counts as the largest and never names a component unless alone.
+paired. Repeated rows each get a row. A null doc_id never names a component unless alone.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_engine.llm.common import as_bytes, blob_of, slices, texts, written
+from corpus_engine.llm.common import as_bytes, blob_of, erase, slices, texts, written
 
 SEED = 42
-LAST = (1 << 63) - 1
+MIX = 0xBF58476D1CE4E5B9
 #: Members of an anchor that one tile holds from each of its two slices.
 TILE = 4096
 
@@ -40,28 +42,45 @@ def shingle_hashes(data: bytes, width: int) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip((end - size)[: n - width + 1].tolist(), end[width - 1 :].tolist(), strict=True)]
 
 
-def simhash(data: bytes, width: int = 4) -> int:
-    """A bit is 1 if it is set in over half of the shingles' hashes, repeats included."""
-    hashes = shingle_hashes(data, width)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[at : at + (1 << 16)], dtype="<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+def simhash(data: bytes, width: int = 4, lanes: int = 1, distinct: bool = False) -> list[int]:
+    """64 bits a lane. A bit is 1 if it is set in over half of the shingles' hashes, repeats included unless distinct.
 
-
-def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text", blob: bool = False) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long; blob adds the text's SHA-256."""
+    The hashes of further lanes are made from those of the first by a mixing function.
+    """
+    hashes = np.array(shingle_hashes(data, width), np.uint64)
+    if distinct:
+        hashes = np.unique(hashes)
+    out = []
+    for lane in range(lanes):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 1 << 16):
+            part = hashes[at : at + (1 << 16)]
+            if lane:
+                part = (part ^ part >> np.uint64(32)) * np.uint64(MIX + 2 * lane)
+                part = (part ^ part >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+                part ^= part >> np.uint64(32)
+            counts += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0]))
+    return out
+
+
+def lane_names(lanes: int) -> list[str]:
+    return ["fp", *(f"fp{i}" for i in range(1, lanes))]
+
+
+def fingerprints(docs: DataFrame, width: int = 4, lanes: int = 1, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text", blob: bool = False) -> DataFrame:
+    """(doc_id, fp, fp1, ...): the lanes of the fingerprint as signed longs; blob adds the text's SHA-256."""
     more = ["blob"] if blob else []
+    names = lane_names(lanes)
 
     def run(batches):
         for batch in batches:
             for b in slices(batch):
-                fp = np.array([simhash(x, width) for x in as_bytes(b.column(1))], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], ["doc_id", "fp", *more])
+                fp = np.array([simhash(x, width, lanes, distinct) for x in as_bytes(b.column(1))], dtype=np.uint64).view(np.int64).reshape(-1, lanes)
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(fp[:, i].copy()) for i in range(lanes)), *b.columns[2:]], ["doc_id", *names, *more])
 
     rows = texts(docs, id_col, text_col).select("doc_id", "text", *[blob_of(F.col("text")).alias(c) for c in more])
-    return rows.mapInArrow(run, "doc_id long, fp long" + ", blob string" * blob)
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names) + ", blob string" * blob)
 
 
 class AnchorCode:
@@ -92,27 +111,28 @@ class AnchorCode:
         return at[0], words[at[0]] ^ masks[at]
 
 
-def parts(threshold: int) -> list[tuple[int, int]]:
-    n = threshold // 2 + 1
-    cut = [64 * i // n for i in range(n + 1)]
+def parts(per_lane: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of the parts of a lane."""
+    cut = [64 * i // per_lane for i in range(per_lane + 1)]
     return list(zip(cut, np.diff(cut).tolist(), strict=False))
 
 
-def covered(nodes: DataFrame, threshold: int) -> DataFrame:
-    """(key, fp, rep): a row for each anchor of each part that a fingerprint is near enough to."""
-    layout = [(at, AnchorCode(size, 1 + 1), size) for at, size in parts(threshold)]
+def covered(nodes: DataFrame, per_lane: int) -> DataFrame:
+    """(key, fp, ..., rep): a row for each anchor of each part that a fingerprint is near enough to."""
+    names = [c for c in nodes.columns if c.startswith("fp")]
+    codes = {size: AnchorCode(size, 1 + 1) for _, size in parts(per_lane)}
 
     def run(batches):
         for b in batches:
-            fp, rep = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for k, (at, code, size) in enumerate(layout):
-                i, anchor = code.anchors((fp.view(np.uint64) >> np.uint64(at)).astype(np.int64) & ((1 << size) - 1))
-                key = anchor | (k << 58)
+            *fps, rep = (b.column(i).to_numpy(zero_copy_only=False) for i in range(len(names) + 1))
+            for k, (lane, (at, size)) in enumerate((x, y) for x in fps for y in parts(per_lane)):
+                i, anchor = codes[size].anchors((lane.view(np.uint64) >> np.uint64(at)).astype(np.int64) & ((1 << size) - 1))
+                key = anchor | (k << 48)
                 for lo in range(0, len(key), 1 << 16):
                     j = i[lo : lo + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + (1 << 16)]), pa.array(fp[j]), pa.array(rep[j])], ["key", "fp", "rep"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + (1 << 16)]), *(pa.array(x[j]) for x in fps), pa.array(rep[j])], ["key", *names, "rep"])
 
-    return nodes.select("fp", "rep").mapInArrow(run, "key long, fp long, rep long")
+    return nodes.select(*names, "rep").mapInArrow(run, "key long, " + "".join(f"{c} long, " for c in names) + "rep long")
 
 
 def star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,15 +155,17 @@ def star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[member]], nodes[member]
 
 
-def close_pairs(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning star of the links among rows of equal key; rows are sorted by key."""
+def close_pairs(key: np.ndarray, lanes: np.ndarray, rep: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning star of the links among rows of equal key; rows are sorted by key, lanes has a row a lane."""
     left, right, held = [], [], 0
     shift, at = 1, np.arange(len(key))
-    bits = fp.view(np.uint64)
     while len(at):
         at = at[at < len(key) - shift]
         at = at[key[at] == key[at + shift]]
-        near = at[np.bitwise_count(bits[at] ^ bits[at + shift]) <= threshold]
+        far = np.zeros(len(at), np.int64)
+        for bits in lanes:
+            far += np.bitwise_count(bits[at] ^ bits[at + shift])
+        near = at[far <= threshold]
         left.append(rep[near])
         right.append(rep[near + shift])
         held += len(near)
@@ -156,31 +178,34 @@ def close_pairs(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, threshold: int
     return star(np.concatenate(left), np.concatenate(right))
 
 
-def links(nodes: DataFrame, threshold: int = 4, tile: int = TILE) -> DataFrame:
-    """(a, b), a < b: edges with the same components as all pairs of nodes (fp, rep) within the threshold."""
-    near = covered(nodes, threshold)
+def links(nodes: DataFrame, threshold: int = 4, tile: int = TILE, per_lane: int | None = None) -> DataFrame:
+    """(a, b), a < b: edges with the same components as the pairs of nodes (fp, ..., rep) that are within the threshold
+    and meet at an anchor: all pairs within the threshold unless per_lane names fewer parts than that takes."""
+    names = [c for c in nodes.columns if c.startswith("fp")]
+    per_lane = per_lane or threshold // 3 + 1
+    near = covered(nodes, per_lane)
     crowded = written(near.groupBy("key").count().where(F.col("count") > tile), "crowded", narrow=True)
     n = crowded.count()
     if n:
         salts = crowded.select("key", F.ceil(F.col("count") / tile).cast("int").alias("s"))
         salts = F.broadcast(salts) if n <= 100_000 else salts
-        own = F.pmod(F.xxhash64("fp"), F.col("s")).cast("int")
+        own = F.pmod(F.xxhash64("rep"), F.col("s")).cast("int")
         near = (
             near.join(salts, "key", "left")
             .withColumns({"s": F.coalesce("s", F.lit(1))})
-            .select("key", "fp", "rep", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("other"))
-            .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "rep")
+            .select("key", *names, "rep", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("other"))
+            .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *names, "rep")
         )
+        place = ["key", "i", "j"]
     else:
-        near = near.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "rep")
+        place = ["key"]
 
     def run(batches):
         rest = None
         for b in batches:
-            rows = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)])
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])
             rows = rows if rest is None else np.concatenate([rest, rows], axis=1)
-            group = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1]) | (rows[2, 1:] != rows[2, :-1])
-            ends = np.nonzero(group)[0]
+            ends = np.nonzero((rows[: len(place), 1:] != rows[: len(place), :-1]).any(axis=0))[0]
             cut = ends[-1] + 1 if len(ends) else 0
             rest = rows[:, cut:]
             if cut:
@@ -189,17 +214,20 @@ def links(nodes: DataFrame, threshold: int = 4, tile: int = TILE) -> DataFrame:
             yield from compare(rest)
 
     def compare(rows):
-        new = np.concatenate([[True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)])
-        a, b = close_pairs(np.cumsum(new), rows[3].copy(), rows[4], threshold)
+        new = np.concatenate([[True], (rows[: len(place), 1:] != rows[: len(place), :-1]).any(axis=0)])
+        a, b = close_pairs(np.cumsum(new), rows[len(place) : -1].view(np.uint64), rows[-1], threshold)
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    dealt = near.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = near.select(*place, *names, "rep").repartition(*place).sortWithinPartitions(*place)
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that each node of edges (a, b) reaches, itself left out."""
+    """(node, component): the smallest node that each node of edges (a, b) reaches, itself left out.
+
+    Each round's tables are deleted when the next one's are there.
+    """
 
     def mark(e):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -210,34 +238,45 @@ def connected_components(edges: DataFrame) -> DataFrame:
         ends = held.select(F.col("b").alias("u"), F.col("a").alias("v")).unionByName(held.select(F.col("a").alias("u"), F.col("b").alias("v")))
         low = written(ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large_star", narrow=True)
         large = written(ends.join(low, "u").where("v > u").select(F.col("v").alias("b"), F.col("m").alias("a")).where("a < b"), "large", narrow=True)
-        low = written(large.groupBy("b").agg(F.min("a").alias("m")), "small_star", narrow=True)
-        small = large.join(low, "b").select(F.explode(F.array(F.struct(F.col("a").alias("b"), F.col("m").alias("a")), F.struct("b", F.col("m").alias("a")))).alias("e")).select("e.a", "e.b").where("a < b")
+        least = written(large.groupBy("b").agg(F.min("a").alias("m")), "small_star", narrow=True)
+        small = large.join(least, "b").select(F.explode(F.array(F.struct(F.col("a").alias("b"), F.col("m").alias("a")), F.struct("b", F.col("m").alias("a")))).alias("e")).select("e.a", "e.b").where("a < b")
         new = written(small.distinct(), "edges", narrow=True)
+        erase(held, low, large, least)
         now = mark(new)
         if now == seen:
             return new.select(F.col("b").alias("node"), F.col("a").alias("component"))
         held, seen = new, now
 
 
+def grouped(rows: DataFrame, first, threshold: int, per_lane: int | None = None) -> DataFrame:
+    """(fp, ..., first, root) of the distinct fingerprints of rows: the aggregate `first` of each and its component.
+
+    Nodes are the fingerprints, numbered as they stand in a written table, so that no id has to stand for a missing one.
+    """
+    names = [c for c in rows.columns if c.startswith("fp")]
+    nodes = written(rows.groupBy(*names).agg(first.alias("first")).withColumn("rep", F.monotonically_increasing_id()), "simhash_nodes")
+    roots = connected_components(links(nodes.select(*names, "rep"), threshold, per_lane=per_lane))
+    return written(nodes.join(roots, nodes.rep == roots.node, "left").select(*names, "first", F.coalesce("component", "rep").alias("root")), "simhash_members")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id reachable over links."""
-    rows = written(fingerprints(docs, width, id_col, text_col), "simhash")
-    nodes = written(rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("rep")), "simhash_nodes")
-    roots = connected_components(links(nodes, threshold))
-    member = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", F.coalesce("component", "rep").alias("root"))
-    member = written(member.select("fp", F.when(F.col("root") != LAST, F.col("root")).alias("component_id")), "simhash_members")
-    return rows.join(member, "fp").select("doc_id", "fp", "component_id")
+    """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id reachable over links, null ids left out."""
+    rows = written(fingerprints(docs, width, id_col=id_col, text_col=text_col), "simhash")
+    member = grouped(rows, F.min("doc_id"), threshold)
+    named = member.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.join(member.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def heads(docs: DataFrame, threshold: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def heads(docs: DataFrame, threshold: int = 25, width: int = 5, lanes: int = 2, per_lane: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, blob, n): of each group of linked fingerprints the row of the smallest id, then text hash, and how often it occurs.
 
-    Nodes are the fingerprints themselves, so rows of different texts are told apart where ids are null or repeated.
+    The fingerprints are of distinct shingles, so that their distance follows the Jaccard similarity J of the texts' shingle
+    sets: with equal sizes a bit differs with the chance acos(2J / (1 + J)) / pi, at J = 0.8 that is 0.15. The share of
+    pairs that meet at an anchor of one of six parts and differ by 25 bits of 128 or fewer, computed so: 0.87 at J = 0.8,
+    0.97 at 0.85, 0.997 at 0.9; 0.43 at 0.7, 0.1 at 0.6. Rows of different texts are told apart where ids are null or repeated.
     """
-    rows = written(fingerprints(docs, width, id_col, text_col, blob=True), "simhash")
-    nodes = written(rows.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "blob")).alias("first")), "simhash_nodes")
-    roots = connected_components(links(nodes.select("fp", F.col("fp").alias("rep")), threshold))
-    first = nodes.join(roots, nodes.fp == roots.node, "left").groupBy(F.coalesce("component", "fp").alias("root")).agg(F.min("first").alias("first"))
-    first = written(first.select(F.col("first.id").alias("id"), F.col("first.blob").alias("head")), "simhash_heads")
-    held = rows.join(first, (F.coalesce("doc_id", F.lit(LAST)) == F.col("id")) & (F.col("blob") == F.col("head")))
+    rows = written(fingerprints(docs, width, lanes, distinct=True, id_col=id_col, text_col=text_col, blob=True), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("blob").alias("head")))
+    found = written(grouped(rows, first, threshold, per_lane).groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.head"), "simhash_heads")
+    held = rows.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("blob") == F.col("head")))
     return held.groupBy("doc_id", "blob").agg(F.count("*").alias("n"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpus_engine.llm.common import as_bytes, bundled, slices, texts, written
+from corpus_engine.llm.common import LAST, as_bytes, bundled, slices, texts, written
 
 #: Anchors: the commonest words of written English, French, German and Spanish (fixed values).
 ANCHORS = frozenset(
@@ -29,6 +29,8 @@ ANCHORS = frozenset(
 )
 #: Words without a common word after which each further word is an anchor.
 REACH = 6
+#: Bundles up to which the table of their neighbours is broadcast (12 bytes each).
+BROADCAST_BUNDLES = 1_000_000
 _BREAK = bytes.maketrans(b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\0\x1c\x1d\x1e\x1f""", b" " * 37)
 
 
@@ -147,19 +149,18 @@ def with_next(docs: DataFrame, schema: str, each, id_col: str = "doc_id", text_c
     The next of the last document is the first. Bundles are ranges of ids; the first document of a bundle also goes
     to the one before it, so that no order over all rows is needed. Null ids come first; ties are ordered by text.
     """
-    last = (1 << 62) - 1
     rows, bundles, cuts = bundled(texts(docs, id_col, text_col))
-    key = F.coalesce("doc_id", F.lit(last))
+    key = F.coalesce("doc_id", F.lit(LAST))
     tops = {int(r[0]): int(r[1]) for r in rows.groupBy("bundle").agg(F.max(key)).collect()}  # a row a bundle
     held = sorted(tops)
     goes_to = {tops[b]: held[(i + 1) % len(held)] for i, b in enumerate(held)}  # a bundle's first is next to the last of the one above
     pairs = docs.sparkSession.createDataFrame([(k, v) for k, v in goes_to.items()] or [], "top long, guest int")
-    guests = rows.join(F.broadcast(pairs), key == F.col("top")).select(F.col("guest").alias("bundle"), F.lit(True).alias("guest"), "doc_id", "text")
+    guests = rows.join(F.broadcast(pairs) if len(held) <= BROADCAST_BUNDLES else pairs, key == F.col("top")).select(F.col("guest").alias("bundle"), F.lit(True).alias("guest"), "doc_id", "text")
     both = rows.select("bundle", F.lit(False).alias("guest"), "doc_id", "text").unionByName(guests)
 
     def run(table):
         ids, data, guest = table.column("doc_id").to_pylist(), as_bytes(table.column("text").combine_chunks()), table.column("guest").to_pylist()
-        order = lambda i: (-(last if ids[i] is None else ids[i]), data[i])
+        order = lambda i: (-(LAST if ids[i] is None else ids[i]), data[i])
         own = sorted((i for i in range(len(ids)) if not guest[i]), key=order)
         after = sorted((i for i in range(len(ids)) if guest[i]), key=order)
         following = [*own[1:], (after or own)[0]] if own else []

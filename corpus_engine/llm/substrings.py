@@ -20,10 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_engine.llm.common import as_bytes, bundled, texts
+from corpus_engine.llm.common import LAST, as_bytes, bundled, texts
 
 BASE = 0x9E3779B97F4A7C15
-LAST = (1 << 63) - 1
 
 
 class _Words(dict):
