@@ -6,11 +6,15 @@ texts; the Nystroem map sends a text to its kernel values with the landmarks tim
 kernel, and one-versus-rest kernel ridge regression in that space gives a score for each language. Documents are scored
 in batches by two matrix products: presence x landmark presence, and kernel values x weights.
 
-Training reads a bounded sample: at most `per_language` labelled texts of each language, the ones whose ids hash
-lowest, as sets of n-gram codes. Whole texts are used in training and in scoring.
+Letters are folded to lower case, runs of anything else to one blank. An n-gram's code is a hash of its code points
+into 2^21 codes, so that all scripts keep their letters apart.
+
+Training reads a bounded sample: of every language the texts whose id and text hash lowest, `per_language` of each and
+`most_rows` in all (one of each language at least), as sets of n-gram codes. The choice is made in Spark; the driver
+gets these rows only. Whole texts are used in training and in scoring.
 
 Null text or a text without a letter: `und`, score 0. No labelled row: all `und`. Labels that are null are not learned.
-Repeated rows each get a row. Languages are learned up to `most_languages`, the most frequent first.
+Repeated rows each get a row.
 """
 
 from __future__ import annotations
@@ -20,38 +24,43 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpus_engine.llm.common import blob_of, slices
+from corpus_engine.llm.common import P, blob_of, slices, written
+
+#: Labels up to which their table is broadcast (some 50 bytes each).
+BROADCAST_LABELS = 100_000
 
-#: Folded characters: 0 anything but a letter, 1-26 a-z, 27-127 other letters by code point.
-SYMBOLS = 128
-CODES = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
+#: Bits of an n-gram's code.
+BITS = 21
+CODES = 1 << BITS
+#: Odd multipliers that mix the code points of an n-gram (fixed values).
+MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 LETTER = re.compile(r"[^\W\d_]")
-_fold = np.zeros(0x110000, np.uint8)
+_fold = np.zeros(0x110000, np.uint32)
 
 
 def fold_table() -> np.ndarray:
+    """For each code point the lower-case letter it stands for, 0 for anything but a letter."""
     if not _fold.any():
         for cp in range(0x110000):
             if chr(cp).isalpha():
-                low = ord(chr(cp).lower()[0])
-                _fold[cp] = low - 96 if 97 <= low <= 122 else 27 + low % 101
+                _fold[cp] = ord(chr(cp).lower()[0])
     return _fold
 
 
 def grams(text: str) -> np.ndarray:
     """Distinct codes of the text's 1-, 2- and 3-grams; runs of non-letters count as one."""
     s = fold_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    s = np.concatenate([[0], s, [0]]).astype(np.int32)
-    s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
-    two = s[:-1] * SYMBOLS + s[1:]
-    three = two[:-1] * SYMBOLS + s[2:]
+    s = np.concatenate([[0], s, [0]]).astype(np.uint64)
+    s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])] + np.uint64(1)
     seen = np.zeros(CODES, bool)
-    seen[s] = True
-    seen[two + SYMBOLS] = True
-    seen[three + SYMBOLS + SYMBOLS**2] = True
+    held = s * np.uint64(MIX[0])
+    seen[held >> np.uint64(64 - BITS)] = True
+    for n in (1, 2):
+        held = (held[:-1] ^ held[:-1] >> np.uint64(29)) * np.uint64(MIX[n]) + s[n:] * np.uint64(MIX[0])
+        seen[(held ^ held >> np.uint64(32)) * np.uint64(MIX[2]) >> np.uint64(64 - BITS)] = True
     return np.flatnonzero(seen).astype(np.int32)
 
 
@@ -99,14 +108,17 @@ def train(sets: list[np.ndarray], labels: list[str], landmarks: int = 160, ridge
     return base
 
 
-def sample(labelled: DataFrame, per_language: int, most_languages: int, id_col: str, text_col: str, label_col: str) -> tuple[list[np.ndarray], list[str]]:
-    """At most per_language texts of each label, by the lowest hashes of id and text, as code sets."""
+def sample(labelled: DataFrame, per_language: int, most_rows: int, id_col: str, text_col: str, label_col: str) -> tuple[list[np.ndarray], list[str]]:
+    """The texts of each label with the lowest hashes of id and text, as code sets: per_language of each, most_rows in all."""
     named = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("y"), F.col(text_col).alias("x"), F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40)).alias("h"))
-    held = named.groupBy("y").count().orderBy(F.desc("count"), "y").limit(most_languages).collect()
-    if not held:
+    counts = written(named.groupBy("y").count(), "languages", narrow=True)
+    n = counts.count()
+    if not n:
         return [], []
-    # a share of each language that holds about twice what is needed, then the lowest hashes of it
-    cut = F.element_at(F.create_map(*[F.lit(v) for r in held for v in (r["y"], min(1 << 40, int((1 << 40) * (2 * per_language + 50) / r["count"])))]), F.col("y"))
+    most = max(1, min(per_language, most_rows // n))
+    # first a share of each language that holds about twice what is needed, so that few texts are turned into sets
+    share = counts.select(F.col("y").alias("s_y"), F.least(F.lit(1 << 40), (F.lit(float(1 << 40)) * (2 * most + 50) / F.col("count")).cast("long")).alias("cut"))
+    few = named.join(F.broadcast(share) if n <= BROADCAST_LABELS else share, (F.col("y") == F.col("s_y")) & (F.col("h") < F.col("cut")))
 
     def run(batches):
         for batch in batches:
@@ -115,13 +127,10 @@ def sample(labelled: DataFrame, per_language: int, most_languages: int, id_col:
                 ok = [i for i, t in enumerate(x) if LETTER.search(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([y[i] for i in ok], pa.string()), pa.array([h[i] for i in ok], pa.int64()), pa.array([grams(x[i]).tobytes() for i in ok], pa.binary())], ["y", "h", "codes"])
 
-    rows = named.where(F.col("y").isin([r["y"] for r in held]) & (F.col("h") < cut)).mapInArrow(run, "y string, h long, codes binary")
-    kept: dict[str, list] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r["y"], r["h"])):
-        own = kept.setdefault(r["y"], [])
-        if len(own) < per_language:
-            own.append(np.frombuffer(r["codes"], np.int32))
-    return [c for own in kept.values() for c in own], [y for y, own in kept.items() for _ in own]
+    sets = few.select("y", "x", "h").mapInArrow(run, "y string, h long, codes binary")
+    rows = sets.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy("h", "codes"))).where(F.col("n") <= most)
+    held = sorted(rows.collect(), key=lambda r: (r["y"], r["n"]))  # a bounded sample
+    return [np.frombuffer(r["codes"], np.int32) for r in held], [r["y"] for r in held]
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", blob: bool = False) -> DataFrame:
@@ -153,8 +162,8 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, per_language: int = 400, most_languages: int = 200, landmarks: int = 160, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model | None:
-    sets, labels = sample(docs.where(~held_out(F.col(id_col))), per_language, most_languages, id_col, text_col, label_col)
+def fit(docs: DataFrame, per_language: int = 400, most_rows: int = 40_000, landmarks: int = 160, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model | None:
+    sets, labels = sample(docs.where(~held_out(F.col(id_col))), per_language, most_rows, id_col, text_col, label_col)
     return train(sets, labels, max(landmarks, 8 * len(set(labels)))) if sets else None
 
 
