@@ -6,7 +6,8 @@ compatible, that is, stays apart while the merges of both run in rank order. Fol
 end gives exactly the ids of the merge procedure, in time linear in the pretoken, however long it is.
 
 Null text: empty, no ids. Special tokens of the file that occur in a text are single ids, as the tokenizer file says.
-Repeated rows each get a row. The file must be plain byte-level BPE: no normaliser, dropout or byte fallback.
+Repeated rows each get a row. The file must be plain byte-level BPE: no normaliser,
+dropout, byte fallback or ignore_merges, and no added token that takes in white space or whole words only.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ class PrefixBpe:
         model, pre = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or spec["normalizer"] or model.get("dropout") or model.get("byte_fallback"):
             raise ValueError("only plain byte-level BPE files are supported")
+        if model.get("ignore_merges") or any(t.get(flag) for t in spec["added_tokens"] for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("neither ignore_merges nor added tokens that look at what is around them are supported")
         alphabet = byte_alphabet()
         raw = {token: bytes(map(alphabet.__getitem__, token)) for token in model["vocab"]}
         self.bytes_of = {i: raw[token] for token, i in model["vocab"].items()}
