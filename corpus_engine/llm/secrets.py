@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpus_engine.llm.common import shared_dir, written
+from corpus_engine.llm.common import erase, shared_dir, written
 
 
 @dataclass(frozen=True)
@@ -76,7 +77,10 @@ def find(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 class BlobLedger:
-    """Tables under root: paths (version, id, blob), scanned (blob, rules), findings (blob, rules, spans)."""
+    """Tables under root: paths/<version> (id, blob), scanned (blob, rules), findings (blob, rules, spans).
+
+    A version's paths are written whole and replace those of an earlier try, so that a commit can be repeated.
+    """
 
     def __init__(self, spark: SparkSession, root: str, rules: tuple[Rule, ...] = RULES):
         self.spark, self.root, self.rules, self.version = spark, root.rstrip("/"), rules, rule_version(rules)
@@ -89,8 +93,8 @@ class BlobLedger:
     def findings(self) -> DataFrame:
         return self._read("findings", f"blob string, rules string, spans {SPAN}").where(F.col("rules") == self.version)
 
-    def paths(self) -> DataFrame:
-        return self._read("paths", "version string, doc_id long, blob string")
+    def paths(self, version: str) -> DataFrame:
+        return self._read(f"paths/{quote(version, safe='')}", "doc_id long, blob string")
 
     def scanned(self) -> DataFrame:
         return self._read("scanned", "blob string, rules string").where(F.col("rules") == self.version)
@@ -109,13 +113,14 @@ class BlobLedger:
             find(todo.select("blob", "text"), self.rules).select("blob", F.lit(self.version).alias("rules"), "spans").write.mode("append").parquet(f"{self.root}/findings")
             unseen.select("blob", F.lit(self.version).alias("rules")).write.mode("append").parquet(f"{self.root}/scanned")
         # last: a version is in the ledger only when all its blobs are scanned
-        paths.select(F.lit(version).alias("version"), "doc_id", "blob").write.mode("append").parquet(f"{self.root}/paths")
+        paths.write.mode("overwrite").parquet(f"{self.root}/paths/{quote(version, safe='')}")
+        erase(paths, unseen)
         return new
 
     def report(self, version: str) -> DataFrame:
         """(doc_id, blob, spans) for every path of a version; spans is empty where nothing was found."""
         found = self.findings().select("blob", "spans").dropDuplicates(["blob"])
-        return self.paths().where(F.col("version") == version).select("doc_id", "blob").join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+        return self.paths(version).join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, root: str | None = None, version: str = "v1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
