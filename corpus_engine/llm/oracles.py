@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpus_engine.llm.licenses import GAP, RULES, SENTENCES
+from corpus_engine.llm.licenses import ABOVE, GAP, RULES, sequences
 from corpus_engine.llm.secrets import BASE
 from corpus_engine.llm.secrets import RULES as SECRETS
 
@@ -28,19 +28,37 @@ FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id"""
 
 
 def _licenses() -> str:
-    known = ", ".join(f"({quoted(s)}, {quoted(name)})" for name, s in SENTENCES.items())
+    """Separators are doubled, so that neighbours need not share one, and sentences are looked for longest first."""
+    by_name: dict[str, list[str]] = {}
+    for words, name in sequences():
+        by_name.setdefault(name, []).append(words.replace(".", r"\.\.").replace(" ", "(?: |\n\n|;;)"))
+    text = r"chr(10) || lower(coalesce(text, '')) || chr(10)"
+    for pattern, to in (
+        (r"[^\p{L}\p{N}.!?:;\n]+", " "),
+        (r"([\p{L}\p{N}])[.!?:;]([\p{L}\p{N}])", r"\1 \2"),
+        (r"([\p{L}\p{N}])[.!?:;]([\p{L}\p{N}])", r"\1 \2"),
+        (r"[ :;\n]*[.!?][ .!?:;\n]*", "."),
+        (r"[ :;]*\n[ :;]*\n[ .!?:;\n]*", "."),
+        (r"[ \n]*[:;][ :;\n]*", ";"),
+        (r" ?\n ?", "\n"),
+        (r"([.;\n])", r"\1\1"),
+    ):
+        text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(to)}, 'g')"
+    text = f"'..' || {text} || '..'"
+    for name, patterns in by_name.items():
+        text = f"regexp_replace({text}, {quoted(f'([.;\n])(?:{'|'.join(patterns)})([.;\n])')}, {quoted(rf'\1<{name}>\2')}, 'g')"
     rules = " UNION ALL ".join(
-        f"SELECT doc_id, {quoted(r.license)} AS license, {quoted(r.family)} AS rule, len(regexp_extract_all(line, {quoted(f'(?: \\w+ ){{0,{GAP}}}?'.join(f' {s} ' for s in r.sentences))})) AS n, "
-        f"list_min(list_transform(list_filter(hits, lambda h: h.name IN ({', '.join(map(quoted, r.sentences))})), lambda h: h.pos)) AS first, list_max(list_transform(list_filter(hits, lambda h: h.name IN ({', '.join(map(quoted, r.sentences))})), lambda h: h.pos)) AS last, {len(r.sentences)} AS long FROM seqs"
-        for r in RULES
+        f"SELECT doc_id, {quoted(r.license)} AS license, {quoted(r.family)} AS rule, len(regexp_extract_all(line, {quoted(rf'(?: \w+ ){{0,{GAP}}}?'.join(f' {s} ' for s in r.sentences))})) AS n, "
+        f"list_min(list_transform(list_filter(hits, lambda h: h.name IN ({', '.join(map(quoted, r.sentences))})), lambda h: h.pos)) AS first, list_max(list_transform(list_filter(hits, lambda h: h.name IN ({', '.join(map(quoted, r.sentences))})), lambda h: h.pos)) AS last, {n} AS no, {ABOVE[n]}::INT[] AS above FROM seqs"
+        for n, r in enumerate(RULES)
     )
-    return rf"""WITH known(sentence, name) AS (VALUES {known}),
-cut AS (SELECT doc_id, regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?:;])[ \t]+', '\1' || chr(1), 'g'), '\n+|\x01') AS s FROM documents),
-each AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) - 1 AS pos FROM cut),
-named AS (SELECT doc_id, pos, name FROM each JOIN known ON trim(regexp_replace(lower(s), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) = sentence),
-seqs AS (SELECT doc_id, list({{'pos': pos, 'name': name}} ORDER BY pos) AS hits, ' ' || string_agg(name, '  ' ORDER BY pos) || ' ' AS line FROM named GROUP BY doc_id),
+    return rf"""WITH named AS (SELECT doc_id, {text} AS t FROM documents WHERE regexp_matches(coalesce(text, ''), '(?i)licen[cs]e|permi|warrant|redistrib|copyright|public|this|mpl|advert')),
+cut AS (SELECT doc_id, string_split(t, '..') AS s FROM named WHERE contains(t, '<')),
+each AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) - 2 AS pos FROM cut),
+found AS (SELECT doc_id, pos, unnest(regexp_extract_all(s, '<(\w+)>', 1)) AS name, generate_subscripts(regexp_extract_all(s, '<(\w+)>', 1), 1) AS n FROM each),
+seqs AS (SELECT doc_id, list({{'pos': pos, 'name': name}} ORDER BY pos, n) AS hits, ' ' || string_agg(name, '  ' ORDER BY pos, n) || ' ' AS line FROM found GROUP BY doc_id),
 matched AS (SELECT * FROM ({rules}) WHERE n > 0)
-SELECT doc_id, license, rule, n, first, last FROM matched m WHERE NOT EXISTS (SELECT 1 FROM matched o WHERE o.doc_id = m.doc_id AND o.license = m.license AND o.long > m.long AND o.first <= m.first AND o.last >= m.last)"""
+SELECT doc_id, license, rule, n, first, last FROM matched m WHERE NOT EXISTS (SELECT 1 FROM matched o WHERE o.doc_id = m.doc_id AND list_contains(m.above, o.no) AND o.first <= m.first AND o.last >= m.last)"""
 
 
 SUBSTRINGS = r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
