@@ -37,27 +37,33 @@ BETWEEN = r"[^\p{L}\p{N}\p{M}_\uE000-\uE004]+"
 BROADCAST_WINDOWS = 500_000
 
 
-def template(text: Column, names: str | None = INNER_NAME, values: bool = False) -> Column:
-    """The tokens of a text with placeholders, in the same places with values=True, where each keeps what it stands for.
+def tokens(text: Column, names: str | None = ANY_NAME) -> Column:
+    """The tokens of a text: placeholders, each followed by what it stands for, and words in lower case.
 
     names is the pattern of names, INNER_NAME or ANY_NAME or none; the tokens are cut in the same places with each.
     """
-    kept = "$0" if values else ""
     text = F.coalesce(text, F.lit(""))
-    numbers = F.regexp_replace(F.regexp_replace(text, r"(?<=\p{Nd})[.,](?=\p{Nd})", POINT), rf"\p{{Nd}}[\p{{Nd}}{POINT}]*", NUMBER + kept)
-    units = F.regexp_replace(numbers, rf"(?<={NUMBER}[\p{{Nd}}{POINT}]{{0,40}}[ -]?)(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", UNIT + kept)
+    numbers = F.regexp_replace(F.regexp_replace(text, r"(?<=\p{Nd})[.,](?=\p{Nd})", POINT), rf"\p{{Nd}}[\p{{Nd}}{POINT}]*", NUMBER + "$0")
+    units = F.regexp_replace(numbers, rf"(?<={NUMBER}[\p{{Nd}}{POINT}]{{0,40}}[ -]?)(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", UNIT + "$0")
     out = F.when(text.rlike(r"\p{Nd}"), units).otherwise(text)
     if names:
-        out = F.regexp_replace(out, names, NAME + kept)
+        out = F.regexp_replace(out, names, NAME + "$0")
     return F.split(F.lower(out), BETWEEN, -1)
 
 
-def windows(df: DataFrame, width: int, id_col: str, names: str | None = INNER_NAME, values: bool = False) -> DataFrame:
-    """(id, t, at, h): the hash h of every window of a table (id, text), with the template t it is from.
+def kind(token: Column) -> Column:
+    """A token of the template: the placeholder alone, or the word."""
+    first = F.left(token, F.lit(1))
+    return F.when(first.isin(NUMBER, UNIT, NAME), first).otherwise(token)
 
-    Each step is a column of its own: an expression inlined into a lambda would be evaluated for every element.
+
+def windows(df: DataFrame, width: int, id_col: str, names: str | None = ANY_NAME, values: bool = False) -> DataFrame:
+    """(id, t, at, h): every window of a table (id, text), h the hash of its template and t the tokens of the whole text.
+
+    With values the hash is that of the tokens themselves. Each step is a column of its own: an expression inlined into
+    a lambda would be evaluated for every element. t is for those who cut the window's tokens from it in the same stage.
     """
-    hashed = df.withColumn("t", template(F.col("text"), names, values)).withColumn("hashed", F.transform("t", lambda t: F.xxhash64(t)))
+    hashed = df.withColumn("t", tokens(F.col("text"), names)).withColumn("hashed", F.transform("t", lambda t: F.xxhash64(t if values else kind(t))))
     several = F.transform(F.sequence(F.lit(0), F.size("hashed") - width), lambda i: window_hash(i, width))
     rows = hashed.withColumn("w", F.when(F.size("hashed") >= width, several))
     # outer: else a filter on the windows is inferred and evaluates all steps above once more, nested
@@ -68,28 +74,19 @@ def window_hash(i: Column, width: int) -> Column:
     return F.xxhash64(*[F.get("hashed", i + j) for j in range(width)])
 
 
-def is_slot(t: Column) -> Column:
-    return t.isin(NUMBER, UNIT, NAME)
-
-
-def slotted_windows(df: DataFrame, width: int, id_col: str, names: str | None) -> DataFrame:
-    """(id, at, h, filled): the windows with placeholders only; filled has what they stand for."""
-    some = rf"\p{{Nd}}|{names}" if names else r"\p{Nd}"
-    typed = df.where(F.col("text").rlike(some)).withColumn("t", template(F.col("text"), names)).withColumn("hashed", F.transform("t", lambda t: F.xxhash64(t))).withColumn("values", template(F.col("text"), names, values=True))
-    starts = F.filter(F.sequence(F.lit(0), F.size("t") - width), lambda i: F.exists(F.slice("t", i + 1, width), is_slot))
-    rows = typed.withColumn("starts", F.when(F.size("t") >= width, starts)).withColumn("w", F.get(F.transform(F.array("values"), lambda v: F.transform("starts", lambda i: F.struct(i.alias("at"), window_hash(i, width).alias("h"), F.slice(v, i + 1, width).alias("filled")))), F.lit(0)))
-    return rows.select(id_col, F.explode_outer("w").alias("w")).where("w is not null").select(id_col, "w.*")
+def is_slot(token: Column) -> Column:
+    return F.left(token, F.lit(1)).isin(NUMBER, UNIT, NAME)
 
 
 def item_windows(benchmark: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, pos, h, slots, n_windows) of all templates; slots is whether the window has placeholders."""
+    """(item_id, pos, h, theirs, slots, n_windows) of all templates; slots is whether the window has placeholders."""
     items = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
     each = None
     for names in TEMPLATES:
-        part = F.slice("t", F.col("at") + 1, width)
-        whole = ~F.exists(part, lambda t: t == "")  # marks at the ends of a text leave an empty token
-        some_word = F.exists(part, lambda t: ~is_slot(t)) if names == ANY_NAME else F.lit(True)
-        own = windows(items, width, "item_id", names).where(whole & some_word).select("item_id", F.col("at").alias("pos"), "h", F.exists(part, is_slot).alias("slots"))
+        whole = ~F.exists("filled", lambda t: t == "")  # marks at the ends of a text leave an empty token
+        some_word = F.exists("filled", lambda t: ~is_slot(t)) if names == ANY_NAME else F.lit(True)
+        own = windows(items, width, "item_id", names).withColumn("filled", F.slice("t", F.col("at") + 1, width)).where(whole & some_word)
+        own = own.select("item_id", F.col("at").alias("pos"), "h", F.col("filled").alias("theirs"), F.exists("filled", is_slot).alias("slots"))
         each = own if each is None else each.unionByName(own)
     each = each.distinct()
     size = each.groupBy(F.col("item_id").alias("q")).agg(F.countDistinct("pos").alias("n_windows"))
@@ -98,8 +95,8 @@ def item_windows(benchmark: DataFrame, width: int, id_col: str = "item_id", text
 
 def short_items(benchmark: DataFrame, width: int) -> DataFrame:
     """(item_id, n_tokens, h) of the items of fewer than width tokens: the hash of all tokens with their values."""
-    tokens = benchmark.select("item_id", F.array_remove(template(F.col("text"), None, values=True), "").alias("t"))
-    rows = tokens.where(F.size("t").between(1, width - 1)).withColumn("hashed", F.transform("t", lambda t: F.xxhash64(t)))
+    rows = benchmark.select("item_id", F.array_remove(tokens(F.col("text"), None), "").alias("t"))
+    rows = rows.where(F.size("t").between(1, width - 1)).withColumn("hashed", F.transform("t", lambda t: F.xxhash64(t)))
     whole = F.coalesce(*[F.when(F.size("hashed") == n, window_hash(F.lit(0), n)) for n in range(1, width)])
     return rows.select("item_id", F.size("t").alias("n_tokens"), whole.alias("h"))
 
@@ -114,41 +111,36 @@ def found(docs: DataFrame, benchmark: DataFrame, width: int = 5, containment: fl
     items = written(item_windows(benchmark, width), "benchmark_windows", narrow=True)
     small = items.count() <= BROADCAST_WINDOWS
     # every hash once: a document's window meets one row, whatever number of items hold it
-    keys = items.groupBy("h").agg(F.collect_set(F.struct("item_id", "pos", "slots", "n_windows")).alias("held"))
+    keys = items.groupBy("h").agg(F.collect_set(F.struct("item_id", "pos", "slots", "theirs", "n_windows")).alias("held"))
     texts = docs.select(F.struct(F.col(id_col).alias("id"), blob_of(F.col(text_col)).alias("blob")).alias("doc_id"), F.col(text_col).alias("text"))
-    met = windows(texts, width, "doc_id", ANY_NAME).select("doc_id", "at", "h").join(F.broadcast(keys) if small else keys, "h").select("doc_id", "at", F.explode("held").alias("i"))
-    hits = met.select("doc_id", "i.item_id", "i.pos", (F.col("at") - F.col("i.pos")).alias("shift"), "i.slots", "i.n_windows")
-    hits = written(hits.distinct(), "benchmark_hits", narrow=True)
-    slotted = hits.where("slots").select(F.col("doc_id").alias("s_doc")).distinct()
-    if slotted.limit(1).count():
-        odd = inconsistent(texts.join(slotted, F.col("doc_id").eqNullSafe(F.col("s_doc")), "left_semi"), benchmark.select(F.col("item_id"), F.col("text")), width, small)
-        same = hits.doc_id.eqNullSafe(F.col("o_doc")) & hits.item_id.eqNullSafe(F.col("o_item")) & (hits["shift"] == F.col("o_shift"))
-        hits = hits.join(odd, same & hits.slots, "left_anti")
+    part = F.slice("t", F.col("at") + 1, width).alias("filled")
+    if small:  # windows are cut from their text after the join, where few are left
+        met = windows(texts, width, "doc_id").join(F.broadcast(keys), "h").select("doc_id", "at", part, "held")
+    else:  # before the exchange, so that no text goes through it
+        met = windows(texts, width, "doc_id").select("doc_id", "at", "h", part).join(keys, "h")
+    met = met.select("doc_id", "at", "filled", F.explode("held").alias("i"))
+    each = met.select("doc_id", "i.item_id", "i.pos", (F.col("at") - F.col("i.pos")).alias("shift"), "i.slots", "i.n_windows", F.when(F.col("i.slots"), F.col("filled")).alias("ours"), F.when(F.col("i.slots"), F.col("i.theirs")).alias("theirs"))
+    each = written(each.distinct(), "benchmark_hits", narrow=True)
+    odd = inconsistent(each.where("slots"), width)
+    same = each.doc_id.eqNullSafe(F.col("o_doc")) & each.item_id.eqNullSafe(F.col("o_item")) & (each["shift"] == F.col("o_shift"))
+    hits = each.join(odd, same & each.slots, "left_anti").select("doc_id", "item_id", "pos", "n_windows")
     short = written(short_items(benchmark, width), "short_items", narrow=True)
     for n in sorted(r["n_tokens"] for r in short.select("n_tokens").distinct().collect()):
         own = short.where(F.col("n_tokens") == n).groupBy("h").agg(F.collect_list("item_id").alias("held"))
         rows = windows(texts, n, "doc_id", None, values=True).select("doc_id", "h").join(F.broadcast(own) if small else own, "h")
         rows = rows.select("doc_id", F.explode("held").alias("item_id")).distinct()
-        hits = hits.unionByName(rows.select("doc_id", "item_id", F.lit(0).alias("pos"), F.lit(0).alias("shift"), F.lit(False).alias("slots"), F.lit(1).cast("long").alias("n_windows")))
+        hits = hits.unionByName(rows.select("doc_id", "item_id", F.lit(0).alias("pos"), F.lit(1).cast("long").alias("n_windows")))
     share = F.col("n_found") / F.col("n_windows")
     return hits.groupBy("doc_id", "item_id", "n_windows").agg(F.countDistinct("pos").alias("n_found")).withColumn("containment", share).where(F.col("containment") >= containment)
 
 
-def inconsistent(texts: DataFrame, benchmark: DataFrame, width: int, small: bool) -> DataFrame:
+def inconsistent(hits: DataFrame, width: int) -> DataFrame:
     """Alignments (o_doc, o_item, o_shift) whose slots are filled by no one-to-one relation of values."""
-    theirs = None
-    for names in TEMPLATES:
-        own = slotted_windows(benchmark, width, "item_id", names)
-        theirs = own if theirs is None else theirs.unionByName(own)
-    theirs = theirs.groupBy("h").agg(F.collect_set(F.struct("item_id", F.col("at").alias("pos"), F.col("filled").alias("theirs"))).alias("held"))
-    ours = slotted_windows(texts, width, "doc_id", ANY_NAME).join(F.broadcast(theirs) if small else theirs, "h")
-    pairs = ours.select("doc_id", "at", F.col("filled").alias("ours"), F.explode("held").alias("i"))
-    slot = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.struct(F.get("i.theirs", j).alias("theirs"), F.get("ours", j).alias("ours")))
-    filled = pairs.select("doc_id", "i.item_id", (F.col("at") - F.col("i.pos")).alias("shift"), F.explode_outer(slot).alias("f")).where(F.left("f.theirs", F.lit(1)).isin(NUMBER, UNIT, NAME))
-    filled = written(filled.select("doc_id", "item_id", "shift", "f.theirs", "f.ours").distinct(), "benchmark_slots", narrow=True)
-    each = [filled.groupBy("doc_id", "item_id", "shift", side).agg(F.count("*").alias("n")).where("n > 1") for side in ("theirs", "ours")]
-    several = each[0].select("doc_id", "item_id", "shift").unionByName(each[1].select("doc_id", "item_id", "shift"))
-    return written(several.select(F.col("doc_id").alias("o_doc"), F.col("item_id").alias("o_item"), F.col("shift").alias("o_shift")).distinct(), "benchmark_odd", narrow=True)
+    slot = F.filter(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.struct(F.get("theirs", j).alias("theirs"), F.get("ours", j).alias("ours"))), lambda f: is_slot(f["theirs"]))
+    filled = hits.select("doc_id", "item_id", "shift", F.explode_outer(slot).alias("f")).where("f is not null").select("doc_id", "item_id", "shift", "f.*").distinct()
+    alignment = ["doc_id", "item_id", "shift"]
+    each = [filled.groupBy(*alignment, side).agg(F.count("*").alias("n")).where("n > 1").select(*alignment) for side in ("theirs", "ours")]
+    return each[0].unionByName(each[1]).distinct().toDF("o_doc", "o_item", "o_shift")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 5, containment: float = 0.8) -> DataFrame:
