@@ -81,6 +81,14 @@ def test_ledger_scans_unseen_pairs_only(spark, docs, tmp_path):
     assert secrets.BlobLedger(spark, root, secrets.BASE).commit(more, "v4") == 2  # other rules: all pairs are new
 
 
+def test_a_repeated_commit_changes_nothing(docs, tmp_path):
+    ledger = secrets.BlobLedger(docs.sparkSession, f"file://{tmp_path}/ledger")
+    ledger.commit(docs, "v 1/a")
+    first = many((r.doc_id, r.blob, str(r.spans)) for r in ledger.report("v 1/a").collect())
+    assert ledger.commit(docs, "v 1/a") == 0
+    assert many((r.doc_id, r.blob, str(r.spans)) for r in ledger.report("v 1/a").collect()) == first
+
+
 def test_secret_query(spark):
     got = {r.doc_id: r for r in queries.op1_secrets(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
@@ -120,6 +128,17 @@ def test_bpe_is_exact_on_odd_texts(reference_tokenizer):
         assert model.decode_packed(packed) == reference_tokenizer.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_refuses_files_it_cannot_follow():
+    import json
+
+    spec = json.load(open(queries.tokenizer_path(), encoding="utf-8"))
+    for change in (lambda s: s["model"].update(ignore_merges=True), lambda s: s["added_tokens"].append({"id": 0, "content": "x", "lstrip": True})):
+        bad = json.loads(json.dumps(spec))
+        change(bad)
+        with pytest.raises(ValueError, match="supported"):
+            bpe.PrefixBpe(json.dumps(bad))
+
+
 # ---- 3
 def fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
@@ -153,6 +172,13 @@ def test_simhash(docs, rows, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_the_largest_id_names_its_component(spark):
+    top = (1 << 63) - 1
+    rows = [(top, "a b c d e"), (None, "a b c d e"), (top, "other words stand here now"), (None, "nobody else has these words"), (-5, "x y z")]
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(top, top), (None, top), (None, None), (-5, -5)}
+
+
 def test_links_find_all_pairs(spark):
     rng = random.Random(5)
     fps = [rng.getrandbits(64) for _ in range(150)]
@@ -176,13 +202,105 @@ def test_components_of_long_chains(spark):
 
 
 # ---- 4
+MIT = """Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE = """Copyright 2020 A. Person
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def commented(text, lead, head="", tail=""):
+    return head + "".join(f"{lead}{line}".rstrip() + "\n" for line in text.split("\n")) + tail
+
+
 def test_licenses(spark, none):
-    apache = "Licensed under the Apache License, Version 2.0 (the thing);\n"
-    header = "Licensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License.\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and limitations under the License."
-    rows = [(1, "a. b.\nReleased under the MIT License.\nmore"), (2, header), (3, apache), (4, None), (5, ""), (6, "This work is licensed under the GNU General Public License, version 3. Licensed under CC BY-NC 4.0."), (6, "This work is licensed under the GNU General Public License, version 3."), (7, "x " * 50_000)]
-    got = {(r.doc_id, r.license, r.rule, r.first) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {(1, "MIT", "notice", 2), (2, "Apache-2.0", "header", 0), (6, "GPL-3.0", "notice", 0), (6, "CC-BY-NC-4.0", "notice", 1)}
-    assert licenses.scan(none).count() == 0
+    whole = {"MIT": (MIT, "full text"), "Apache-2.0": (APACHE, "header"), "BSD-3-Clause": (BSD, "text"), "GPL-3.0-or-later": (GPL, "text"), "MPL-2.0": (MPL, "full notice")}
+    rows, want = [], set()
+    for n, (name, (text, rule)) in enumerate(whole.items()):
+        forms = [text, commented(text, "# "), commented(text, " * ", "/*\n", " */\nint x;\n"), commented(text, "// "), commented(text, "; "), re.sub(r"(?<!\n)\n(?!\n) *", " ", text), "Prose before.\n\n" + text.replace("\n", "\r\n") + "\nprose after"]
+        rows += [(100 * n + i, f) for i, f in enumerate(forms)]
+        want |= {(100 * n + i, name, rule) for i in range(len(forms))}
+    got = {(r.doc_id, r.license, r.rule) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_license_edges(spark, docs, none):
+    dashes = "-" * 200_000
+    rows = [(1, "a. b.\nReleased under the MIT License.\nmore"), (2, f"Released under the MIT License {dashes}"), (3, "not released under the MIT license plates"), (4, None), (5, ""), (6, "This work is licensed under the GNU General Public License, version 3. Licensed under CC BY-NC 4.0."), (6, "This work is licensed under the GNU General Public License, version 3."), (7, "license " * 50_000), (8, "a title\nLicensed under CC BY-NC 4.0.\nb"), (None, "SPDX-License-Identifier: Apache-2.0\n"), (9, ". ;:\n " * 50_000 + "license")]
+    rows += [rows[0]]
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, license string, n int")
+    got = sorted(((r.doc_id or 0, r.license, r.rule, r.n, r.first) for r in licenses.scan(table).collect()))
+    assert got == [(0, "Apache-2.0", "tag", 1, 0), (1, "MIT", "notice", 1, 2), (2, "MIT", "notice", 1, 0), (6, "CC-BY-NC-4.0", "notice", 1, 1), (6, "GPL-3.0", "notice", 1, 0), (8, "CC-BY-NC-4.0", "notice", 1, 0)]
+    assert licenses.scan(none).count() == 0 and licenses.scan(docs).count() == 0
+
+
+def test_every_known_sentence_passes_the_sign():
+    sign = re.compile(licenses.SIGNS.removeprefix("(?iu)").replace(r"\P{L}", r"\W"), re.I)
+    for words, _ in licenses.sequences():
+        assert sign.search(words), words
+    assert {s for r in licenses.RULES for s in r.sentences} <= set(licenses.SENTENCES)
 
 
 def test_license_query_finds_planted_lines(spark):
@@ -199,6 +317,36 @@ def test_language(spark):
     assert sum(r.lang_pred == r.lang for r in held) / len(held) > 0.98
 
 
+def test_language_model_is_kernel_ridge_regression():
+    """Scores against the plain kernel, its Nystroem map and the normal equations, all written out."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(5, 60))) for letters in ("abcd ", "cdef ", "жзик ") for _ in range(12)]
+    labels = [x for x in ("p", "q", "r") for _ in range(12)]
+
+    def ngrams(t):
+        t = " " + re.sub(r"[^\w]+", " ", t.lower()).strip() + " " if t.strip() else " "
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    sets = [langid.grams(t) for t in texts]
+    assert [len(s) for s in sets] == [len(ngrams(t)) for t in texts]
+    plain = np.array([[len(ngrams(a) & ngrams(b)) / (len(ngrams(a)) * len(ngrams(b))) ** 0.5 for b in texts] for a in texts])
+    model = langid.train(sets, labels, landmarks=15)
+    chosen = [i for k in range(3) for i in range(12 * k, 12 * k + 5)]
+    values, vectors = np.linalg.eigh(plain[np.ix_(chosen, chosen)])
+    x = plain[:, chosen] @ (vectors / np.sqrt(np.maximum(values, 1e-6 * values.max())))
+    y = np.array([[1.0 if a == b else -1.0 for b in "pqr"] for a in labels])
+    w = np.linalg.solve((x - x.mean(0)).T @ (x - x.mean(0)) + 1e-2 * len(x) * np.eye(15), (x - x.mean(0)).T @ (y - y.mean(0)))
+    assert np.allclose(model.scores(sets), (x - x.mean(0)) @ w + y.mean(0), atol=2e-3)
+
+
+def test_language_sample_is_bounded_and_leaves_no_language_out(spark):
+    rows = [(i, f"text {i} of {i % 300}", f"l{i % 300}") for i in range(1200)] + [(i, None, "none") for i in range(5)] + [(9, "twice the same", "l1")] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sets, labels = langid.sample(docs, 400, 600, "doc_id", "text", "lang")
+    assert collections.Counter(labels) == {f"l{i}": 2 for i in range(300)} and len(sets) == 600
+    assert len(langid.sample(docs, 400, 100, "doc_id", "text", "lang")[1]) == 300
+
+
 def test_language_edges(docs, rows, none):
     model = langid.fit(docs)
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
@@ -363,6 +511,30 @@ def test_splitters_are_near_equal(spark):
     assert sharding.histogram_splitters(spark.createDataFrame([(5, 1)] * 10, "k long, w long"), 4, 0.1)[0] == sorted(sharding.histogram_splitters(spark.createDataFrame([(5, 1)] * 10, "k long, w long"), 4, 0.1)[0])
 
 
+def test_law_of_equal_bytes(spark):
+    rng = random.Random(4)
+    rows = [(i, "copy of one text " * 9 if i % 3 == 0 else "x" * rng.randint(0, 400)) for i in range(6000)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 40).collect()
+    held = collections.Counter()
+    for r in out:
+        held[r.shard] += r["size"]
+    mean = sum(held.values()) / 40
+    assert len(held) == 40 and max(abs(n - mean) for n in held.values()) <= 2 * (0.002 * mean + max(r["size"] for r in out))
+
+
+def test_many_splitters_need_no_python(spark, docs, monkeypatch):
+    from corpus_engine.llm.common import cell_of, one_of
+
+    rng = random.Random(8)
+    cuts = sorted({rng.randrange(-(1 << 62), 1 << 62) for _ in range(1000)})
+    keys = [*cuts, *(c - 1 for c in cuts), -(1 << 63), (1 << 63) - 1]
+    found = spark.createDataFrame([(k,) for k in keys], "k long").select("k", cell_of(F.col("k"), cuts).alias("n"), one_of(F.col("k"), cuts).alias("one"))
+    assert all(r.n == sum(c <= r.k for c in cuts) and r.one == (r.k in set(cuts)) for r in found.collect())
+    monkeypatch.setattr(sharding, "PIECE_ROWS", 1)
+    plan = sharding.shard(docs, 3)._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan and "Generate" not in plan
+
+
 def test_large_shards_are_cut_in_pieces(docs, monkeypatch):
     whole = {(r.doc_id, r["size"]): 1 for r in sharding.shard(docs, 3).collect()}
     monkeypatch.setattr(sharding, "PIECE_ROWS", 7)
