@@ -4,8 +4,9 @@ A string of `length` bytes is repeated if it starts anywhere else in the corpus;
 One index over a corpus can't be dealt out, so strings are first brought together by content. The anchor of a string
 is its 16-gram of least hash; equal strings have equal anchors. Consecutive strings with one anchor form a piece.
 
-1. Every bundle of documents (a range of ids) sends (anchor, hash of piece), each distinct pair once.
-2. Per anchor: a piece that stands twice is repeated as a whole. If pieces of one anchor differ and one of them stands
+1. Every bundle of documents (a range of ids) gives (anchor, 128-bit hash of piece), each distinct pair once.
+2. Spark counts pairs, and different pieces of each anchor, both summed before they are shuffled, so that no anchor's pieces
+   meet in one task. A piece that stands twice is repeated as a whole. If pieces of one anchor differ and one of them stands
    only once, one copy of each different piece is asked for: runs of equal copies never enter an index twice.
 3. Per part of the anchors the asked pieces are indexed: suffixes sorted by prefix doubling, their Burrows-Wheeler
    transform cut into runs, and the suffix positions and match lengths kept at run ends only. Within a run a match
@@ -13,8 +14,8 @@ is its 16-gram of least hash; equal strings have equal anchors. Consecutive stri
    Strings whose statistic reaches `length` are repeated.
 4. Each bundle puts the answers together and removes the bytes.
 
-An anchor with more than `crowd` different pieces would make one part unboundedly large; hashes of its strings are
-dealt over all parts and counted instead. Null or short texts: nothing is removed. Rows of equal doc_id, as all
+An anchor with more than `crowd` different pieces would make one part unboundedly large; hashes of its strings, of 127
+bits, are dealt over all parts and counted instead. Null or short texts: nothing is removed. Rows of equal doc_id, as all
 others, count against each other: repeated rows are repeated strings. Matches never cross documents.
 """
 
@@ -26,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_engine.llm.common import as_bytes, bundled, texts
-from corpus_engine.llm.substrings import mixed, part_bounds, rolling
+from corpus_engine.llm.common import as_bytes, bundled, texts, written
+from corpus_engine.llm.substrings import BASE_2, mixed, part_bounds, rolling
 
 GRAM = 16
 PLACE = np.uint64((1 << 30) - 1)
@@ -64,16 +65,16 @@ class Anchored:
             ends = np.concatenate([edge[1:], [starts]]) - 1
             ok = valid[edge]
             self.first, self.last = edge[ok], ends[ok]
-            self.place = least[self.first].astype(np.int64)
+            self.place = least[self.first]
             self.anchor = mixed(~self._grams(self.place) * np.uint64(0xA0761D6478BD642F))  # least hashes are all small: spread them
-        digest, buf = xxhash.xxh3_64_intdigest, self.buffer
-        piece = np.fromiter((digest(buf[a : b + length], p - a) for a, b, p in zip(self.first.tolist(), self.last.tolist(), self.place.tolist(), strict=True)), np.uint64, len(self.first))
-        piece &= ~np.uint64(1)
-        order = np.lexsort((piece, self.anchor))
-        a, c = self.anchor[order], piece[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])[: len(a)]
+        digest, buf = xxhash.xxh3_128_digest, self.buffer
+        whole = b"".join(digest(buf[a : b + length], p - a) for a, b, p in zip(self.first.tolist(), self.last.tolist(), self.place.tolist(), strict=True))
+        high, low = np.frombuffer(whole, "<u8").reshape(-1, 2).T
+        order = np.lexsort((low, high, self.anchor))
+        a, c, d = self.anchor[order], high[order], low[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])])[: len(a)]
         at = np.flatnonzero(new)
-        self.keys, self.pieces = a[at], c[at]  # distinct pairs, sorted
+        self.keys, self.pieces = a[at], np.stack([c[at], d[at]])  # distinct pairs, sorted: the same in every run
         self.one = order[at]  # a piece of each
         self.twice = np.diff(np.concatenate([at, [len(a)]])) > 1
         self.which = np.empty(len(a), np.int64)
@@ -90,40 +91,47 @@ class Anchored:
 
     def _least(self, lo: int, hi: int, w: int) -> np.ndarray:
         """Places of the grams of least hash, the first of equal ones, of the strings that start within [lo, hi)."""
-        keyed = (self._grams(slice(lo, hi + w - 1)) & ~PLACE) | np.arange(lo, hi + w - 1, dtype=np.uint64)
+        keyed = (self._grams(slice(lo, hi + w - 1)) & ~PLACE) | np.arange(hi + w - 1 - lo, dtype=np.uint64)  # places from lo on
         blocks = np.concatenate([keyed, np.full(-len(keyed) % w, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, w)
         ahead = np.minimum.accumulate(blocks, axis=1).ravel()
         back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
         n = hi - lo
-        return (np.minimum(back[:n], ahead[w - 1 : w - 1 + n]) & PLACE).astype(np.int32)
+        return (np.minimum(back[:n], ahead[w - 1 : w - 1 + n]) & PLACE).astype(np.int64) + lo
 
     def strings(self, piece: int) -> np.ndarray:
-        """Hashes of the strings of one piece."""
-        part = np.frombuffer(self.buffer, np.uint8, int(self.last[piece] - self.first[piece]) + self.length, int(self.first[piece]))
-        return rolling(BYTE_HASHES[part], self.length)
+        """Hashes of the strings of one piece, two words each; the last bit of the second is free."""
+        part = BYTE_HASHES[np.frombuffer(self.buffer, np.uint8, int(self.last[piece] - self.first[piece]) + self.length, int(self.first[piece]))]
+        return np.stack([rolling(part, self.length), rolling(mixed(part), self.length, BASE_2) << np.uint64(1)], axis=1)
+
+
+def distinct(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct rows in order, which of them each row is, how often each occurs) of rows of two words."""
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    held = pairs[order]
+    new = np.concatenate([[True], (held[1:] != held[:-1]).any(axis=1)])[: len(pairs)]
+    number = np.cumsum(new) - 1
+    which = np.empty(len(pairs), np.int64)
+    which[order] = number
+    return held[new], which, np.bincount(number, minlength=int(new.sum()))
 
 
 BYTE_HASHES = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], np.uint64)
 
 
-def verdicts(anchor: np.ndarray, piece: np.ndarray, crowd: int) -> np.ndarray:
-    """For entries (anchor, piece with the low bit set if it stands twice in its bundle): what is answered."""
-    own = piece & np.uint64(1)
-    same = piece & ~np.uint64(1)
-    order = np.lexsort((same, anchor))
-    a, c, own = anchor[order], same[order], own[order]
-    n = len(a)
-    new_a = np.concatenate([[True], a[1:] != a[:-1]])
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
-    group, pair = np.cumsum(new_a) - 1, np.cumsum(new) - 1
-    count = np.bincount(pair) + np.bincount(pair, weights=own)
-    twice = count[pair] > 1
-    different = np.bincount(group[new])[group]
-    single = np.bincount(group, weights=~twice)[group] > 0
-    asked = (different > 1) & single & new  # the first copy of each different piece
-    out = np.zeros(n, np.uint8)
-    out[order] = twice * TWICE + asked * np.where(different > crowd, HASHES, BYTES)
-    return out
+def verdicts(entries: DataFrame, crowd: int) -> DataFrame:
+    """(bundle, k, code): what is answered for the entries (bundle, k, anchor, high, low, twice), those with an answer.
+
+    All counts are summed in the tasks before they are shuffled. An anchor that very many pieces have makes one long side of
+    a join, which Spark splits; the other side has one row for each key.
+    """
+    piece = ["anchor", "high", "low"]
+    each = entries.groupBy(*piece).agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n"), F.min("bundle").alias("first"))
+    anchors = each.groupBy("anchor").agg(F.count("*").alias("different"), F.count_if(F.col("n") == 1).alias("single"))
+    asked = anchors.where("different > 1 and single > 0").select("anchor", F.when(F.col("different") > crowd, HASHES).otherwise(BYTES).alias("ask"))
+    said = each.join(asked, "anchor", "left").where("n > 1 or ask is not null")
+    found = entries.select("bundle", "k", *piece).join(said, piece)
+    code = F.when(F.col("n") > 1, TWICE).otherwise(0) + F.when(F.col("bundle") == F.col("first"), F.coalesce("ask", F.lit(0))).otherwise(0)
+    return found.select("bundle", "k", code.cast("int").alias("code")).where("code > 0")
 
 
 class RunIndex:
@@ -238,26 +246,16 @@ def remove_repeats(docs: DataFrame, length: int = 200, crowd: int = CROWD, id_co
 
     def send(key, table):
         a = anchored(table)
-        bounds = part_bounds(a.keys, parts)
-        at = np.flatnonzero(bounds[1:] > bounds[:-1])
-        entries = np.stack([a.keys, a.pieces | a.twice.astype(np.uint64)], axis=1).astype("<u8")
-        return packed(0, at, key[0].as_py(), [entries[bounds[p] : bounds[p + 1]].tobytes() for p in at])
-
-    def judge(table):
-        data = table.column("data").to_pylist()
-        entries = np.frombuffer(b"".join(data), "<u8").reshape(-1, 2)
-        out = verdicts(entries[:, 0], entries[:, 1], crowd)
-        ends = np.cumsum([len(x) // 16 for x in data])
-        own = np.split(out, ends[:-1])
-        some = [i for i, x in enumerate(own) if x.any()]
-        return packed(0, table.column("part").to_numpy()[some], table.column("bundle").to_numpy()[some], [own[i].tobytes() for i in some])
+        n = len(a.keys)
+        signed = [pa.array(x.view(np.int64)) for x in (a.keys, *np.ascontiguousarray(a.pieces))]
+        return pa.table([pa.array(np.full(n, key[0].as_py(), np.int32)), pa.array(np.arange(n, dtype=np.int32)), *signed, pa.array(a.twice)], names=["bundle", "k", "anchor", "high", "low", "twice"])
 
     def codes(a: Anchored, answers) -> np.ndarray:
-        bounds = part_bounds(a.keys, parts)
         out = np.zeros(len(a.keys), np.uint8)
-        for kind, p, x in zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "data")), strict=True):
-            if kind == 0:
-                out[bounds[p] : bounds[p + 1]] = np.frombuffer(x, np.uint8)
+        kind = answers.column("kind").to_numpy()
+        if (kind == 0).any():
+            own = answers.filter(pa.array(kind == 0))
+            out[own.column("part").to_numpy()] = np.frombuffer(b"".join(own.column("data").to_pylist()), np.uint8)
         return out
 
     def crowded(a: Anchored, code: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -280,18 +278,18 @@ def remove_repeats(docs: DataFrame, length: int = 200, crowd: int = CROWD, id_co
             out.append(len(own).to_bytes(4, "little") + sizes.tobytes() + need.tobytes() + b"".join([a.buffer[i : j + length] for i, j in zip(a.first[one].tolist(), a.last[one].tolist(), strict=True)]))
         pieces = packed(1, at, key[0].as_py(), out)
         _, hashes = crowded(a, code)
-        found, count = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]), return_counts=True)
-        bounds = part_bounds(found, parts)
+        found, _, count = distinct(np.concatenate([np.empty((0, 2), np.uint64), *hashes]))
+        bounds = part_bounds(found[:, 0], parts)
         at = np.flatnonzero(bounds[1:] > bounds[:-1])
-        flagged = np.stack([found, (count > 1).astype(np.uint64)], axis=1).astype("<u8")
+        flagged = np.stack([found[:, 0], found[:, 1] | (count > 1).astype(np.uint64)], axis=1).astype("<u8")
         return pa.concat_tables([pieces, packed(2, at, key[0].as_py(), [flagged[bounds[p] : bounds[p + 1]].tobytes() for p in at])])
 
     def match(key, table):
         bundle, data = table.column("bundle").to_pylist(), table.column("data").to_pylist()
         if key[0].as_py() == 2:
             entries = np.frombuffer(b"".join(data), "<u8").reshape(-1, 2)
-            _, back, count = np.unique(entries[:, 0], return_inverse=True, return_counts=True)
-            again = (count[back] > 1) | (entries[:, 1] > 0)
+            _, back, count = distinct(np.stack([entries[:, 0], entries[:, 1] & ~np.uint64(1)], axis=1))
+            again = (count[back] > 1) | (entries[:, 1] & np.uint64(1) > 0)
             answers = [np.packbits(x).tobytes() for x in np.split(again, np.cumsum([len(x) // 16 for x in data])[:-1])]
         else:
             pieces, need, counts = [], [], []
@@ -335,15 +333,16 @@ def remove_repeats(docs: DataFrame, length: int = 200, crowd: int = CROWD, id_co
                     used += -(-n // 8) * 8
         pieces, hashes = crowded(a, code)
         if len(pieces):
-            found = np.unique(np.concatenate(hashes))
-            bounds, again = part_bounds(found, parts), np.zeros(len(found), bool)
+            found, back, _ = distinct(np.concatenate(hashes))
+            bounds, again = part_bounds(found[:, 0], parts), np.zeros(len(found), bool)
+            each = np.split(back, np.cumsum([len(h) for h in hashes])[:-1])
             for kind, p, x in kinds:
                 if kind == 2:
                     n = int(bounds[p + 1] - bounds[p])
                     again[bounds[p] : bounds[p + 1]] = np.unpackbits(np.frombuffer(x, np.uint8), count=n) > 0
-            for k, h in zip(pieces, hashes, strict=True):
+            for k, h in zip(pieces, each, strict=True):
                 if not whole[k]:
-                    mark(int(a.one[k]), again[np.searchsorted(found, h)])
+                    mark(int(a.one[k]), again[h])
         gone = np.cumsum(covered)[:-1] > 0
         raw = np.frombuffer(a.buffer, np.uint8)
         removed, kept = [], []
@@ -359,8 +358,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, crowd: int = CROWD, id_co
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table([pa.array(a.ids, pa.int64()), pa.array([len(x) for x in a.data], pa.int64()), pa.array(removed, span), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
 
-    sent = rows.groupBy("bundle").applyInArrow(send, form)
-    judged = sent.groupBy("part").applyInArrow(judge, form)
+    entries = written(rows.groupBy("bundle").applyInArrow(send, "bundle int, k int, anchor long, high long, low long, twice boolean"), "pieces")
+    said = written(verdicts(entries, crowd), "verdicts")
+    judged = said.select(F.lit(0).alias("kind"), F.col("k").alias("part"), "bundle", F.char("code").cast("binary").alias("data"))
     offered = rows.groupBy("bundle").cogroup(judged.groupBy("bundle")).applyInArrow(offer, form)
     matched = offered.groupBy("kind", "part").applyInArrow(match, form)
     answers = judged.unionByName(matched)
