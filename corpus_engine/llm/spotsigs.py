@@ -29,6 +29,8 @@ ANCHORS = frozenset(
 )
 #: Words without a common word after which each further word is an anchor.
 REACH = 6
+#: Sets that share a signature in a length partition up to which they meet in one place.
+TILE = 2048
 #: Bundles up to which the table of their neighbours is broadcast (12 bytes each).
 BROADCAST_BUNDLES = 1_000_000
 _BREAK = bytes.maketrans(b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\0\x1c\x1d\x1e\x1f""", b" " * 37)
@@ -112,28 +114,35 @@ def length_partition(size, threshold: float):
     return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / float(-np.log(threshold)) + 1e-9).cast("int")
 
 
-def near_pairs(docs: DataFrame, threshold: float = 0.8, chain: int = 2, distance: int = 1, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(pairs, members): pairs (a, b, likeness) of different fingerprints at or over the threshold, each named by the
-    smallest doc_id that has it, and members (doc_id, rep). Empty fingerprints are one class.
+def near_pairs(docs: DataFrame, threshold: float = 0.8, chain: int = 2, distance: int = 1, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): pairs (a, b, likeness) of different fingerprints at or over the threshold, each by the number of
+    its class, and members (doc_id, class, rep), rep being the class's smallest doc_id, null only where all are.
+    Empty fingerprints are one class. Copies are not paired.
 
     Pairs share a rare signature: of the (1 - threshold) x size + 1 signatures that come first when all are ordered
-    by how many sets hold them. They are joined within a length partition and the one below, and compared pruned.
+    by how many sets hold them. They are joined within a length partition and the one below, and compared pruned. A
+    signature that more than `tile` sets have in a partition is dealt out in tiles, pairs of slices of its sets.
     """
-    rows = written(fingerprints(docs, chain, distance, id_col, text_col).withColumn("key", F.xxhash64("fingerprint")), "spot_rows")
-    reps = rows.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    members = rows.select("doc_id", "key").join(reps, "key").select("doc_id", "rep")
-    sets = written(rows.join(reps, (rows.key == reps.key) & (rows.doc_id == reps.rep)).select("rep", "fingerprint").dropDuplicates(["rep"]), "spot_sets")
-    each = sets.select("rep", F.size("fingerprint").alias("n"), F.explode("fingerprint").alias("s"))
+    rows = written(fingerprints(docs, chain, distance, id_col, text_col).withColumn("key", F.sha2(F.array_join("fingerprint", ",").cast("binary"), 256)), "spot_rows")
+    classes = written(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("fingerprint").alias("fingerprint")).withColumn("class", F.monotonically_increasing_id()), "spot_classes")
+    members = rows.select("doc_id", "key").join(classes.select("key", "class", "rep"), "key").select("doc_id", "class", "rep")
+    each = classes.select("class", F.size("fingerprint").alias("n"), F.explode("fingerprint").alias("s"))
     counts = written(each.groupBy("s").agg(F.count("*").alias("held")).where("held > 1"), "spot_counts")  # one held once joins nothing
-    ranked = each.join(counts, "s").withColumn("order", F.row_number().over(Window.partitionBy("rep").orderBy("held", "s")))
-    alone = F.col("n") - F.count("*").over(Window.partitionBy("rep"))  # unshared signatures come first in the order
+    ranked = each.join(counts, "s").withColumn("order", F.row_number().over(Window.partitionBy("class").orderBy("held", "s")))
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("class"))  # unshared signatures come first in the order
     first = ranked.withColumn("alone", alone).where(F.col("order") + F.col("alone") <= F.floor((1 - threshold) * F.col("n") + 1e-9) + 1)
-    first = written(first.select("rep", "n", "s", length_partition(F.col("n"), threshold).alias("p")), "spot_prefix")
-    one = first.select(F.col("rep").alias("a"), F.col("n").alias("na"), "s", F.explode(F.array("p", F.col("p") - 1)).alias("p"))
-    two = first.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "s", "p")
-    found = one.join(two, ["s", "p"]).where((F.col("nb") < F.col("na")) | (F.col("nb") == F.col("na")) & (F.col("b") < F.col("a"))).where(F.col("nb") >= threshold * F.col("na"))
+    first = written(first.select("class", "n", "s", length_partition(F.col("n"), threshold).alias("p")), "spot_prefix")
+    crowds = first.groupBy("s", "p").agg(F.count("*").alias("c")).where(F.col("c") > tile).select("s", "p", F.ceil(F.col("c") / tile).cast("int").alias("tiles"))
+    slots = first.join(written(crowds, "spot_crowds", narrow=True), ["s", "p"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    own = F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int")
+    # the larger set of a pair looks in its partition and the one below, in every slice there; the smaller stands in its own slice
+    target = first.select("s", "p").distinct().join(written(crowds, "spot_tiles", narrow=True), ["s", "p"], "left").select("s", "p", F.coalesce("tiles", F.lit(1)).alias("tiles"))
+    looks = first.select(F.col("class").alias("a"), F.col("n").alias("na"), "s", F.explode(F.array("p", F.col("p") - 1)).alias("p")).join(target, ["s", "p"])
+    one = looks.select("a", "na", "s", "p", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("slice"))
+    two = slots.select(F.col("class").alias("b"), F.col("n").alias("nb"), "s", "p", own.alias("slice"))
+    found = one.join(two, ["s", "p", "slice"]).where((F.col("nb") < F.col("na")) | (F.col("nb") == F.col("na")) & (F.col("b") < F.col("a"))).where(F.col("nb") >= threshold * F.col("na"))
     found = found.select("a", "b").distinct()
-    x, y = sets.select(F.col("rep").alias("a"), F.col("fingerprint").alias("fa")), sets.select(F.col("rep").alias("b"), F.col("fingerprint").alias("fb"))
+    x, y = classes.select(F.col("class").alias("a"), F.col("fingerprint").alias("fa")), classes.select(F.col("class").alias("b"), F.col("fingerprint").alias("fb"))
 
     @F.pandas_udf("double")
     def compare(fa, fb):
