@@ -11,6 +11,8 @@ from corpus_engine.llm.common import documents
 from corpus_engine.llm.oracles import ORACLES as SQL
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Likeness of fingerprints under which op6 prunes.
+LEAST_LIKENESS = 0.05
 
 
 def tokenizer_path() -> str:
@@ -20,9 +22,13 @@ def tokenizer_path() -> str:
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corpus_engine.llm.secrets import BASE, joined, scan
+    """Two crawls of the same documents: the second finds all (blob, rules) pairs of the first in the ledger and scans nothing."""
+    from corpus_engine.llm.secrets import BASE, BlobLedger, joined, new_root
 
-    found = scan(documents(spark, sf_dir))
+    docs, ledger = documents(spark, sf_dir), BlobLedger(spark, new_root(spark))
+    ledger.commit(docs, "first")
+    ledger.commit(docs, "second")
+    found = ledger.report("second")
     base = F.filter("spans", lambda s: s.kind < len(BASE))
 
     def count(kind: int, name: str):
@@ -58,7 +64,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every text and of the text with its second half replaced by the start of the next document."""
+    """Fingerprints of every text and of the text with its second half replaced by the start of the next document.
+
+    Pairs are compared pruned: a likeness under LEAST_LIKENESS is not worked out and given as 0.
+    """
     import pyarrow as pa
 
     from corpus_engine.llm.spotsigs import jaccard, signatures, text_form, with_next
@@ -73,8 +82,8 @@ def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
             "edited": pa.array(edited, pa.string()),
             "fingerprint": pa.array(map(text_form, sets[:-1]), pa.string()),
             "edited_fingerprint": pa.array(map(text_form, changed), pa.string()),
-            "near_edited": pa.array([jaccard(a, b) for a, b in zip(sets, changed, strict=False)], pa.float64()),
-            "near_next": pa.array([jaccard(a, b) for a, b in zip(sets, sets[1:], strict=False)], pa.float64()),
+            "near_edited": pa.array([jaccard(a, b, LEAST_LIKENESS) for a, b in zip(sets, changed, strict=False)], pa.float64()),
+            "near_next": pa.array([jaccard(a, b, LEAST_LIKENESS) for a, b in zip(sets, sets[1:], strict=False)], pa.float64()),
         }
         return pa.table(columns)
 

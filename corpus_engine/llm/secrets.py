@@ -123,9 +123,14 @@ class BlobLedger:
         return self.paths(version).join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
+def new_root(spark: SparkSession) -> str:
+    """A place for a ledger in the shared folder."""
+    return f"{shared_dir(spark)}/corpus_engine/ledger-{uuid.uuid4().hex}"
+
+
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, root: str | None = None, version: str = "v1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, blob, spans) of docs, through a ledger at root, by default a new one in the shared folder."""
-    ledger = BlobLedger(docs.sparkSession, root or f"{shared_dir(docs.sparkSession)}/corpus_engine/ledger-{uuid.uuid4().hex}", rules)
+    ledger = BlobLedger(docs.sparkSession, root or new_root(docs.sparkSession), rules)
     ledger.commit(docs, version, id_col, text_col)
     return ledger.report(version)
 
