@@ -385,17 +385,42 @@ def test_next_documents(spark, rows):
     assert got == many((d, t, order[(i + 1) % len(order)][1]) for i, (d, t) in enumerate(order))
 
 
-def test_spot_pairs(docs, rows, none):
-    pairs, members = spotsigs.near_pairs(docs.where("doc_id is not null"), 0.6)
-    sets = {r[0]: spotsigs.signatures(r[1] or "") for r in rows if r[0] is not None}
-    rep = {d: min(e for e in sets if np.array_equal(sets[d], sets[e])) for d in sets}
-    assert {r.doc_id: r.rep for r in members.collect()} == rep
-    heads = sorted(set(rep.values()))
-    want = {(a, b) for a in heads for b in heads if a < b and len(sets[a]) and len(sets[b]) and spotsigs.jaccard(sets[a], sets[b]) >= 0.6}
-    assert {(r.a, r.b) for r in pairs.collect()} == want and want
+@pytest.mark.parametrize("tile", [2048, 2])
+def test_spot_pairs(spark, docs, rows, none, tile):
+    more = [(200 + i, "the old boiler of the house was serviced in may and " + f"again {i} in june by the men of the town", *rows[0][2:]) for i in range(9)]
+    more += [(None, "a text that nobody else has but the other row without an id", *rows[0][2:])] * 2
+    pairs, members = spotsigs.near_pairs(docs.unionByName(spark.createDataFrame(more, SCHEMA)), 0.6, tile=tile)
+    table = [*rows, *more]
+    prints = [tuple(spotsigs.signatures(r[1] or "").tolist()) for r in table]
+    by = collections.defaultdict(list)
+    for r, p in zip(table, prints, strict=True):
+        by[p].append(r[0])
+    rep = {p: min((d for d in ids if d is not None), default=None) for p, ids in by.items()}
+    assert many((r.doc_id, r.rep) for r in members.collect()) == many((r[0], rep[p]) for r, p in zip(table, prints, strict=True))
+    named = {getattr(r, "class"): r.rep for r in members.collect()}
+    assert len(named) == len(by)
+    heads = [p for p in by if p]
+    want = many(frozenset((rep[p], rep[q])) for i, p in enumerate(heads) for q in heads[:i] if spotsigs.jaccard(np.array(p), np.array(q)) >= 0.6)
+    assert many(frozenset((named[r.a], named[r.b])) for r in pairs.collect()) == want and want
     assert spotsigs.near_pairs(none)[0].count() == 0
 
 
+def test_spot_query(spark):
+    """The registered query against the definition of its columns."""
+    got = {r.doc_id: r for r in queries.op6_spotsigs(spark, SF).collect()}
+    docs = sorted(spark.read.parquet(f"{SF}/documents.parquet").collect(), key=lambda r: -r.doc_id)
+    assert len(got) == len(docs)
+    for i, r in enumerate(docs):
+        text, following = r.text or "", docs[(i + 1) % len(docs)].text or ""
+        edited = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
+        prints = [set(spotsigs.signatures(t).tolist()) for t in (text, edited, following)]
+        near = [len(prints[0] & p) / len(prints[0] | p) if prints[0] | p else 1.0 for p in prints[1:]]
+        g = got[r.doc_id]
+        assert (g.n_chars, g.edited_sha256) == (len(text), hash_of(edited.encode()))
+        assert [g.fingerprint, g.edited_fingerprint] == ["".join(f"{c:08x}" for c in sorted(p)) for p in prints[:2]]
+        assert [g.near_edited, g.near_next] == [x if x >= queries.LEAST_LIKENESS else 0.0 for x in near]
+
+
 # ---- 7
 def test_substrings(docs, rows, none):
     for width in (1, 3, 13):
@@ -416,6 +441,20 @@ def test_substrings(docs, rows, none):
     assert substrings.remove_repeats(none).count() == 0
 
 
+def test_many_bundles_and_shelves(docs, monkeypatch):
+    """The same rows, whatever the number of bundles and the steps of the exchange."""
+    from corpus_engine.llm import common
+
+    form = lambda df: many(str(r) for r in df.collect())
+    seven, eight = form(substrings.remove_repeats(docs, 3)), form(runindex.remove_repeats(docs, 20))
+    for module in (substrings, runindex):
+        monkeypatch.setattr(module, "bundled", lambda rows, target_bytes=0: common.bundled(rows, target_bytes=2500))
+    assert common.bundled(common.texts(docs), target_bytes=2500)[1] > 20
+    for shelf in (1, 4):
+        assert form(substrings.remove_repeats(docs, 3, shelf=shelf)) == seven
+    assert form(runindex.remove_repeats(docs, 20)) == eight
+
+
 # ---- 8
 def strings_gone(rows, length):
     count = collections.Counter(b[i : i + length] for r in rows for b in [(r[1] or "").encode()] for i in range(len(b) - length + 1))
