@@ -14,7 +14,7 @@ from corpus_engine.functions.text import let, lines, newlines, stripped
 # Patterns that fix what counts as front matter, a heading, a fence and a link (fixed values).
 FRONT = r"(?s)\A---[ \t]*\r?\n.*?\r?\n---[ \t]*\r?\n?"
 HEADING = r"^(#{1,6})\s+(.*?)(?:\s+#+)?\s*$"
-FENCE = r"^\s{0,3}(```|~~~)"
+FENCED = r"(?msd)^[^\S\n]{0,3}(```|~~~)[^\n]*(?:\z|\n.*?(?:^[^\S\n]{0,3}\1[^\n]*|\z))"
 LINK_TARGET = r"\]\(([^)\s]+)\)"
 HEADINGS = "array<struct<depth:int,text:string,line:int>>"
 PATHS = "array<struct<depth:int,text:string,line:int,path:array<string>>>"
@@ -97,19 +97,28 @@ def folded_value(text: Column, key: str) -> Column:
 
 
 def headings(text: Column) -> Column:
-    """ATX headings outside front matter and fences: depth, text and 1-based line."""
-    start = F.struct(F.lit("").alias("fence"), front_lines(text).cast("int").alias("line"), F.array().cast(HEADINGS).alias("found"))
-    all_lines = lines(text)
-    body = F.slice(all_lines, front_lines(text).cast("int") + 1, F.greatest(F.size(all_lines), F.lit(0)))
-
-    def step(s, x):
-        mark = F.regexp_extract(x, FENCE, 1)
-        fence = F.when(mark == "", s["fence"]).when(s["fence"] == "", mark).when(s["fence"] == mark, "").otherwise(s["fence"])
-        h = F.struct(F.char_length(F.regexp_extract(x, HEADING, 1)).alias("depth"), stripped(F.regexp_extract(x, HEADING, 2)).alias("text"), (s["line"] + 1).alias("line"))
-        found = F.when((mark == "") & (s["fence"] == "") & x.rlike(HEADING), F.concat(s["found"], F.array(h))).otherwise(s["found"])
-        return F.struct(fence.alias("fence"), (s["line"] + 1).alias("line"), found.alias("found"))
-
-    return F.aggregate(body, start, step, lambda s: s["found"])
+    """ATX headings outside front matter and fences: depth, text and 1-based line.
+
+    The text is cut at its fenced blocks; each part's lines are numbered from the line ends of all that is before it.
+    """
+
+    def found(body):
+        parts, fenced = F.split(body, FENCED, -1), F.regexp_extract_all(body, F.lit(FENCED), F.lit(0))
+        ends = F.transform(parts, lambda p, i: newlines(p) + F.coalesce(newlines(F.get(fenced, i)), F.lit(0)))
+
+        def in_part(p, before):
+            def heading(x, k):
+                h = F.struct(F.char_length(F.regexp_extract(x, HEADING, 1)).alias("depth"), stripped(F.regexp_extract(x, HEADING, 2)).alias("text"), (before + k + 1).cast("int").alias("line"))
+                return F.when(F.startswith(x, F.lit("#")) & x.rlike(HEADING), h)
+
+            return F.array_compact(F.transform(lines(p), heading))
+
+        def of_all(ends):
+            return F.flatten(F.transform(parts, lambda p, i: let(front_lines(text) + F.aggregate(F.slice(ends, 1, i), F.lit(0), lambda a, b: a + b), lambda before: in_part(p, before))))
+
+        return let(ends, of_all)
+
+    return let(F.substring(text, F.char_length(front_matter(text)) + 1, F.char_length(text)), found).cast(HEADINGS)
 
 
 def heading_paths(found: Column, most: int = 6) -> Column:

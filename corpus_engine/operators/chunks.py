@@ -1,4 +1,4 @@
-"""Notes and documents to chunks. The kernel is sequential within a note; notes are independent of one another."""
+"""Notes and documents to chunks: sections by column functions, then the sequential part a note at a time."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpus_engine.config import DEFAULT, EngineConfig
-from corpus_engine.functions import kernels
+from corpus_engine.functions import chunking
 from corpus_engine.functions import markdown as md
 from corpus_engine.functions import text as tx
 
@@ -17,14 +17,16 @@ def _spans(rows: DataFrame, cfg: EngineConfig) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            path, title, about, text = (c.to_pylist() for c in b.columns)
-            out = [(p, t, d, n, *c) for p, t, d, x in zip(path, title, about, text, strict=True) for n, c in enumerate(kernels.chunk(x or "", cfg))]
+            path, title, about, found = (c.to_pylist() for c in b.columns)
+            out = [(p, t, d, n, *c) for p, t, d, own in zip(path, title, about, found, strict=True) for n, c in enumerate(chunking.chunk([chunking.Section(**s) for s in own or []], cfg))]
             columns = list(zip(*out, strict=True)) or [()] * 7
             kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string())
             names = ["path", "title", "description", "ordinal", "breadcrumb", "line", "text"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return rows.select("path", "title", "description", "text").mapInArrow(run, "path string, title string, description string, ordinal int, breadcrumb string, line int, text string")
+    text = F.coalesce("text", F.lit(""))
+    cut = rows.select("path", "title", "description", md.sections(text, md.headings(text), cfg).alias("sections"))
+    return cut.mapInArrow(run, "path string, title string, description string, ordinal int, breadcrumb string, line int, text string")
 
 
 def _finished(spans: DataFrame) -> DataFrame:

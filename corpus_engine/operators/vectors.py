@@ -21,41 +21,6 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
-def norm(v: Column) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-
-
-def l2_normalised(v: Column) -> Column:
-    n = F.greatest(norm(v), F.lit(1e-12))
-    return F.transform(v, lambda x: (x / n).cast("float"))
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def hashed_entries(texts: DataFrame, dims: int = 256, id_col: str = "chunk", text_col: str = "text") -> DataFrame:
-    """(chunk, dim, value): a hashed bag of words, L2-normalised and sparse.
-
-    A token's weight is 1 + ln(count); the first two 32-bit words of its MD5 give a dimension each, the second with
-    a minus sign.
-    """
-    each = texts.select(F.col(id_col).alias("chunk"), F.explode_outer(raw_tokens(F.col(text_col))).alias("token")).where("token is not null")
-    counted = each.groupBy("chunk", "token").agg(F.count("*").alias("n"))
-    hashed = counted.select("chunk", (1 + F.log("n")).alias("w"), F.md5(F.col("token").cast("binary")).alias("h"))
-
-    def bucket(at: int) -> Column:
-        return (F.conv(F.substring("h", at, 8), 16, 10).cast("long") % dims).cast("int")
-
-    pair = F.array(F.struct(bucket(1).alias("dim"), F.col("w").alias("v")), F.struct(bucket(9).alias("dim"), (-F.col("w")).alias("v")))
-    summed = hashed.select("chunk", F.explode(pair).alias("e")).groupBy("chunk", F.col("e.dim").alias("dim")).agg(F.sum("e.v").alias("v"))
-    size = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("chunk")))
-    return summed.withColumn("s", size).select("chunk", "dim", (F.col("v") / F.greatest("s", F.lit(1e-12))).alias("value"))
-
-
-def embed(self, texts: list[str]) -> np.ndarray: ...
-
-
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
@@ -132,6 +97,17 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return number.ravel(), ids[at.ravel()], np.take_along_axis(scores, at, axis=0).ravel()
 
 
+def matrix(vectors, dims: int) -> np.ndarray:
+    """Rows of a batch of arrays of all dimensions, or of arrays of structs (dim, value) of those that are not zero."""
+    sparse = next((isinstance(v[0], dict) for v in vectors if len(v)), False)
+    if not sparse:
+        return np.array([v if len(v) else np.zeros(dims) for v in vectors], np.float64).reshape(-1, dims)
+    out = np.zeros((len(vectors), dims))
+    row = np.repeat(np.arange(len(vectors)), [len(v) for v in vectors])
+    out[row, [e["dim"] for v in vectors for e in v]] = [e["value"] for v in vectors for e in v]
+    return out
+
+
 def dense_topk(vectors: DataFrame, queries: list[tuple[object, list[float]]], k: int, id_col: str = "chunk", vector_col: str = "embedding", query_type: str = "long", id_type: str = "string", digits: int = 6) -> DataFrame:
     """(query, chunk, score, rank) of the k best chunks for each query: exact, by blocks.
 
@@ -152,12 +128,7 @@ def dense_topk(vectors: DataFrame, queries: list[tuple[object, list[float]]], k:
             for f in frames:
                 for at in range(0, len(f), VECTOR_BATCH):
                     part = f.iloc[at : at + VECTOR_BATCH]
-                    rows = np.zeros((len(part), dims))
-                    for i, v in enumerate(part[vector_col]):
-                        if len(v) and isinstance(v[0], dict):
-                            rows[i, [e["dim"] for e in v]] = [e["value"] for e in v]
-                        else:
-                            rows[i] = v
+                    rows = matrix(part[vector_col], dims)
                     number, ids, scores = _best(part[id_col].to_numpy(), np.round(rows @ q.T, digits), k)
                     yield pd.DataFrame({"query": [names[i] for i in number], "chunk": ids, "score": scores})
 
