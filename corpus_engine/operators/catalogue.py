@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpus_engine.config import DEFAULT, EngineConfig
@@ -47,6 +47,25 @@ def rendered(listed: DataFrame, live_exclusions: tuple[str, ...] = ()) -> DataFr
     return lines(listed, live_exclusions).orderBy(*ORDER)
 
 
+def placed(listed: DataFrame, live_exclusions: tuple[str, ...] = ()) -> DataFrame:
+    """(line_no, line): the catalogue as numbered lines. The numbers come from the counts of folders before, so that no
+    task holds more than a folder's lines."""
+    rows = lines(listed, live_exclusions)
+    sizes = rows.groupBy("folder_key", "folder").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("folder_key", "folder")) - F.col("n")).select("folder", "before")  # a row a folder
+    own = F.row_number().over(Window.partitionBy("folder").orderBy("kind", "place", "title_key", "path"))
+    return rows.withColumn("own", own).join(before, "folder").select((F.col("before") + F.col("own")).alias("line_no"), "folder", "kind", "line")
+
+
+def parsed(index: DataFrame) -> DataFrame:
+    """(path, title, description) of the entry lines of a stored catalogue (path, text)."""
+    line = F.explode_outer(tx.lines(F.col("text"))).alias("x")
+    entry = r"^- \[(.*)\]\(([^)\s]*)\)(?: - (.*))?$"
+    hit = index.select(line).where(F.col("x").rlike(entry))
+    part = lambda n: F.regexp_extract("x", entry, n)
+    return hit.select(F.url_decode(F.replace(part(2), F.lit("+"), F.lit("%2B"))).alias("path"), part(1).alias("title"), part(3).alias("description"))
+
+
 def upsert(old: DataFrame, changed: DataFrame, gone: DataFrame | None = None, key: str = "path") -> DataFrame:
     """old with the rows of changed keys replaced, and those of gone keys removed."""
     keys = changed.select(key) if gone is None else changed.select(key).unionByName(gone.select(key))

@@ -25,17 +25,22 @@ def broken_links(notes: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def catalogue_drift(notes: DataFrame, shown: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """shown is (path, folder, title, description) as the catalogue has it."""
-    return finding(catalogue.difference(shown, catalogue.entries(notes, cfg)), "catalogue", F.col("what"))
+    """shown is (path, title, description) as the stored catalogue has it."""
+    form = lambda df: df.select("path", "title", F.coalesce("description", F.lit("")).alias("description"))
+    return finding(catalogue.difference(form(shown), form(catalogue.entries(notes, cfg))), "catalogue", F.col("what"))
 
 
 def front_matter(notes: DataFrame) -> DataFrame:
+    """Notes without front matter, with required keys missing, or with a title, type or timestamp that can't be one."""
 
-    def missing(front):
+    def wrong(front):
         absent = F.array_compact(F.array(*[F.when(~front.rlike(rf"\n{k}:"), F.lit(k)) for k in REQUIRED]))
-        return F.when(front.isNull(), "no front matter").when(F.size(absent) > 0, F.concat(F.lit("missing "), F.array_join(absent, ", ")))
+        shape = {"type": r"[^\n]*\S[^\n]*", "title": r"[^\n]*\S[^\n]*", "timestamp": r"""[ \t]*["']?\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z["']?[ \t]*"""}
+        bad = F.array_compact(F.array(*[F.when(front.rlike(rf"\n{k}:") & ~front.rlike(rf"\n{k}:{v}\n"), F.lit(k)) for k, v in shape.items()]))
+        said = F.array_compact(F.array(*[F.when(F.size(x) > 0, F.concat(F.lit(word), F.array_join(x, ", "))) for word, x in (("missing ", absent), ("malformed ", bad))]))
+        return F.when(front.isNull(), "no front matter").when(F.size(said) > 0, F.array_join(said, "; "))
 
-    return finding(notes.withColumn("bad", tx.let(md.front_text(F.col("text")), missing)).where("bad is not null"), "front_matter", F.col("bad"))
+    return finding(notes.withColumn("bad", tx.let(md.front_text(F.col("text")), wrong)).where("bad is not null"), "front_matter", F.col("bad"))
 
 
 def hygiene(notes: DataFrame) -> DataFrame:
@@ -75,9 +80,17 @@ def expiries(notes: DataFrame, today: str, window_days: int = 30) -> DataFrame:
 
 
 def duplicate_headings(notes: DataFrame) -> DataFrame:
-    paths = F.transform(md.outline(md.headings(F.col("text"))), F.lower)
-    each = notes.select("path", F.explode_outer(paths).alias("h")).where("h is not null").groupBy("path", "h").agg(F.count("*").alias("n")).where("n > 1")
-    return finding(each, "headings", F.col("h"))
+    """Heading paths of a note that can't be told apart by the key that headings are looked up with."""
+    from corpus_engine.functions.kernels import heading_key
+
+    @F.pandas_udf("string")
+    def keys(paths):
+        return paths.map(lambda p: "\0".join(map(heading_key, p.split("\0"))))
+
+    found = F.transform(md.heading_paths(md.headings(F.col("text"))), lambda h: h["path"])
+    each = notes.select("path", F.explode_outer(found).alias("h")).where("h is not null").select("path", F.array_join("h", "::").alias("shown"), keys(F.array_join("h", "\0")).alias("key"))
+    same = each.groupBy("path", "key").agg(F.count("*").alias("n"), F.min("shown").alias("shown")).where("n > 1")
+    return finding(same, "headings", F.col("shown"))
 
 
 def documents(files: DataFrame, notes: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -108,5 +121,29 @@ def callout_findings(notes: DataFrame) -> DataFrame:
     return finding(rows, "callouts", F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "), "what"), F.when(F.col("what").isin("wrong case", "no title"), "warning").otherwise("error"))
 
 
+def all_checks(notes: DataFrame, files: DataFrame, shown: DataFrame, today: str, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Findings of the nine checks, in their order, on notes (path, text), documents (path, status) and the stored catalogue
+    (path, title, description); a check that cannot be planned is itself a finding, and the others still run."""
+    steps = {
+        "links": lambda: broken_links(notes, notes.select("path").unionByName(files.select("path"))),
+        "catalogue": lambda: catalogue_drift(notes, shown, cfg),
+        "front_matter": lambda: front_matter(notes),
+        "hygiene": lambda: hygiene(notes),
+        "series": lambda: series(notes, cfg=cfg),
+        "expiries": lambda: expiries(notes, today),
+        "headings": lambda: duplicate_headings(notes),
+        "documents": lambda: documents(files.select("path", "status"), notes, cfg),
+        "callouts": lambda: callout_findings(notes),
+    }
+    out = None
+    for name, step in steps.items():
+        try:
+            found = step()
+        except Exception as e:  # noqa: BLE001  the other checks still run
+            found = notes.sparkSession.createDataFrame([(name, "", f"could not run: {e}", "error")], "check string, path string, detail string, severity string")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def summary(findings: DataFrame) -> DataFrame:
     return findings.groupBy("check").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.countDistinct("path").alias("notes"))

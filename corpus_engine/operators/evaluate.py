@@ -38,6 +38,28 @@ def summarised(evaluated: DataFrame) -> DataFrame:
     )
 
 
+def conditions(embedder: str, queries_sha: str, k: int) -> dict:
+    """What two evaluations must share to be compared."""
+    return {"embedder": embedder, "queries": queries_sha, "k": k}
+
+
+def save(evaluated: DataFrame, conditions: dict, folder: str) -> None:
+    """An evaluation as a baseline: its rows, and the conditions it was made under."""
+    evaluated.write.mode("overwrite").parquet(f"{folder}/rows")
+    spark = evaluated.sparkSession
+    spark.createDataFrame([(k, str(v)) for k, v in conditions.items()], "name string, value string").coalesce(1).write.mode("overwrite").json(f"{folder}/conditions")
+
+
+def compared_with(now: DataFrame, conditions: dict, folder: str) -> DataFrame:
+    """compared with a saved baseline; every query is `incomparable` if it was made under other conditions."""
+    spark = now.sparkSession
+    held = {r["name"]: r["value"] for r in spark.read.schema("name string, value string").json(f"{folder}/conditions").collect()}
+    out = compared(now, spark.read.parquet(f"{folder}/rows"))
+    if held == {k: str(v) for k, v in conditions.items()}:
+        return out
+    return out.withColumn("verdict", F.lit("incomparable"))
+
+
 def compared(now: DataFrame, baseline: DataFrame) -> DataFrame:
     """(query, before, after, verdict): regression, improvement, new, removed or same, by rank."""
     a, b = baseline.select("query", F.col("rank").alias("before"), F.lit(1).alias("b")), now.select("query", F.col("rank").alias("after"), F.lit(1).alias("a"))

@@ -23,29 +23,38 @@ def raw_tokens(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case ASCII tokens without stop words, in order, repeats kept. Not stemmed."""
+    """Lower-case ASCII tokens without stop words, in order, repeats kept, before stemming."""
     return F.filter(raw_tokens(text), lambda t: ~t.isin(*STOP_WORDS))
 
 
-def stem_map(terms: DataFrame) -> DataFrame:
-    """(term, stem) of a table of distinct terms: the vocabulary is stemmed, not every token."""
-    from corpus_engine.functions.kernels import porter2
+def stemmer():
+    from corpus_engine.functions.stemming import porter2
 
     @F.pandas_udf("string")
     def stem(s):
         return s.map(porter2)
 
-    return terms.select("term").distinct().withColumn("stem", stem("term"))
+    return stem
+
+
+def stem_map(terms: DataFrame) -> DataFrame:
+    """(term, stem) of a table of terms: each distinct one is stemmed once, not every token."""
+    return terms.select("term").distinct().withColumn("stem", stemmer()("term"))
 
 
 def postings(chunks: DataFrame, id_col: str = "chunk", text_col: str = "text", stemmed: bool = False) -> DataFrame:
-    """(chunk, term, tf): one row for each term of each chunk."""
+    """(chunk, term, tf): one row for each term of each chunk.
+
+    Stems that are stop words go as well. Terms are counted before they are stemmed, so that the join on the vocabulary
+    gets one row for each term of a chunk, not one for each token.
+    """
     # stop words go after the explode: there the test is compiled, in an array function it is interpreted
     each = chunks.select(F.col(id_col).alias("chunk"), F.explode_outer(raw_tokens(F.col(text_col))).alias("term")).where(F.col("term").isNotNull() & ~F.col("term").isin(*STOP_WORDS))
-    if stemmed:
-        stems = stem_map(each)
-        each = each.join(stems, "term").select("chunk", F.col("stem").alias("term")).where(~F.col("term").isin(*STOP_WORDS))
-    return each.groupBy("chunk", "term").agg(F.count("*").alias("tf"))
+    counted = each.groupBy("chunk", "term").agg(F.count("*").alias("tf"))
+    if not stemmed:
+        return counted
+    named = counted.join(stem_map(counted), "term").select("chunk", F.col("stem").alias("term"), "tf").where(~F.col("term").isin(*STOP_WORDS))
+    return named.groupBy("chunk", "term").agg(F.sum("tf").alias("tf"))
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:
@@ -73,19 +82,22 @@ def idf_table(posted: DataFrame, stats: DataFrame, cfg: EngineConfig = DEFAULT)
     return with_stats.select("term", "df", F.when(raw_idf() < 0, F.lit(cfg.bm25_epsilon) * F.col("mean_idf")).otherwise(raw_idf()).alias("idf"))
 
 
-def query_terms(queries: DataFrame, id_col: str = "query", text_col: str = "q") -> DataFrame:
-    """(query, term, qtf)."""
-    return queries.select(F.col(id_col).alias("query"), F.explode_outer(raw_tokens(F.col(text_col))).alias("term")).where(F.col("term").isNotNull() & ~F.col("term").isin(*STOP_WORDS)).groupBy("query", "term").agg(F.count("*").alias("qtf"))
+def query_terms(queries: DataFrame, id_col: str = "query", text_col: str = "q", stemmed: bool = False) -> DataFrame:
+    """(query, term, qtf), by the same rules as postings."""
+    each = queries.select(F.col(id_col).alias("query"), F.explode_outer(raw_tokens(F.col(text_col))).alias("term")).where(F.col("term").isNotNull() & ~F.col("term").isin(*STOP_WORDS))
+    if stemmed:  # the terms of a query are few: no vocabulary is needed
+        each = each.select("query", stemmer()("term").alias("term")).where(~F.col("term").isin(*STOP_WORDS))
+    return each.groupBy("query", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, posted: DataFrame | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, posted: DataFrame | None = None, cfg: EngineConfig = DEFAULT, stemmed: bool = False) -> DataFrame:
     """(query, chunk, score) for chunks (chunk, text) that share a term with a query (query, q).
 
     Only postings of query terms are scored: they are cut down by a join on the term before chunk lengths are attached.
     """
-    posted = postings(chunks) if posted is None else posted
+    posted = postings(chunks, stemmed=stemmed) if posted is None else posted
     stats = corpus_stats(chunks, posted, cfg=cfg)
-    wanted = query_terms(queries)
+    wanted = query_terms(queries, stemmed=stemmed)
     weights = wanted.join(idf_table(posted, stats, cfg), "term")
     lengths = posted.groupBy("chunk").agg(F.sum("tf").alias("dl"))
     hit = posted.join(weights, "term").join(lengths, "chunk").crossJoin(F.broadcast(stats.select("avgdl")))
@@ -93,15 +105,15 @@ def bm25(chunks: DataFrame, queries: DataFrame, posted: DataFrame | None = None,
     return hit.groupBy("query", "chunk").agg(F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (cfg.bm25_k1 + 1) / norm).alias("score"))
 
 
-def rarest_term(posted: DataFrame, queries: DataFrame) -> DataFrame:
+def rarest_term(posted: DataFrame, queries: DataFrame, stemmed: bool = False) -> DataFrame:
     """(query, rarest): the least document frequency of the query's terms that the corpus has, 0 if it has none."""
-    found = query_terms(queries).join(document_frequency(posted), "term").groupBy("query").agg(F.min("df").alias("rarest"))
+    found = query_terms(queries, stemmed=stemmed).join(document_frequency(posted), "term").groupBy("query").agg(F.min("df").alias("rarest"))
     return queries.select("query").join(found, "query", "left").select("query", F.coalesce("rarest", F.lit(0)).alias("rarest"))
 
 
-def containing(posted: DataFrame, queries: DataFrame) -> DataFrame:
+def containing(posted: DataFrame, queries: DataFrame, stemmed: bool = False) -> DataFrame:
     """(query, chunk) where the chunk holds every distinct term of the query, unknown ones included."""
-    wanted = query_terms(queries)
+    wanted = query_terms(queries, stemmed=stemmed)
     size = wanted.groupBy("query").agg(F.count("*").alias("terms"))
     held = posted.join(wanted, "term").groupBy("query", "chunk").agg(F.count("*").alias("held"))
     return held.join(size, "query").where("held = terms").select("query", "chunk")

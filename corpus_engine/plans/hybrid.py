@@ -33,14 +33,14 @@ def fuse(dense: DataFrame, sparse: DataFrame, cfg: EngineConfig = DEFAULT) -> Da
     return full.withColumn("pos", F.row_number().over(order))
 
 
-def lookup_hits(posted: DataFrame, queries: DataFrame, sparse: DataFrame, path: Column, cfg: EngineConfig = DEFAULT) -> DataFrame:
+def lookup_hits(posted: DataFrame, queries: DataFrame, sparse: DataFrame, path: Column, cfg: EngineConfig = DEFAULT, stemmed: bool = False) -> DataFrame:
     """(query, chunk, pin): lexical candidates that hold every term of a query whose rarest known term is nearly unique.
 
     The best of each path by lexical rank, at most lookup_max_matches of them, numbered from 1. path is an expression
     over the candidates. Only the candidates' postings are looked at.
     """
-    rare = lexical.rarest_term(posted, queries).where((F.col("rarest") > 0) & (F.col("rarest") <= cfg.lookup_max_matches)).select("query")
-    wanted = lexical.query_terms(queries.join(rare, "query", "left_semi"))
+    rare = lexical.rarest_term(posted, queries, stemmed).where((F.col("rarest") > 0) & (F.col("rarest") <= cfg.lookup_max_matches)).select("query")
+    wanted = lexical.query_terms(queries.join(rare, "query", "left_semi"), stemmed=stemmed)
     size = wanted.groupBy("query").agg(F.count("*").alias("terms"))
     near = sparse.join(rare, "query", "left_semi").select("query", "chunk", path.alias("path"), F.col("rank").alias("sparse_rank"))
     held = near.join(wanted, "query").join(posted.select("chunk", "term"), ["chunk", "term"]).groupBy("query", "chunk", "path", "sparse_rank").agg(F.count("*").alias("held"))
@@ -70,14 +70,26 @@ def with_paths(candidates: DataFrame, paths: DataFrame) -> DataFrame:
     return candidates.join(paths.select("chunk", "path"), "chunk")
 
 
-def search(chunks: DataFrame, queries: DataFrame, dense: DataFrame, k: int | None = None, posted: DataFrame | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, dense: DataFrame, k: int | None = None, posted: DataFrame | None = None, cfg: EngineConfig = DEFAULT, stemmed: bool = False) -> DataFrame:
     """(query, chunk, score, path, place) for queries (query, q) over chunks (chunk, path, text).
 
     dense is (query, chunk, rank), the dense candidates. Lexical candidates whose score is not positive drop out after
     the cut to the candidates, not before. Scores have four digits.
     """
-    posted = lexical.postings(chunks) if posted is None else posted
-    sparse = rank_candidates(lexical.bm25(chunks, queries, posted, cfg), cfg.candidates).where("score > 0")
-    pins = lookup_hits(posted, queries, with_paths(sparse, chunks), F.col("path"), cfg)
+    posted = lexical.postings(chunks, stemmed=stemmed) if posted is None else posted
+    sparse = rank_candidates(lexical.bm25(chunks, queries, posted, cfg, stemmed), cfg.candidates).where("score > 0")
+    pins = lookup_hits(posted, queries, with_paths(sparse, chunks), F.col("path"), cfg, stemmed)
     found = diversify(with_paths(fuse(dense, sparse, cfg), chunks), pins, F.col("path"), cfg.k(k), cfg)
     return found.withColumn("score", F.round("score", 4))
+
+
+#: What a search without results says.
+NOTHING = "Nothing was found."
+
+
+def rendered(found: DataFrame) -> DataFrame:
+    """(query, rendered): the results of each query as markdown, best first: path and breadcrumb, score and line, text."""
+    where = F.concat("path", F.when(F.coalesce("breadcrumb", F.lit("")) != "", F.concat(F.lit(" > "), "breadcrumb")).otherwise(""))
+    block = F.concat(F.lit("### "), where, F.lit("\nscore "), F.format_string("%.4f", F.col("score").cast("double")), F.lit(", line "), F.col("line").cast("string"), F.lit("\n\n"), "text")
+    each = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", block.alias("block")))).alias("all"))
+    return each.select("query", F.array_join(F.transform("all", lambda x: x["block"]), "\n\n").alias("rendered"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpus_engine.config import DEFAULT, EngineConfig
 from corpus_engine.functions import markdown as md
 from corpus_engine.functions import text as tx
+from corpus_engine.sources import pdf
 
 
 def read_folder(spark: SparkSession, root: str, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -48,8 +49,8 @@ def list_dir(files: DataFrame) -> DataFrame:
     return out.groupBy("folder", "name", F.col("entry").alias("path"), "type").agg(F.max("size").alias("size"))
 
 
-#: Extractors by suffix: bytes of a document to the texts of its pages. An installation adds its own for .pdf.
-EXTRACTORS: dict[str, Callable[[bytes], list[str]]] = {}
+#: Extractors by suffix: bytes of a document to the texts of its pages. An installation may put its own in their place.
+EXTRACTORS: dict[str, Callable[[bytes], list[str]]] = {".pdf": pdf.pages}
 
 
 def html_markdown(html: Column) -> Column:
@@ -84,13 +85,15 @@ def extract(files: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
                     rows.append((path, known[kind](bytes(content)), None))
                 except KeyError:
                     rows.append((path, [], f"no extractor for {kind}"))
+                except pdf.Encrypted:
+                    rows.append((path, [], "encrypted"))
                 except Exception as e:  # noqa: BLE001  an unreadable document is a row, not a failed job
                     rows.append((path, [], f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["path", "page_texts", "detail"])
 
     found = files.where(tx.is_document(F.col("path"), cfg)).select("path", "content").mapInPandas(run, "path string, page_texts array<string>, detail string")
     markdown, pages = md.assembled(F.col("page_texts")), F.size("page_texts")
-    status = F.when(F.col("detail").isNotNull(), "failed").otherwise(extraction_status(markdown, pages, cfg=cfg))
+    status = F.when(F.col("detail") == "encrypted", "encrypted").when(F.col("detail").isNotNull(), "failed").otherwise(extraction_status(markdown, pages, cfg=cfg))
     return found.select("path", markdown.alias("markdown"), pages.alias("pages"), status.alias("status"), "detail")
 
 

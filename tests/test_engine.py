@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -10,7 +12,8 @@ from corpus_engine.functions import kernels
 from corpus_engine.functions import markdown as md
 from corpus_engine.functions import text as tx
 from corpus_engine.functions.kernels import NotFound, Refused
-from corpus_engine.operators import cache, catalogue, checks, links, mutate, vectors
+from corpus_engine.functions.stemming import porter2
+from corpus_engine.operators import cache, catalogue, checks, lexical, links, mutate, vectors
 from corpus_engine.plans import hybrid
 from corpus_engine.sources import notes as src
 from corpus_engine.streaming import changes
@@ -50,7 +53,7 @@ def test_reading(engine):
     assert engine.read("Files/bill.pdf").startswith("# Bill")
     assert engine.note("Home/Boiler.md")["frontmatter"]["title"] == "Boiler"
     assert [r.path for r in engine.find("tags", "home").collect()] == ["Home/Boiler.md"]
-    assert [r.name for r in engine.list("").collect()] == ["Home", "Inbox", "Reports"]
+    assert [r.name for r in engine.list("").collect()] == ["Files", "Home", "Inbox", "Reports"]
     for bad in (lambda: engine.read("no.md"), lambda: engine.read("Home/Boiler.md", "no")):
         with pytest.raises(NotFound):
             bad()
@@ -70,6 +73,171 @@ def test_edits_leave_the_old_version(engine):
     assert engine.set_body("Home/Boiler.md", "x").read("Home/Boiler.md").endswith("---\nx\n")
 
 
+def test_search_is_stemmed(spark):
+    e = Engine(spark, spark.createDataFrame([("a.md", "# Notes\n\nThe boilers gave readings and were renewed.\n"), ("b.md", "# Other\n\nnothing of the kind\n")], "path string, text string"))
+    for q in ("boiler", "reading", "renewing", "boilers readings"):
+        assert [h["path"] for h in e.search(q)] == ["a.md"], q
+    assert e.search("unheard") == [] and e.search_text("unheard") == hybrid.NOTHING
+    assert e.search_text("boiler").startswith("### a.md > Notes\nscore ")
+
+
+def stem_bm25(chunks, query, k1=1.5, b=0.75, eps=0.25):
+    """BM25 over stems by its formula, for a few texts."""
+    stop = set(lexical.STOP_WORDS)
+    toks = lambda t: [s for w in re.findall("[a-z0-9]+", t.lower()) if w not in stop and (s := porter2(w)) not in stop]
+    docs = {c: toks(t) for c, t in chunks.items()}
+    n, avg = len(docs), sum(map(len, docs.values())) / len(docs)
+    df = {t: sum(t in d for d in docs.values()) for d in docs.values() for t in d}
+    raw = {t: math.log(n - f + 0.5) - math.log(f + 0.5) for t, f in df.items()}
+    idf = {t: v if v >= 0 else eps * sum(raw.values()) / len(raw) for t, v in raw.items()}
+    out = {c: sum(idf[t] * d.count(t) * (k1 + 1) / (d.count(t) + k1 * (1 - b + b * len(d) / avg)) for t in toks(query) if t in d) for c, d in docs.items()}
+    return {c: s for c, s in out.items() if any(t in docs[c] for t in toks(query))}
+
+
+def test_stemmed_bm25(spark):
+    chunks = {"a": "Boilers were renewed; the boiler reading.", "b": "Reading readings of a reader", "c": "the and of", "d": "renewal of doing things boiled", "e": "x y z boil"}
+    df = spark.createDataFrame(list(chunks.items()), "chunk string, text string")
+    for q in ("boiler readings", "renewing the thing", "being boiled boiling"):
+        got = {r.chunk: r.score for r in lexical.bm25(df, spark.createDataFrame([(1, q)], "query int, q string"), stemmed=True).collect()}
+        want = stem_bm25(chunks, q)
+        assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-9 for c in got)
+    assert {r.chunk for r in lexical.containing(lexical.postings(df, stemmed=True), spark.createDataFrame([(1, "renewing boilers")], "query int, q string"), stemmed=True).collect()} == {"a"}
+
+
+def index_state(e):
+    t = e._tables()
+    rows = sorted(map(str, t["chunks"].select("chunk", "path", "title", "breadcrumb", "line", "text", "embed_text").collect()))
+    return rows, sorted(map(str, t["postings"].select("chunk", "term", "tf", "path").collect())), sorted((r.chunk, tuple(r.embedding)) for r in t["vectors"].collect())
+
+
+def test_edits_keep_the_index_as_a_rebuild_would(spark, engine):
+    e = engine.build()
+    for step in (
+        lambda x: x.append("Home/My Car.md", "The exhaust was renewed."),
+        lambda x: x.write("New/Pump.md", "# Pump\n\npumps and valves\n"),
+        lambda x: x.move("Home/Boiler.md", "Home/Heating.md"),
+        lambda x: x.delete("Inbox/s.md"),
+        lambda x: x.delete("Files/bill.pdf"),
+        lambda x: x.set_field("Home/Heating.md", "title", "Heating"),
+    ):
+        e = step(e)
+        fresh = Engine(spark, e.notes, e.extracted, e.embedder, e.cfg)
+        assert index_state(e) == index_state(fresh)
+    assert e.search("exhaust renewing")[0]["path"] == "Home/My Car.md" and e.search("pumping")[0]["path"] == "New/Pump.md"
+    assert e.status()["state"] == "ready"
+
+
+def test_a_stored_index_is_used_again(spark, tmp_path):
+    from corpus_engine.operators.cache import TableStore, fingerprint
+
+    class Counting:
+        def embed(self, texts):
+            with open(f"{tmp_path}/asked", "a") as f:
+                f.write("".join(f"{t!r}\n" for t in texts))
+            return np.ones((len(texts), 32), np.float32)
+
+    cfg = EngineConfig(dims=32)
+    store = lambda: TableStore(spark, f"file://{tmp_path}/store", fingerprint(cfg, "v1"))
+    make = lambda notes: Engine(spark, spark.createDataFrame(notes, "path string, text string"), None, Counting(), cfg)
+    cold = index_state(make(NOTES).build(store()))
+    asked = (tmp_path / "asked").read_text().count("\n")
+    assert index_state(make(NOTES).build(store())) == cold and (tmp_path / "asked").read_text().count("\n") == asked
+    make([*NOTES, ("Home/New.md", "a new text\n")]).build(store())
+    assert (tmp_path / "asked").read_text().count("\n") == asked + 1
+
+
+def test_stamps_documents_uploads_and_requests(spark, engine):
+    e = Engine(spark, engine.notes, engine.extracted, cfg=engine.cfg, clock=lambda: "2030-01-01T00:00:00Z")
+    assert "timestamp: 2030-01-01T00:00:00Z" in e.append("Home/Boiler.md", "x").read("Home/Boiler.md")
+    assert "timestamp: 2025-05-05T00:00:00Z" in e.set_field("Home/Boiler.md", "timestamp", "2025-05-05T00:00:00Z").read("Home/Boiler.md")
+    moved = e.move("Files/bill.pdf", "Home/Files/bill.pdf")
+    assert "[bill](/Home/Files/bill.pdf)" in moved.read("Home/My Car.md") and moved.read("Home/Files/bill.pdf").startswith("# Bill")
+    with pytest.raises(Refused):
+        e.move("Files/bill.pdf", "Files/bill.md")
+    with pytest.raises(NotFound):
+        e.delete("Files/bill.pdf").read("Files/bill.pdf")
+    body = b"%PDF-1.4\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj\n2 0 obj <</Type /Pages /Kids [3 0 R] /Count 1>> endobj\n3 0 obj <</Type /Page /Contents 4 0 R>> endobj\n4 0 obj <</Length 9>>\nstream\nBT (A tariff of the \\(old\\) kind, long enough to be a text layer.) Tj 0 -14 Td <6F6E65> Tj ET\nendstream endobj\n"
+    filed, status = e.upload("Files/tariff.pdf", body)
+    assert status == "filed" and "A tariff of the (old) kind" in filed.read("Files/tariff.pdf") and filed.read("Files/tariff.pdf").endswith("one")
+    assert filed.upload("Files/tariff.pdf", body)[1] == "unchanged" and e.upload("Other/x.pdf", body)[1] == "refused"
+    assert e.put("New/n.md", "text").read("New/n.md") == "text\n" and "tariff" in e.put("Files/t.pdf", body).read("Files/t.pdf")
+    assert "## New" in e.change("Home/Boiler.md", "body", operation="append", content="## New").read("Home/Boiler.md")
+    assert "status: on" not in e.change("Home/Boiler.md", "frontmatter", "title", "delete").read("Home/Boiler.md")
+    assert e.change("Home/Boiler.md", "heading", "Boiler", "prepend", "first").read("Home/Boiler.md").count("# Boiler\n\nfirst") == 1
+    for bad in (lambda: e.change("Home/Boiler.md", "heading", "Boiler", "delete"), lambda: e.upload("Files/x.txt", b"x"), lambda: e.find("tags", "home", "Home/Boiler.md")):
+        with pytest.raises(Refused):
+            bad()
+    with pytest.raises(NotFound):
+        e.find("tags", "home", "Nowhere")
+    assert e.map("Home/Boiler.md")["outline"] == ["Boiler"] and e.map("Files/scan.pdf")["status"] == "needs_ocr"
+    assert e.note("Home/My Car.md", "Car")["content"].startswith("# Car")
+
+
+def test_embedding_client():
+    import io
+    import urllib.error
+
+    from corpus_engine.sources.embedding import EmbeddingClient, EmbeddingError
+
+    def failing(code):
+        return urllib.error.HTTPError("u", code, "no", {}, io.BytesIO())
+
+    def client(answers, **more):
+        waits, asked = [], []
+
+        def send(url, body, timeout, key):
+            asked.append(len(body["input"]))
+            a = answers.pop(0) if answers else None
+            if isinstance(a, Exception):
+                raise a
+            return a if a is not None else {"data": [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in reversed(list(enumerate(body["input"])))]}
+
+        return EmbeddingClient("u", "m", 2, batch=3, send=send, wait=waits.append, **more), waits, asked
+
+    c, waits, asked = client([])
+    assert c.embed(["a", "bb", "ccc", "dddd"]).tolist() == [[1, 1], [2, 1], [3, 1], [4, 1]] and asked == [3, 1]
+    c, waits, _ = client([failing(500), failing(429), OSError("gone"), ValueError("bad")], longest_wait=3.0)
+    assert len(c.embed(["a"])) == 1 and waits == [1, 2, 3, 3]
+    for answers in ([failing(400)], [failing(500)] * 5, [{"data": []}], [{"data": [{"index": 0, "embedding": [1.0]}]}], [{"data": [{"index": 1, "embedding": [1.0, 1.0]}]}]):
+        c, waits, asked = client(answers)
+        with pytest.raises(EmbeddingError):
+            c.embed(["a"])
+    assert len(EmbeddingClient("u", "m", 2).embed([])) == 0
+
+
+def test_files_are_written_whole(tmp_path):
+    from corpus_engine.sources import files
+
+    path = tmp_path / "a" / "n.md"
+    files.write_text(path, "x\r\ny")
+    assert path.read_bytes() == b"x\ny\n" and path.stat().st_mode & 0o777 == 0o644
+    path.chmod(0o600)
+    files.write_bytes(path, b"---\nt: 1\n---\nz")
+    assert path.stat().st_mode & 0o777 == 0o600 and [p.name for p in path.parent.iterdir()] == ["n.md"]
+    assert not files.write_if_changed(path, "---\nt: 2\n---\nz\n") and files.write_if_changed(path, "---\nt: 2\n---\nw\n")
+    assert files.ocr_available(False, None) == (False, "OCR is off") and files.ocr_available(True, str(tmp_path)) == (True, "") and not files.ocr_available(True, None)[0]
+
+
+def test_baselines(spark, tmp_path):
+    from corpus_engine.operators import evaluate
+
+    rows = spark.createDataFrame([("a", 1), ("b", 3)], "query string, rank int")
+    made = evaluate.conditions("hash", "sha", 6)
+    evaluate.save(rows, made, f"{tmp_path}/b")
+    now = spark.createDataFrame([("a", 2), ("c", 1)], "query string, rank int")
+    assert {r["query"]: r["verdict"] for r in evaluate.compared_with(now, made, f"{tmp_path}/b").collect()} == {"a": "regression", "b": "removed", "c": "new"}
+    assert {r["verdict"] for r in evaluate.compared_with(now, evaluate.conditions("hash", "sha", 5), f"{tmp_path}/b").collect()} == {"incomparable"}
+
+
+def test_stored_catalogue_is_compared(spark, engine):
+    lines = "\n".join(r.line for r in engine.catalogue().collect())
+    shown = engine._with({"index.md": f"# Index\n\n{lines}\n"})
+    drift = lambda e: {(r.path, r.detail) for r in e.check_all("2024-06-01").where("check = 'catalogue'").collect()}
+    assert drift(shown) == set()
+    edited = shown.set_field("Home/Boiler.md", "description", "Other").delete("Home/My Car.md").write("Home/New.md", "# New\n")
+    assert drift(edited) == {("Home/Boiler.md", "changed"), ("Home/My Car.md", "extra"), ("Home/New.md", "missing")}
+
+
 def test_checks(engine):
     found = {(r.check, r.path, r.detail) for r in engine.check_all("2024-06-01").collect()}
     assert ("links", "Home/My Car.md", "Gone.md") in found
@@ -95,7 +263,11 @@ def test_columns_agree_with_kernel(spark):
         assert r.o == ["::".join(x.path) for x in own]
     spans = df.select("t", md.sections(F.col("t"), h).alias("s")).collect()
     for r in spans:
-        assert [(x.breadcrumb, x.line, x.body) for x in r.s] == [(s.crumb, s.line, s.body) for s in kernels.sections(r.t, EngineConfig())]
+        rows = r.t.split("\n")
+        tops = [h for h in kernels.headings(r.t) if h.depth <= 3]
+        for x, h in zip([x for x in r.s if x.heading], tops, strict=True):
+            assert (x.line, x.breadcrumb) == (h.line, " > ".join(h.path)) and rows[h.line - 1].strip() == x.body.split("\n")[0]
+        assert "".join("".join(x.body.split()) for x in r.s) == "".join(kernels.FRONT.sub("", r.t, count=1).split())
 
 
 def test_front_values(spark):
@@ -179,12 +351,13 @@ def test_folder_source(spark, tmp_path):
     files = src.read_folder(spark, str(tmp_path))
     assert sorted(r.path for r in files.collect()) == ["A b/n+1.md", "d.pdf"]
     assert files.where("path like '%.md'").select(src.note_text(F.col("content")).alias("t")).first().t == "x\ny�"
+    own = src.EXTRACTORS[".pdf"]
     src.EXTRACTORS[".pdf"] = lambda b: b.decode().split("|")
     try:
         row = src.extract(files).first()
     finally:
-        del src.EXTRACTORS[".pdf"]
-    assert row.status == "needs_ocr" and row.markdown.startswith("## Page 1") and src.extract(files).first().status == "failed"
+        src.EXTRACTORS[".pdf"] = own
+    assert row.status == "needs_ocr" and row.markdown.startswith("## Page 1") and src.extract(files).first().status == "empty"
 
 
 def test_eval_queries(spark, tmp_path):
