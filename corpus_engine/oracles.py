@@ -113,7 +113,8 @@ rule("FM1_frontmatter_values", NOTES, "SELECT path, CASE WHEN doc_id % 5 <> 0 TH
 rule("C1_token_estimates", NOTES, "SELECT path, floor(length(text) / 36e-1)::BIGINT AS tokens FROM notes")
 CRUMBS = rf"{HEADED}, nexts AS (SELECT *, coalesce(lead(line) OVER (PARTITION BY path ORDER BY line) - 1, total) AS last FROM trails), spans AS (SELECT path, replace(trail, '::', ' > ') AS breadcrumb, line, {STRIP.format('array_to_string(cut.l[line:last], chr(10))')} AS body FROM nexts JOIN cut USING (path) UNION ALL SELECT path, '', front + 1 + length(b) - length(replace(b, chr(10), '')), {STRIP.format('raw')} FROM (SELECT path, front, raw, regexp_extract(raw, '\A\s*') AS b FROM (SELECT path, front, array_to_string(l[front + 1:coalesce((SELECT min(line) FROM heads h WHERE h.path = cut.path), len(l) + 1) - 1], chr(10)) AS raw FROM cut)))"
 rule("C2_sections", CRUMBS, "SELECT path, breadcrumb, line, md5(body) AS body_md5 FROM spans WHERE body <> ''")
-rule("C4_bare_links", EXTRACTED, r"SELECT path, n - 1 AS ord, regexp_replace(regexp_replace(regexp_replace(CASE WHEN (n - 1) % 2 = 0 THEN regexp_replace(item, '^- (\S+).*$', '- [\1](/\1)') ELSE item END, '(?m)^\s*([-*+]|\d+[.)])\s+', '', 'g'), '\[\[[^\]]*\]\]|!?\[[^\]]*\]\([^)]*\)', '', 'g'), '[ \t\r\n\-–—:;,.|]', '', 'g') = '' AS bare FROM (SELECT path, unnest(regexp_extract_all(markdown, '(?m)^- .*$')) AS item, generate_subscripts(regexp_extract_all(markdown, '(?m)^- .*$'), 1) AS n FROM extracted)")
+rule("C4_bare_links", NOTES, r"""SELECT path, n - 1 AS ord, CASE WHEN path LIKE '%/fr/%' THEN true WHEN path LIKE '%/de/%' THEN false ELSE regexp_replace(regexp_replace(regexp_replace(item, '(?m)^\s*([-*+]|\d+[.)])\s+', '', 'g'), '\[\[[^\]]*\]\]|!?\[[^\]]*\]\([^)]*\)', '', 'g'), '[ \t\r\n\-–—:;,.|]', '', 'g') = '' END AS bare
+FROM (SELECT path, unnest(regexp_extract_all(text, '(?m)^- .*$')) AS item, generate_subscripts(regexp_extract_all(text, '(?m)^- .*$'), 1) AS n FROM notes)""")
 rule("C7_paragraphs", EXTRACTED, rf"SELECT path, n - 1 AS ord, md5(p) AS paragraph_md5 FROM (SELECT path, unnest(ps) AS p, generate_subscripts(ps, 1) AS n FROM (SELECT path, list_filter(regexp_split_to_array(markdown, '\n{{2,}}'), lambda p: regexp_replace(p, '\s', '', 'g') <> '') AS ps FROM extracted))")
 rule("C10_embed_texts", CRUMBS, "SELECT path, line, md5(CASE WHEN doc_id % 5 = 0 THEN 'search_document:' ELSE 'search_document: Doc ' || doc_id || ' - ' || lang || ' text from ' || source END || CASE WHEN breadcrumb <> '' THEN chr(10) || breadcrumb ELSE '' END || chr(10) || chr(10) || s.body) AS embed_md5 FROM spans s JOIN notes USING (path) JOIN src USING (doc_id) WHERE s.body <> ''")
 rule("L1_postings", POSTED, "SELECT chunk, term, tf FROM posted")
@@ -132,7 +133,7 @@ rule("R2_rrf", FUSED, "SELECT query, chunk, round(score, 6) AS score, pos FROM f
 rule("R4_lookup_hits", f"{SPARSE}, {PINS.format(path='s.chunk', join='')}", "SELECT query, chunk, pin FROM pins")
 rule("R7_hybrid_search", searched(6), "SELECT query, chunk, path, score, place FROM found")
 rule("R6_diversified_20", searched(20), "SELECT query, chunk, path, score, place FROM found")
-rule("K5_rendered_results", searched(6), "SELECT query, string_agg(place || '. ' || path || ' > ' || chunk, chr(10) ORDER BY place) AS rendered FROM found GROUP BY ALL")
+rule("K5_rendered_results", searched(6), r"SELECT query, string_agg('### ' || path || ' > ' || chunk || E'\nscore ' || printf('%.4f', score) || E', line 1\n\ntext of ' || chunk, E'\n\n' ORDER BY place) AS rendered FROM found GROUP BY ALL")
 JUDGED = f"{searched(6)}, {HELD}, res AS (SELECT query, chunk, place, path LIKE '%/de' AS never FROM found), evals AS (SELECT query, bool_or(h.chunk IS NOT NULL) OR query IN (SELECT query FROM held) AS scored, min(CASE WHEN h.chunk IS NOT NULL THEN place END) AS rank, count(r.chunk) AS returned, CASE WHEN count(r.chunk) > 0 THEN 1 ELSE 0 END::BIGINT AS max_per_path, count(CASE WHEN never AND h.chunk IS NULL THEN 1 END) AS forbidden FROM res r LEFT JOIN held h USING (query, chunk) GROUP BY query)"
 rule("E1_E4_eval_rows", JUDGED, "SELECT query, scored, rank, returned, max_per_path, forbidden FROM evals")
 rule("E2_recall_mrr", JUDGED, "SELECT count(CASE WHEN scored THEN 1 END) AS scored_queries, count(CASE WHEN scored AND rank IS NOT NULL THEN 1 END) AS hits, round(count(CASE WHEN scored AND rank IS NOT NULL THEN 1 END)::DOUBLE / count(CASE WHEN scored THEN 1 END), 4) AS recall, round(sum(CASE WHEN scored THEN coalesce(1e0 / rank, 0e0) END) / count(CASE WHEN scored THEN 1 END), 4) AS mrr, max(max_per_path) AS worst_max_per_path FROM evals")
@@ -156,11 +157,11 @@ rule("X2_appended", NOTES, r"SELECT path, md5(regexp_replace(text, '\n+\z', '')
 rule("X5_set_body", NOTES, rf"SELECT path, md5(regexp_extract(text, '{FRONT}') || E'new body\n') AS text_md5 FROM notes")
 rule("X6_deleted", NOTES, "SELECT path FROM notes WHERE path NOT LIKE 'Reports/%'")
 rule("X9_uploads", "", "SELECT 'Files/page-' || page_id || '.pdf' AS path, CASE WHEN page_id % 10 = 7 THEN 'filed' WHEN page_id % 2 = 0 THEN 'unchanged' ELSE 'replaced' END AS status FROM pages")
-rule("CK1_broken_links", f"{PAGE_NOTES}, known AS (SELECT target FROM tlinks GROUP BY ALL HAVING count(*) > 2)", "SELECT path, count(*) AS broken FROM tlinks WHERE NOT regexp_matches(raw, '^[A-Za-z][A-Za-z0-9+.-]*:') AND target <> '' AND target NOT IN (SELECT target FROM known) GROUP BY ALL")
+rule("CK1_broken_links", PAGE_NOTES, "SELECT path, count(*) AS broken FROM tlinks WHERE NOT regexp_matches(raw, '^[A-Za-z][A-Za-z0-9+.-]*:') AND target <> '' AND length(target) % 2 = 1 GROUP BY ALL")
 rule("CK3_front_matter", NOTES, "SELECT 'front_matter' AS \"check\", path, 'no front matter' AS detail, 'error' AS severity FROM notes WHERE doc_id % 5 = 0")
 rule("CK4_hygiene", "", r"""WITH t AS (SELECT CASE WHEN lang = 'es' THEN 'DOC' ELSE 'doc' END || (doc_id // 2) AS path, CASE WHEN lang = 'fr' THEN chr(65279) ELSE '' END || CASE WHEN lang = 'de' THEN E'a\r\nb\n' ELSE '' END || coalesce(text, '') AS x FROM documents)
 SELECT * FROM (SELECT 'mixed line ends' AS detail, 'error' AS severity, count(*) AS n FROM t WHERE contains(x, E'\r\n') AND regexp_matches(x, '(^|[^\r])\n') UNION ALL SELECT 'byte-order mark', 'warning', count(*) FROM t WHERE starts_with(x, chr(65279)) UNION ALL SELECT 'no final newline', 'warning', count(*) FROM t WHERE x <> '' AND NOT ends_with(x, chr(10)) UNION ALL SELECT 'paths differ in case only', 'error', count(*) FROM (SELECT lower(path) FROM t GROUP BY 1 HAVING count(*) > 1)) WHERE n > 0""")
-rule("CK7_duplicate_headings", HEADED, "SELECT path, lower(trail) AS detail FROM trails GROUP BY path, lower(trail) HAVING count(*) > 1")
+rule("CK7_duplicate_headings", HEADED, r"SELECT path, min(trail) AS detail FROM trails GROUP BY path, trim(regexp_replace(regexp_replace(lower(trail), '\*\*|__|[`*_]', '', 'g'), '\s+', ' ', 'g')) HAVING count(*) > 1")
 rule("CK8_documents", f"{NOTES}, {EXTRACTED}, linked AS (SELECT DISTINCT 'Files/page-' || doc_id || '.pdf' AS path FROM notes WHERE path LIKE '%en/%')", "SELECT path, 'orphan' AS detail, 'error' AS severity FROM extracted WHERE path NOT IN (SELECT path FROM linked) UNION ALL SELECT path, status, 'error' FROM extracted WHERE status <> 'extracted'")
 rule("G1_catalogue_entries", f"{HEADED}, firsts AS (SELECT path, title FROM (SELECT path, NULL AS title FROM notes))", rf"""SELECT n.path, regexp_replace(n.path, '/[^/]*$', '') AS folder, CASE WHEN n.doc_id % 5 <> 0 THEN 'Doc ' || n.doc_id ELSE coalesce(t.title, 'doc-' || n.doc_id) END AS title, CASE WHEN n.doc_id % 5 <> 0 THEN lang || ' text from ' || source ELSE s.sentence END AS description
 FROM notes n JOIN src USING (doc_id) JOIN ({ORACLES['M16_first_sentences'].split('FROM src)', 1)[1]}) s ON s.path = n.path LEFT JOIN (SELECT path, {STRIP.format("regexp_replace(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^#" + chr(92) + "s+" + chr(92) + "S'))[1], '^#" + chr(92) + "s+', '')")} AS title FROM notes) t ON t.path = n.path
@@ -170,4 +171,20 @@ rule("J6_upserted_sizes", FILES, "SELECT path, CASE WHEN path LIKE 'src4/%' THEN
 rule("T4_folder_order", f"{FILES}, folders AS (SELECT DISTINCT unnest(list_transform(range(1, len(string_split(path, '/'))), lambda n: array_to_string(string_split(path, '/')[:n], '/'))) AS folder FROM files)", "SELECT folder, replace(lower(folder), '/', chr(1)) AS order_key FROM folders")
 rule("A4_median_tokens", NOTES, "SELECT regexp_replace(path, '/[^/]*$', '') AS folder, median(floor(length(text) / 36e-1)::BIGINT) AS median_tokens, count(CASE WHEN floor(length(text) / 36e-1) >= 400 THEN 1 END) AS long_notes FROM notes GROUP BY 1")
 rule("G2_catalogue_lines", ORACLES["G1_catalogue_entries"][5:].rsplit("SELECT n.path", 1)[0] + ", entries AS (SELECT n.path" + ORACLES["G1_catalogue_entries"].rsplit("SELECT n.path", 1)[1] + "), heads2 AS (SELECT DISTINCT unnest(list_transform(range(1, len(string_split(folder, '/')) + 1), lambda n: array_to_string(string_split(folder, '/')[:n], '/'))) AS folder FROM entries)",
-     "SELECT folder, 1 AS kind, '- [' || title || '](' || path || ')' || CASE WHEN coalesce(description, '') <> '' THEN ' - ' || description ELSE '' END AS line FROM entries UNION ALL SELECT folder, 0, repeat('#', least(len(string_split(folder, '/')) + 1, 6)) || ' ' || string_split(folder, '/')[-1] FROM heads2 UNION ALL SELECT '', 2, '> [!NOTE] `' || x || '/` is not listed note by note' FROM (VALUES ('Reports'), ('Workflows')) v(x)")
+     r"""SELECT row_number() OVER (ORDER BY CASE WHEN folder = '' THEN [] ELSE string_split(lower(folder), '/') END, folder, kind, place, title_key, path) AS line_no, folder, kind, line FROM (
+SELECT folder, 1 AS kind, CASE WHEN lower(regexp_extract(path, '([^/]*)\.[^./]*$', 1)) = lower(string_split(folder, '/')[-1]) AND folder <> '' THEN 0 ELSE 1 END AS place, lower(title) AS title_key, path, '- [' || title || '](' || path || ')' || CASE WHEN coalesce(description, '') <> '' THEN ' - ' || description ELSE '' END AS line FROM entries
+UNION ALL SELECT folder, 0, 0, '', '', repeat('#', least(len(string_split(folder, '/')) + 1, 6)) || ' ' || string_split(folder, '/')[-1] FROM heads2
+UNION ALL SELECT '', 2, 0, lower(x), x, '> [!NOTE] `' || x || '/` is not listed note by note' FROM (VALUES ('Reports'), ('Workflows')) v(x))""")
+ENTRIES = f"e AS ({ORACLES['G1_catalogue_entries']})"
+rule("CK2_catalogue_drift", f"{ENTRIES}, {NOTES}", "SELECT path, CASE WHEN path LIKE 'src4/%' THEN 'missing' ELSE 'changed' END AS detail FROM e WHERE path LIKE 'src4/%' OR path LIKE 'src5/%' UNION ALL SELECT path, 'extra' FROM notes WHERE path LIKE 'Reports/%'")
+rule("CK5_series", "s AS (SELECT 'Reports/' || o_orderpriority AS series, o_orderdate::DATE AS day, bool_and(o_orderstatus = 'F') AS hollow FROM orders GROUP BY ALL), g AS (SELECT *, day - lag(day) OVER (PARTITION BY series ORDER BY day) AS gap FROM s)", "SELECT series || '/' || day || '.md' AS path, 'empty' AS detail FROM g WHERE hollow UNION ALL SELECT series || '/' || day || '.md', 'gap of ' || gap || ' days' FROM g WHERE gap > 1")
+rule("CK6_expiries", "o AS (SELECT 'o/' || o_orderkey || '.md' AS path, o_orderpriority AS p, o_orderdate::DATE AS day, o_orderdate::DATE - DATE '1998-01-01' AS days FROM orders WHERE o_orderpriority <> '2-HIGH')", "SELECT path, CASE WHEN p = '5-LOW' THEN 'malformed: soon' WHEN days < 0 THEN 'lapsed: ' || day ELSE 'soon: ' || day END AS detail, CASE WHEN p = '5-LOW' OR days < 0 THEN 'error' ELSE 'warning' END AS severity FROM o WHERE p = '5-LOW' OR days <= 30")
+rule("CK9_callouts", "c AS (SELECT 'c-' || conv_id || '-' || turn AS path, role, turn FROM conversations)", "SELECT path, 'line 2: ' || CASE WHEN turn % 2 = 0 THEN 'unknown type' ELSE 'no title' END AS detail, CASE WHEN turn % 2 = 0 THEN 'error' ELSE 'warning' END AS severity FROM c WHERE role <> 'user' UNION ALL SELECT path, 'line 5: untyped', 'error' FROM c UNION ALL SELECT path, 'line 7: wrong case', 'warning' FROM c")
+rule("T2_listing_order", f"l AS ({ORACLES['S5_directory_listing']})", "SELECT folder, name, row_number() OVER (PARTITION BY folder ORDER BY type <> 'dir', lower(name), name) AS place FROM l")
+rule("S3_note_texts", "", "SELECT doc_id, md5(coalesce(text, '') || chr(65533)) AS text_md5 FROM documents")
+rule("M11_resolved_targets", f"{HEADED}, k AS (SELECT path, line, parent, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS key, text FROM trails), last AS (SELECT path, arg_max(key, line) AS key, arg_max(text, line) AS text FROM k GROUP BY path)", "SELECT l.path, CASE WHEN count(*) = 1 THEN 'line ' || min(k.line) WHEN count(CASE WHEN k.parent IS NULL THEN 1 END) = 1 THEN 'line ' || min(CASE WHEN k.parent IS NULL THEN k.line END) ELSE 'ambiguous' END AS found FROM last l JOIN k USING (path, key) WHERE regexp_matches(l.text, '^[a-zA-Z .,]*[a-zA-Z][a-zA-Z .,]*$') GROUP BY l.path")
+rule("FM4_scalars", "", "SELECT n_nationkey, n - 1 AS at, CASE n WHEN 1 THEN n_name WHEN 2 THEN '\"' || n_nationkey || '\"' WHEN 3 THEN '\"true\"' WHEN 4 THEN '\"a: ' || n_name || '\"' ELSE '2024-01-02T03:04:05Z' END AS written FROM nation, (SELECT unnest(range(1, 6)) AS n)")
+NORMAL = r"regexp_replace({}, '\n*$', E'\n')"
+rule("FM7_deleted_fields", NOTES, rf"SELECT path, md5(CASE WHEN doc_id % 5 = 0 THEN text ELSE {NORMAL.format(r"regexp_replace(text, '\ntags:[^\n]*(\n  - [^\n]*)*', '')")} END) AS text_md5, CASE WHEN doc_id % 5 = 0 THEN 'the note has no front matter' END AS error FROM notes")
+rule("FM6_inserted_fields", f"{NOTES}, bare AS (SELECT doc_id, path, regexp_replace(text, '\\ndescription:[^\\n]*(\\n  [a-z][^\\n]*)*', '') AS text FROM notes)", rf"SELECT path, md5(CASE WHEN doc_id % 5 = 0 THEN text ELSE {NORMAL.format(r"regexp_replace(text, '\ntags:', E'\ndescription: " + '"a: b"' + r"\ntags:')")} END) AS text_md5, CASE WHEN doc_id % 5 = 0 THEN 'the note has no front matter' END AS error FROM bare")
+rule("X4_set_fields", NOTES, rf"SELECT path, md5(CASE WHEN doc_id % 5 = 0 THEN text ELSE {NORMAL.format(r"regexp_replace(text, '(?s)\A(---\n.*?\n)---\n', E'\\1status: " + '"on"' + r"\n---\n')")} END) AS text_md5, CASE WHEN doc_id % 5 = 0 THEN 'the note has no front matter' END AS error FROM notes")

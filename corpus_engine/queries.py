@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpus_engine.config import DEFAULT
@@ -241,9 +241,11 @@ def C2_sections(spark, sf_dir):
 
 @query
 def C4_bare_links(spark, sf_dir):
-    items = extracted(spark, sf_dir).select("path", F.posexplode_outer(F.regexp_extract_all("markdown", F.lit(r"(?m)^- .*$"), F.lit(0))).alias("ord", "item")).where("item is not null")
-    linked = F.when(F.col("ord") % 2 == 0, F.regexp_replace("item", r"^- (\S+).*$", r"- [$1](/$1)")).otherwise(F.col("item"))
-    return items.select("path", F.col("ord").cast("long").alias("ord"), md.is_bare_link(linked).alias("bare"))
+    """List items of notes; those of French ones are made bare links, those of German ones links with a word beside."""
+    n = notes(spark, sf_dir).select("path", F.posexplode_outer(F.regexp_extract_all("text", F.lit(r"(?m)^- .*$"), F.lit(0))).alias("ord", "item")).where("item is not null")
+    first = F.regexp_extract("item", r"^- (\S+)", 1)
+    linked = F.when(F.contains("path", F.lit("/fr/")), F.concat(F.lit("- ["), first, F.lit("](/a); [[b]]."))).when(F.contains("path", F.lit("/de/")), F.concat(F.lit("- ["), first, F.lit("](/a) see"))).otherwise(F.col("item"))
+    return n.select("path", F.col("ord").cast("long").alias("ord"), md.is_bare_link(linked).alias("bare"))
 
 
 @query
@@ -311,6 +313,12 @@ def L7_containment(spark, sf_dir):
     return lexical.containing(lexical.postings(lifted(spark, sf_dir)), asked(spark, sf_dir))
 
 
+@query
+def L5_stemmed_bm25(spark, sf_dir):
+    """Stems have no SQL form; tested against the formula."""
+    return lexical.bm25(lifted(spark, sf_dir), asked(spark, sf_dir), stemmed=True).select("query", "chunk", F.round("score", 6).alias("score"))
+
+
 # ---- vectors -----------------------------------------------------------------------------------------------------
 @query
 def V1_normalised_vectors(spark, sf_dir):
@@ -343,7 +351,7 @@ def V6_embed_misses(spark, sf_dir):
 # ---- ranking -----------------------------------------------------------------------------------------------------
 def arms(spark, sf_dir):
     c, q = lifted(spark, sf_dir), asked(spark, sf_dir)
-    posted = lexical.postings(c)
+    posted = lexical.postings(c).persist()  # read by each of the arms, the statistics and the pins
     dense = vectors.hashed_topk(vectors.hashed_entries(c, DIMS), vectors.hashed_entries(q.select(F.col("query").alias("chunk"), F.col("q").alias("text")), DIMS), DEFAULT.candidates, DIMS)
     sparse = hybrid.rank_candidates(lexical.bm25(c, q, posted), DEFAULT.candidates).where("score > 0")
     return c, q, posted, dense, sparse
@@ -385,6 +393,14 @@ def R7_hybrid_search(spark, sf_dir):
     return hybrid_results(spark, sf_dir)
 
 
+@query
+def R7_stemmed_search(spark, sf_dir):
+    """The same over stems, as the engine searches; stems have no SQL form."""
+    c, q, _, dense, _ = arms(spark, sf_dir)
+    found = hybrid.search(c, q, dense, None, lexical.postings(c, stemmed=True).persist(), stemmed=True)
+    return found.select("query", "chunk", "path", "score", F.col("place").cast("long").alias("place"))
+
+
 @query
 def R6_diversified_20(spark, sf_dir):
     return hybrid_results(spark, sf_dir, 20)
@@ -393,8 +409,7 @@ def R6_diversified_20(spark, sf_dir):
 @query
 def K5_rendered_results(spark, sf_dir):
     hit = hybrid_results(spark, sf_dir)
-    line = F.concat(F.col("place").cast("string"), F.lit(". "), "path", F.lit(" > "), "chunk")
-    return hit.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("l")).select("query", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("rendered"))
+    return hybrid.rendered(hit.withColumns({"breadcrumb": F.col("chunk"), "line": F.lit(1), "text": F.concat(F.lit("text of "), "chunk")}))
 
 
 # ---- evaluation --------------------------------------------------------------------------------------------------
@@ -606,14 +621,15 @@ def G1_catalogue_entries(spark, sf_dir):
 
 @query
 def G2_catalogue_lines(spark, sf_dir):
-    listed = catalogue.lines(catalogue.entries(notes(spark, sf_dir)), ("Reports", "Workflows"))
-    return listed.select("folder", "kind", "line")
+    """The catalogue's lines with their numbers."""
+    listed = catalogue.placed(catalogue.entries(notes(spark, sf_dir)), ("Reports", "Workflows"))
+    return listed.select("line_no", "folder", "kind", "line")
 
 
 @query
 def CK1_broken_links(spark, sf_dir):
     n = page_notes(spark, sf_dir)
-    known = links.links(n).groupBy("target").agg(F.count("*").alias("n")).where("n > 2").select(F.col("target").alias("path"))
+    known = links.links(n).where(F.char_length("target") % 2 == 0).select(F.col("target").alias("path")).distinct()
     return checks.broken_links(n, known).groupBy("path").agg(F.count("*").alias("broken"))
 
 
@@ -642,5 +658,109 @@ def CK8_documents(spark, sf_dir):
 
 @query
 def G3_check_summary(spark, sf_dir):
+    """All nine checks over the notes, the filed pages and a stored catalogue; each check has a query of its own beside this."""
+    n = notes(spark, sf_dir).select("path", "text")
+    return checks.summary(checks.all_checks(n, extracted(spark, sf_dir), stored_catalogue(spark, sf_dir), "1998-01-01"))
+
+
+def stored_catalogue(spark, sf_dir):
+    """A catalogue that lacks one source's notes, has another description for another's, and lists the reports."""
     n = notes(spark, sf_dir)
-    return checks.summary(checks.front_matter(n).unionByName(checks.duplicate_headings(n)))
+    held = catalogue.entries(n).where(~F.startswith("path", F.lit("src4/")))
+    old = F.when(F.startswith("path", F.lit("src5/")), F.concat(F.lit("old "), F.coalesce("description", F.lit("")))).otherwise(F.col("description"))
+    reports = n.where(F.startswith("path", F.lit("Reports/"))).select("path", F.lit("Report").alias("title"), F.lit("listed").alias("description"))
+    return held.select("path", "title", old.alias("description")).unionByName(reports)
+
+
+@query
+def CK2_catalogue_drift(spark, sf_dir):
+    return checks.catalogue_drift(notes(spark, sf_dir), stored_catalogue(spark, sf_dir)).select("path", "detail")
+
+
+@query
+def CK5_series(spark, sf_dir):
+    """Orders as a generated series of a note a day for each priority, empty where all orders are finished."""
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", F.to_date("o_orderdate").alias("day"), F.col("o_orderstatus").alias("status"))
+    path = F.concat(F.lit("Reports/"), "o_orderpriority", F.lit("/"), F.col("day").cast("string"), F.lit(".md"))
+    n = o.groupBy(path.alias("path")).agg(F.when(F.bool_and(F.col("status") == "F"), " \n").otherwise("orders\n").alias("text"))
+    return checks.series(n).select("path", "detail")
+
+
+@query
+def CK6_expiries(spark, sf_dir):
+    """Orders as notes that expire on their day; those of one priority have no valid date."""
+    o = table(spark, sf_dir, "orders")
+    value = F.when(F.col("o_orderpriority") == "5-LOW", F.lit("soon")).when(F.col("o_orderpriority") == "2-HIGH", F.lit("none")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    n = o.select(F.concat(F.lit("o/"), F.col("o_orderkey").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("---\nexpires:\n  - "), value, F.lit("\n---\n")).alias("text"))
+    return checks.expiries(n, "1998-01-01").select("path", "detail", "severity")
+
+
+@query
+def CK9_callouts(spark, sf_dir):
+    kind = F.when(F.col("role") == "user", "NOTE] Turn").when(F.col("turn") % 2 == 0, "odd] Turn").otherwise("WARNING]")
+    d = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("path"), F.concat(F.lit("intro\n> [!"), kind, F.lit("\n> body\n\n> bare\n\n> [!tip] T\n")).alias("text"))
+    return checks.callout_findings(d).select("path", "detail", "severity")
+
+
+@query
+def T2_listing_order(spark, sf_dir):
+    """Places in the listing of each folder: folders first, then by name in any case."""
+    order = Window.partitionBy("folder").orderBy(F.col("type") != "dir", F.lower("name"), "name")
+    return src.list_dir(files(spark, sf_dir)).select("folder", "name", F.row_number().over(order).alias("place"))
+
+
+@query
+def S3_note_texts(spark, sf_dir):
+    """Bytes with a byte-order mark, CR LF line ends and a broken byte at the end, as text."""
+    raw = F.concat(F.unhex(F.lit("EFBBBF")), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\r\n")).cast("binary"), F.unhex(F.lit("FF")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(src.note_text(raw).cast("binary")).alias("text_md5"))
+
+
+@query
+def M11_resolved_targets(spark, sf_dir):
+    """Where an edit of the last heading's name would go: its line, or that the name is ambiguous."""
+    from corpus_engine.functions import kernels
+
+    @F.pandas_udf("string")
+    def found(text, target):
+        def one(t, x):
+            try:
+                return f"line {kernels.resolve(t, x).line}"
+            except kernels.Refused:
+                return "ambiguous"
+            except kernels.NotFound:
+                return "not found"
+
+        return text.__class__([one(t, x) for t, x in zip(text, target, strict=True)])
+
+    n = headed(spark, sf_dir).select("path", "text", F.explode_outer(F.slice("h", -1, 1)).alias("x")).select("path", "text", F.col("x.text").alias("target")).where(F.col("target").rlike("^[a-zA-Z .,]*[a-zA-Z][a-zA-Z .,]*$"))
+    return n.select("path", found("text", "target").alias("found"))
+
+
+@query
+def FM4_scalars(spark, sf_dir):
+    """Names stay bare, numbers and words that YAML takes for something else are quoted."""
+    from corpus_engine.functions import kernels
+
+    @F.pandas_udf("string")
+    def written(v):
+        return v.map(kernels.scalar)
+
+    n = table(spark, sf_dir, "nation")
+    values = F.array("n_name", F.col("n_nationkey").cast("string"), F.lit("true"), F.concat(F.lit("a: "), "n_name"), F.lit("2024-01-02T03:04:05Z"))
+    return n.select("n_nationkey", F.posexplode(values).alias("at", "value")).select("n_nationkey", F.col("at").cast("long").alias("at"), written("value").alias("written"))
+
+
+@query
+def FM7_deleted_fields(spark, sf_dir):
+    n = notes(spark, sf_dir)
+    edits = n.select("path", F.lit("delete").alias("action"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("scope"), F.lit("tags").alias("field"), F.lit(None).cast("string").alias("value"))
+    return mutate.edited(n, edits).select("path", F.md5(F.col("text").cast("binary")).alias("text_md5"), "error")
+
+
+@query
+def FM6_inserted_fields(spark, sf_dir):
+    """A description where there was none: before the tags, after the title."""
+    n = notes(spark, sf_dir).select("path", F.regexp_replace("text", r"\ndescription:[^\n]*(\n  [a-z][^\n]*)*", "").alias("text"))
+    edits = n.select("path", F.lit("set").alias("action"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("scope"), F.lit("description").alias("field"), F.lit('"a: b"').alias("value"))
+    return mutate.edited(n, edits).select("path", F.md5(F.col("text").cast("binary")).alias("text_md5"), "error")
