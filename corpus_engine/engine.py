@@ -80,24 +80,33 @@ class Engine:
             rows = self._rows(self.notes, self.extracted).persist()
             vector = self._embedded(rows, None).persist() if self.embedder is not None else None
         else:
-            texts = src.read_any(self.notes, self.extracted).select("path", "text").withColumn("key", cache.content_key())
+            texts = self._keyed()
             held = store.read("chunks", self._rows(self.notes, self.extracted).withColumn("key", F.lit("")).schema)
             fresh = texts.join(held.select("key").distinct(), "key", "left_anti").select("path")
             made = self._rows(self.notes.join(fresh, "path", "left_semi"), self.extracted.join(fresh, "path", "left_semi"))
             kept = held.join(texts.select("key"), "key", "left_semi").select(made.columns)
             rows = kept.unionByName(made).persist()
-            tables = {"chunks": rows.join(texts.select("path", "key"), "path")}
-            vector = None
-            if self.embedder is not None:
-                old = store.read("vectors", "text_sha string, embedding array<float>")
-                vector = self._embedded(rows, old).persist()
-                tables["vectors"] = vector.select("text_sha", "embedding").dropDuplicates(["text_sha"])
-            store.save(tables, time.time_ns())
+            old = store.read("vectors", "text_sha string, embedding array<float>")
+            vector = self._embedded(rows, old).persist() if self.embedder is not None else None
         self._index = {"chunks": Layers(rows), "postings": Layers(self._posted(rows).persist())}
         if vector is not None:
             self._index["vectors"] = Layers(vector)
+        if store is not None:
+            store.save(self.stored_tables(), time.time_ns())
         return self
 
+    def _keyed(self) -> DataFrame:
+        """(path, text, key): the key names a path with its content."""
+        return src.read_any(self.notes, self.extracted).select("path", "text").withColumn("key", cache.content_key())
+
+    def stored_tables(self) -> dict[str, DataFrame]:
+        """What a store keeps of the index: chunks by content, vectors by text."""
+        tables = self._tables()
+        out = {"chunks": tables["chunks"].join(self._keyed().select("path", "key"), "path").select(*tables["chunks"].columns, "key")}
+        if "vectors" in tables:
+            out["vectors"] = tables["vectors"].select("text_sha", "embedding").dropDuplicates(["text_sha"])
+        return out
+
     def _tables(self) -> dict[str, DataFrame]:
         if self._index is None:
             self.build()

@@ -74,7 +74,7 @@ def test_edits_leave_the_old_version(engine):
 
 
 def test_search_is_stemmed(spark):
-    e = Engine(spark, spark.createDataFrame([("a.md", "# Notes\n\nThe boilers gave readings and were renewed.\n"), ("b.md", "# Other\n\nnothing of the kind\n")], "path string, text string"))
+    e = Engine(spark, spark.createDataFrame([("a.md", "# Notes\n\nThe boilers gave readings and were renewed.\n"), *((f"b{i}.md", f"# Other\n\nnothing of kind {i}\n") for i in range(4))], "path string, text string"))
     for q in ("boiler", "reading", "renewing", "boilers readings"):
         assert [h["path"] for h in e.search(q)] == ["a.md"], q
     assert e.search("unheard") == [] and e.search_text("unheard") == hybrid.NOTHING
@@ -375,6 +375,43 @@ def test_store_versions(spark, tmp_path):
     assert cache.TableStore(spark, f"file://{tmp_path}/s", "m2").read("t", "a int").count() == 0
 
 
+def test_upkeep_of_index_catalogue_and_store(spark, engine, tmp_path):
+    import datetime as dt
+
+    from corpus_engine.operators.cache import TableStore, fingerprint
+    from corpus_engine.streaming.upkeep import Upkeep
+
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    now = {p: t for p, t in NOTES if p != "Inbox/s.md"} | {"Home/My Car.md": "# Car\n\nexhaust pipes\n", "New/Sub/a.md": "# A\n\npumps\n"}
+    current = lambda: spark.createDataFrame(list(now.items()), "path string, text string")
+    log = [("Home/My Car.md", "modify", None, at(0)), ("Inbox/s.md", "delete", None, at(1)), ("New", "create", None, at(2))]
+    spark.createDataFrame(log, changes.SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/log")
+    store = TableStore(spark, f"file://{tmp_path}/store", fingerprint(engine.cfg, "v"))
+    e = Engine(spark, engine.notes, engine.extracted, engine.embedder, engine.cfg).build()
+    up = Upkeep(e, current, store)
+    up.start(lambda: changes.source(spark, f"{tmp_path}/log"), f"{tmp_path}/cp", once=True)
+    for q in up.queries:
+        q.awaitTermination(120)
+    fresh = Engine(spark, current(), engine.extracted, engine.embedder, engine.cfg)
+    assert up.engine is not e and index_state(up.engine) == index_state(fresh)
+    assert catalogue.difference(up.entries.table(), catalogue.entries(current()).select("path", "folder", "title", "description")).count() == 0
+    assert up.status() == {"state": "ready", "errors": {}} and up.reconcile() == {}
+    now["Home/Boiler.md"] = "# Boiler\n\nmissed\n"
+    del now["Reports/r.md"]
+    assert up.reconcile() == {"Home/Boiler.md": "changed", "Reports/r.md": "extra"}
+    up.stop()
+    assert not up.dirty and store.read("chunks", "path string").select("path").distinct().count() == 4
+    broken = Upkeep(e, current)
+    broken.catalogue_batch = lambda batch, n: (_ for _ in ()).throw(RuntimeError("no catalogue"))
+    broken.start(lambda: changes.source(spark, f"{tmp_path}/log"), f"{tmp_path}/cp2", once=True)
+    for q in broken.queries:
+        try:
+            q.awaitTermination(120)
+        except Exception:  # noqa: BLE001, S110  the catalogue's failure is asserted below
+            pass
+    assert broken.status()["state"] == "degraded" and broken.engine.read("New/Sub/a.md").startswith("# A")
+
+
 def test_stream_equals_rebuild(spark, tmp_path):
     import datetime as dt
 

@@ -26,4 +26,7 @@ def test_stands_without_the_subpackage(tmp_path):
         shutil.copy(ROOT / name, tmp_path)
     code = "import __spark_entry__ as e, bench, corpus_engine.engine; assert 'R7_hybrid_search' in e.queries(); assert not any(q.startswith('op') for q in e.queries())"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True).stderr == ""
+    shutil.copytree(ROOT / "tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    collected = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=tmp_path, capture_output=True, text=True)
+    assert collected.returncode == 0, collected.stdout
     assert not any("engine.llm" in p.read_text() for p in (ROOT / "corpus_engine").rglob("*.py") if "llm" not in p.parts)
