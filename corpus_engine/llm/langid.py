@@ -39,6 +39,7 @@ CODES = 1 << BITS
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 LETTER = re.compile(r"[^\W\d_]")
 _fold = np.zeros(0x110000, np.uint32)
+_owner = np.zeros(CODES, np.int32)  # a place for each code; nothing is read from it that was not just written
 
 
 def fold_table() -> np.ndarray:
@@ -54,14 +55,16 @@ def grams(text: str) -> np.ndarray:
     """Distinct codes of the text's 1-, 2- and 3-grams; runs of non-letters count as one."""
     s = fold_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     s = np.concatenate([[0], s, [0]]).astype(np.uint64)
-    s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])] + np.uint64(1)
-    seen = np.zeros(CODES, bool)
-    held = s * np.uint64(MIX[0])
-    seen[held >> np.uint64(64 - BITS)] = True
+    one = (s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])] + np.uint64(1)) * np.uint64(MIX[0])
+    top = np.uint64(64 - BITS)
+    codes, held = [one >> top], one
     for n in (1, 2):
-        held = (held[:-1] ^ held[:-1] >> np.uint64(29)) * np.uint64(MIX[n]) + s[n:] * np.uint64(MIX[0])
-        seen[(held ^ held >> np.uint64(32)) * np.uint64(MIX[2]) >> np.uint64(64 - BITS)] = True
-    return np.flatnonzero(seen).astype(np.int32)
+        held = (held[:-1] ^ held[:-1] >> np.uint64(29)) * np.uint64(MIX[n]) + one[n:]
+        codes.append((held ^ held >> np.uint64(32)) * np.uint64(MIX[2]) >> top)
+    found = np.concatenate(codes).astype(np.int32)
+    place = np.arange(len(found), dtype=np.int32)
+    _owner[found] = place  # of equal codes the last one stays
+    return np.sort(found[_owner[found] == place])
 
 
 @dataclass
