@@ -4,7 +4,7 @@ A string of `length` bytes is repeated if it starts anywhere else in the corpus;
 One index over a corpus can't be dealt out, so strings are first brought together by content. The anchor of a string
 is its 16-gram of least hash; equal strings have equal anchors. Consecutive strings with one anchor form a piece.
 
-1. Every bundle of documents (a range of ids) gives (anchor, 128-bit hash of piece), each distinct pair once.
+1. Every bundle of documents (a range of ids) gives (anchor, 96-bit hash of piece), each distinct pair once.
 2. Spark counts pairs, and different pieces of each anchor, both summed before they are shuffled, so that no anchor's pieces
    meet in one task. A piece that stands twice is repeated as a whole. If pieces of one anchor differ and one of them stands
    only once, one copy of each different piece is asked for: runs of equal copies never enter an index twice.
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_engine.llm.common import as_bytes, bundled, texts, written
+from corpus_engine.llm.common import as_bytes, bundled, erase, texts, written
 from corpus_engine.llm.substrings import BASE_2, mixed, part_bounds, rolling
 
 GRAM = 16
@@ -124,8 +124,8 @@ def verdicts(entries: DataFrame, crowd: int) -> DataFrame:
     All counts are summed in the tasks before they are shuffled. An anchor that very many pieces have makes one long side of
     a join, which Spark splits; the other side has one row for each key.
     """
-    piece = ["anchor", "high", "low"]
-    each = entries.groupBy(*piece).agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n"), F.min("bundle").alias("first"))
+    piece = ["high", "low"]  # the same piece has the same anchor
+    each = entries.groupBy(*piece).agg(F.min("anchor").alias("anchor"), F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n"), F.min("bundle").alias("first"))
     anchors = each.groupBy("anchor").agg(F.count("*").alias("different"), F.count_if(F.col("n") == 1).alias("single"))
     asked = anchors.where("different > 1 and single > 0").select("anchor", F.when(F.col("different") > crowd, HASHES).otherwise(BYTES).alias("ask"))
     said = each.join(asked, "anchor", "left").where("n > 1 or ask is not null")
@@ -247,7 +247,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, crowd: int = CROWD, id_co
     def send(key, table):
         a = anchored(table)
         n = len(a.keys)
-        signed = [pa.array(x.view(np.int64)) for x in (a.keys, *np.ascontiguousarray(a.pieces))]
+        signed = [pa.array(a.keys.view(np.int64)), pa.array(np.ascontiguousarray(a.pieces[0]).view(np.int64)), pa.array((a.pieces[1] >> np.uint64(32)).astype(np.uint32).view(np.int32))]
         return pa.table([pa.array(np.full(n, key[0].as_py(), np.int32)), pa.array(np.arange(n, dtype=np.int32)), *signed, pa.array(a.twice)], names=["bundle", "k", "anchor", "high", "low", "twice"])
 
     def codes(a: Anchored, answers) -> np.ndarray:
@@ -358,8 +358,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, crowd: int = CROWD, id_co
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table([pa.array(a.ids, pa.int64()), pa.array([len(x) for x in a.data], pa.int64()), pa.array(removed, span), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
 
-    entries = written(rows.groupBy("bundle").applyInArrow(send, "bundle int, k int, anchor long, high long, low long, twice boolean"), "pieces")
+    entries = written(rows.groupBy("bundle").applyInArrow(send, "bundle int, k int, anchor long, high long, low int, twice boolean"), "pieces")
     said = written(verdicts(entries, crowd), "verdicts")
+    erase(entries)
     judged = said.select(F.lit(0).alias("kind"), F.col("k").alias("part"), "bundle", F.char("code").cast("binary").alias("data"))
     offered = rows.groupBy("bundle").cogroup(judged.groupBy("bundle")).applyInArrow(offer, form)
     matched = offered.groupBy("kind", "part").applyInArrow(match, form)
