@@ -63,11 +63,16 @@ def document_frequency(posted: DataFrame) -> DataFrame:
 
 def corpus_stats(chunks: DataFrame, posted: DataFrame, id_col: str = "chunk", cfg: EngineConfig = DEFAULT) -> DataFrame:
     """One row (n, avgdl, mean_idf): all chunks count, also those without a term."""
+    return vocabulary_stats(chunks, posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")))
+
+
+def vocabulary_stats(chunks: DataFrame, vocab: DataFrame) -> DataFrame:
+    """corpus_stats of a vocabulary (term, df, tf)."""
     size = chunks.agg(F.count("*").alias("n"))
-    total = posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
+    total = vocab.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
     base = size.crossJoin(total).select("n", (F.col("tokens") / F.greatest("n", F.lit(1))).alias("avgdl"))  # of single rows
     # the mean over terms follows from how many terms have each frequency: few rows, whatever the vocabulary
-    by_df = document_frequency(posted).groupBy("df").agg(F.count("*").alias("terms"))
+    by_df = vocab.groupBy("df").agg(F.count("*").alias("terms"))
     idf = by_df.crossJoin(F.broadcast(base)).agg((F.sum(raw_idf() * F.col("terms")) / F.sum("terms")).alias("mean_idf"))
     return base.crossJoin(idf)
 
@@ -78,7 +83,12 @@ def raw_idf() -> Column:
 
 def idf_table(posted: DataFrame, stats: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """(term, df, idf): a negative idf gives way to epsilon times the mean."""
-    with_stats = document_frequency(posted).crossJoin(F.broadcast(stats))  # of one row
+    return weighed(document_frequency(posted), stats, cfg)
+
+
+def weighed(frequency: DataFrame, stats: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """idf_table of given frequencies (term, df)."""
+    with_stats = frequency.crossJoin(F.broadcast(stats))  # of one row
     return with_stats.select("term", "df", F.when(raw_idf() < 0, F.lit(cfg.bm25_epsilon) * F.col("mean_idf")).otherwise(raw_idf()).alias("idf"))
 
 
@@ -105,9 +115,12 @@ def bm25(chunks: DataFrame, queries: DataFrame, posted: DataFrame | None = None,
     return hit.groupBy("query", "chunk").agg(F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (cfg.bm25_k1 + 1) / norm).alias("score"))
 
 
-def rarest_term(posted: DataFrame, queries: DataFrame, stemmed: bool = False) -> DataFrame:
-    """(query, rarest): the least document frequency of the query's terms that the corpus has, 0 if it has none."""
-    found = query_terms(queries, stemmed=stemmed).join(document_frequency(posted), "term").groupBy("query").agg(F.min("df").alias("rarest"))
+def rarest_term(posted: DataFrame | None, queries: DataFrame, stemmed: bool = False, frequency: DataFrame | None = None) -> DataFrame:
+    """(query, rarest): the least document frequency of the query's terms that the corpus has, 0 if it has none.
+
+    frequency is (term, df), by default that of the postings.
+    """
+    found = query_terms(queries, stemmed=stemmed).join(document_frequency(posted) if frequency is None else frequency.select("term", "df"), "term").groupBy("query").agg(F.min("df").alias("rarest"))
     return queries.select("query").join(found, "query", "left").select("query", F.coalesce("rarest", F.lit(0)).alias("rarest"))
 
 

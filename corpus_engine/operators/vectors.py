@@ -88,13 +88,18 @@ def embed_misses(chunks: DataFrame, store: DataFrame, embedder: Embedder, dims:
     return keyed.join(store.unionByName(new), "text_sha"), new
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, id, score) of the k best rows of each column; ties go to the smaller id."""
+def best_rows(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(column, row) of the k best rows of each column; ties go to the smaller id."""
     order = np.argsort(ids, kind="stable")
-    ids, scores = ids[order], scores[order]
-    at = np.argsort(-scores, axis=0, kind="stable")[:k]
+    at = np.argsort(-scores[order], axis=0, kind="stable")[:k]
     number = np.broadcast_to(np.arange(scores.shape[1]), at.shape)
-    return number.ravel(), ids[at.ravel()], np.take_along_axis(scores, at, axis=0).ravel()
+    return number.ravel(), order[at.ravel()]
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, id, score) of the k best rows of each column; ties go to the smaller id."""
+    number, row = best_rows(ids, scores, k)
+    return number, ids[row], scores[row, number]
 
 
 def matrix(vectors, dims: int) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpus_engine.config import DEFAULT, EngineConfig
-from corpus_engine.operators import lexical
+from corpus_engine.operators import batch, lexical
 from corpus_engine.operators.vectors import top_n
 
 
@@ -33,22 +33,30 @@ def fuse(dense: DataFrame, sparse: DataFrame, cfg: EngineConfig = DEFAULT) -> Da
     return full.withColumn("pos", F.row_number().over(order))
 
 
-def lookup_hits(posted: DataFrame, queries: DataFrame, sparse: DataFrame, path: Column, cfg: EngineConfig = DEFAULT, stemmed: bool = False) -> DataFrame:
+def lookup_hits(posted: DataFrame | None, queries: DataFrame, sparse: DataFrame, path: Column, cfg: EngineConfig = DEFAULT, stemmed: bool = False, frequency: DataFrame | None = None) -> DataFrame:
     """(query, chunk, pin): lexical candidates that hold every term of a query whose rarest known term is nearly unique.
 
     The best of each path by lexical rank, at most lookup_max_matches of them, numbered from 1. path is an expression
-    over the candidates. Only the candidates' postings are looked at.
+    over the candidates. Only the candidates' postings are looked at, or none if the candidates have `full`, which says
+    whether they hold every term, and the frequencies (term, df) are given.
     """
-    rare = lexical.rarest_term(posted, queries, stemmed).where((F.col("rarest") > 0) & (F.col("rarest") <= cfg.lookup_max_matches)).select("query")
-    wanted = lexical.query_terms(queries.join(rare, "query", "left_semi"), stemmed=stemmed)
-    size = wanted.groupBy("query").agg(F.count("*").alias("terms"))
-    near = sparse.join(rare, "query", "left_semi").select("query", "chunk", path.alias("path"), F.col("rank").alias("sparse_rank"))
-    held = near.join(wanted, "query").join(posted.select("chunk", "term"), ["chunk", "term"]).groupBy("query", "chunk", "path", "sparse_rank").agg(F.count("*").alias("held"))
-    full = held.join(size, "query").where("held = terms")
+    rare = lexical.rarest_term(posted, queries, stemmed, frequency).where((F.col("rarest") > 0) & (F.col("rarest") <= cfg.lookup_max_matches)).select("query")
+    near = sparse.join(rare, "query", "left_semi")
+    told = "full" in sparse.columns
+    near = (near.where("full") if told else near).select("query", "chunk", path.alias("path"), F.col("rank").alias("sparse_rank"))
+    full = near if told else holding(posted, queries.join(rare, "query", "left_semi"), near, stemmed)
     first = full.withColumn("n", F.row_number().over(Window.partitionBy("query", "path").orderBy("sparse_rank"))).where("n = 1")
     return first.withColumn("pin", F.row_number().over(Window.partitionBy("query").orderBy("sparse_rank"))).where(F.col("pin") <= cfg.lookup_max_matches).select("query", "chunk", "pin")
 
 
+def holding(posted: DataFrame, queries: DataFrame, near: DataFrame, stemmed: bool) -> DataFrame:
+    """Candidates (query, chunk, path, sparse_rank) that hold every term of their query, by their postings."""
+    wanted = lexical.query_terms(queries, stemmed=stemmed)
+    size = wanted.groupBy("query").agg(F.count("*").alias("terms"))
+    held = near.join(wanted, "query").join(posted.select("chunk", "term"), ["chunk", "term"]).groupBy("query", "chunk", "path", "sparse_rank").agg(F.count("*").alias("held"))
+    return held.join(size, "query").where("held = terms")
+
+
 def per_path_cap(k: int, cfg: EngineConfig = DEFAULT) -> int:
     return max(1, -(-k // cfg.path_share))
 
@@ -70,15 +78,27 @@ def with_paths(candidates: DataFrame, paths: DataFrame) -> DataFrame:
     return candidates.join(paths.select("chunk", "path"), "chunk")
 
 
-def search(chunks: DataFrame, queries: DataFrame, dense: DataFrame, k: int | None = None, posted: DataFrame | None = None, cfg: EngineConfig = DEFAULT, stemmed: bool = False) -> DataFrame:
+def candidates(chunks: DataFrame, queries: DataFrame, vocab: DataFrame, cfg: EngineConfig = DEFAULT, stemmed: bool = False) -> DataFrame:
+    """(query, chunk, score, full, rank): the lexical candidates straight from the texts; vocab is batch.vocabulary of the chunks.
+
+    Candidates whose score is not positive drop out after the cut, not before.
+    """
+    return batch.bm25(chunks, queries, cfg.candidates, vocab, cfg, stemmed).where("score > 0")
+
+
+def search(chunks: DataFrame, queries: DataFrame, dense: DataFrame, k: int | None = None, posted: DataFrame | None = None, cfg: EngineConfig = DEFAULT, stemmed: bool = False, vocab: DataFrame | None = None, sparse: DataFrame | None = None) -> DataFrame:
     """(query, chunk, score, path, place) for queries (query, q) over chunks (chunk, path, text).
 
-    dense is (query, chunk, rank), the dense candidates. Lexical candidates whose score is not positive drop out after
-    the cut to the candidates, not before. Scores have four digits.
+    dense is (query, chunk, rank), the dense candidates. Lexical candidates come from the postings of a stored index,
+    without them from the texts: vocab and sparse (see candidates) may be given then. Those whose score is not positive
+    drop out after the cut to the candidates, not before. Scores have four digits.
     """
-    posted = lexical.postings(chunks, stemmed=stemmed) if posted is None else posted
-    sparse = rank_candidates(lexical.bm25(chunks, queries, posted, cfg, stemmed), cfg.candidates).where("score > 0")
-    pins = lookup_hits(posted, queries, with_paths(sparse, chunks), F.col("path"), cfg, stemmed)
+    if posted is None:
+        vocab = batch.vocabulary(chunks, stemmed).persist() if vocab is None else vocab
+        sparse = candidates(chunks, queries, vocab, cfg, stemmed).persist() if sparse is None else sparse  # some dozens a query
+    else:
+        sparse = rank_candidates(lexical.bm25(chunks, queries, posted, cfg, stemmed), cfg.candidates).where("score > 0")
+    pins = lookup_hits(posted, queries, with_paths(sparse, chunks), F.col("path"), cfg, stemmed, vocab)
     found = diversify(with_paths(fuse(dense, sparse, cfg), chunks), pins, F.col("path"), cfg.k(k), cfg)
     return found.withColumn("score", F.round("score", 4))
 

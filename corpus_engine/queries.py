@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpus_engine.config import DEFAULT
 from corpus_engine.functions import markdown as md
 from corpus_engine.functions import text as tx
-from corpus_engine.operators import cache, catalogue, checks, chunks, evaluate, lexical, links, mutate, vectors
+from corpus_engine.operators import batch, cache, catalogue, checks, chunks, evaluate, lexical, links, mutate, vectors
 from corpus_engine.plans import hybrid
 from corpus_engine.sources import notes as src
 from corpus_engine.streaming import changes
@@ -300,7 +300,7 @@ def A7_corpus_stats(spark, sf_dir):
 
 @query
 def L5_bm25_scores(spark, sf_dir):
-    return lexical.bm25(lifted(spark, sf_dir), asked(spark, sf_dir)).select("query", "chunk", F.round("score", 6).alias("score"))
+    return batch.bm25(lifted(spark, sf_dir), asked(spark, sf_dir)).select("query", "chunk", F.round("score", 6).alias("score"))
 
 
 @query
@@ -316,7 +316,7 @@ def L7_containment(spark, sf_dir):
 @query
 def L5_stemmed_bm25(spark, sf_dir):
     """Stems have no SQL form; tested against the formula."""
-    return lexical.bm25(lifted(spark, sf_dir), asked(spark, sf_dir), stemmed=True).select("query", "chunk", F.round("score", 6).alias("score"))
+    return batch.bm25(lifted(spark, sf_dir), asked(spark, sf_dir), stemmed=True).select("query", "chunk", F.round("score", 6).alias("score"))
 
 
 # ---- vectors -----------------------------------------------------------------------------------------------------
@@ -349,12 +349,12 @@ def V6_embed_misses(spark, sf_dir):
 
 
 # ---- ranking -----------------------------------------------------------------------------------------------------
-def arms(spark, sf_dir):
+def arms(spark, sf_dir, stemmed=False):
     c, q = lifted(spark, sf_dir), asked(spark, sf_dir)
-    posted = lexical.postings(c).persist()  # read by each of the arms, the statistics and the pins
-    dense = vectors.hashed_topk(vectors.hashed_entries(c, DIMS), vectors.hashed_entries(q.select(F.col("query").alias("chunk"), F.col("q").alias("text")), DIMS), DEFAULT.candidates, DIMS)
-    sparse = hybrid.rank_candidates(lexical.bm25(c, q, posted), DEFAULT.candidates).where("score > 0")
-    return c, q, posted, dense, sparse
+    vocab = batch.vocabulary(c, stemmed).persist()  # read by the statistics, the weights and the pins
+    dense = batch.hashed_topk(c, q, DEFAULT.candidates, DIMS)
+    sparse = hybrid.candidates(c, q, vocab, stemmed=stemmed).persist()  # 50 rows a query, read by the fusion and the pins
+    return c, q, vocab, dense, sparse
 
 
 @query
@@ -370,22 +370,26 @@ def R2_rrf(spark, sf_dir):
 
 @query
 def R4_lookup_hits(spark, sf_dir):
-    _, q, posted, _, sparse = arms(spark, sf_dir)
-    return hybrid.lookup_hits(posted, q, sparse, F.col("chunk")).select("query", "chunk", F.col("pin").cast("long").alias("pin"))
+    _, q, vocab, _, sparse = arms(spark, sf_dir)
+    return hybrid.lookup_hits(None, q, sparse, F.col("chunk"), frequency=vocab).select("query", "chunk", F.col("pin").cast("long").alias("pin"))
 
 
-def hybrid_results(spark, sf_dir, k=None):
-    c, q, posted, dense, _ = arms(spark, sf_dir)
-    found = hybrid.search(c, q, dense, k, posted)
+def results_of(parts, k=None, stemmed=False):
+    c, q, vocab, dense, sparse = parts
+    found = hybrid.search(c, q, dense, k, stemmed=stemmed, vocab=vocab, sparse=sparse)
     return found.select("query", "chunk", "path", "score", F.col("place").cast("long").alias("place"))
 
 
+def hybrid_results(spark, sf_dir, k=None):
+    return results_of(arms(spark, sf_dir), k)
+
+
 @query
 def R3_lookup_gate(spark, sf_dir):
     """Whether a query names something nearly unique that some candidate holds in full."""
-    c, q, posted, _, sparse = arms(spark, sf_dir)
-    pinned = hybrid.lookup_hits(posted, q, hybrid.with_paths(sparse, c), F.col("path")).select("query").distinct().withColumn("hit", F.lit(True))
-    return lexical.rarest_term(posted, q).join(pinned, "query", "left").select("query", "rarest", F.coalesce("hit", F.lit(False)).alias("is_lookup"))
+    c, q, vocab, _, sparse = arms(spark, sf_dir)
+    pinned = hybrid.lookup_hits(None, q, hybrid.with_paths(sparse, c), F.col("path"), frequency=vocab).select("query").distinct().withColumn("hit", F.lit(True))
+    return lexical.rarest_term(None, q, frequency=vocab).join(pinned, "query", "left").select("query", "rarest", F.coalesce("hit", F.lit(False)).alias("is_lookup"))
 
 
 @query
@@ -396,9 +400,7 @@ def R7_hybrid_search(spark, sf_dir):
 @query
 def R7_stemmed_search(spark, sf_dir):
     """The same over stems, as the engine searches; stems have no SQL form."""
-    c, q, _, dense, _ = arms(spark, sf_dir)
-    found = hybrid.search(c, q, dense, None, lexical.postings(c, stemmed=True).persist(), stemmed=True)
-    return found.select("query", "chunk", "path", "score", F.col("place").cast("long").alias("place"))
+    return results_of(arms(spark, sf_dir, stemmed=True), stemmed=True)
 
 
 @query
@@ -413,12 +415,17 @@ def K5_rendered_results(spark, sf_dir):
 
 
 # ---- evaluation --------------------------------------------------------------------------------------------------
+def verbatim(c, q):
+    """(query, path): the chunks that hold all terms of a query and its text verbatim; read several times."""
+    held = batch.containing(c, q).join(F.broadcast(q), "query").where(F.contains("text", F.col("q")))  # a stated query set
+    return held.select("query", F.col("chunk").alias("path")).persist()
+
+
 def judged(spark, sf_dir):
     """Documents that hold a benchmark passage verbatim are what its query should find; German ones must not come."""
-    c, q = lifted(spark, sf_dir), asked(spark, sf_dir)
-    held = lexical.containing(lexical.postings(c), q).join(q, "query").join(c, "chunk").where(F.contains("text", F.col("q")))
-    expected = held.select("query", F.col("chunk").alias("path"))
-    results = hybrid_results(spark, sf_dir).select("query", F.col("chunk").alias("path"), "place", F.col("path").alias("folder"))
+    parts = arms(spark, sf_dir)
+    expected = verbatim(parts[0], parts[1])
+    results = results_of(parts).select("query", F.col("chunk").alias("path"), "place", F.col("path").alias("folder")).persist()  # k rows a query
     never = results.where(F.endswith("folder", F.lit("/de"))).select("query", "path").join(expected, ["query", "path"], "left_anti")
     return evaluate.rows(results, expected, never)
 
@@ -436,10 +443,10 @@ def E2_recall_mrr(spark, sf_dir):
 @query
 def E3_compare_baseline(spark, sf_dir):
     """The lexical arm alone against the hybrid ranking."""
-    c, q, _, _, sparse = arms(spark, sf_dir)
-    held = lexical.containing(lexical.postings(c), q).join(q, "query").join(c, "chunk").where(F.contains("text", F.col("q"))).select("query", F.col("chunk").alias("path"))
+    parts = arms(spark, sf_dir)
+    held, sparse = verbatim(parts[0], parts[1]), parts[4]
     lexical_rows = evaluate.rows(sparse.where("rank <= 6").select("query", F.col("chunk").alias("path"), F.col("rank").cast("long").alias("place")), held)
-    both = evaluate.rows(hybrid_results(spark, sf_dir).select("query", F.col("chunk").alias("path"), "place"), held)
+    both = evaluate.rows(results_of(parts).select("query", F.col("chunk").alias("path"), "place").persist(), held)
     return evaluate.compared(both, lexical_rows)
 
 
