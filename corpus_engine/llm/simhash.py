@@ -4,8 +4,8 @@ Fingerprints, of 64 bits a lane, are cut into parts. The anchors of a part are t
 Hamming code on its low bits, all words on the rest, covering radius 1. Each fingerprint goes to every anchor within 2
 (the radius, and half of the 2 bits that two members of an anchor may differ by in the part): of words that differ in
 2 bits one lies between them, and its nearest anchor is within 2 of both. So all pairs that differ by 2 bits or fewer
-in some part meet. threshold // 3 + 1 parts find every pair within the threshold; more bits and more parts with a higher
-threshold find most pairs of a wider range. Members are compared per anchor; an anchor with many members is dealt out in tiles of
+in some part meet, and threshold // 3 + 1 parts find every pair within the threshold; where parts would be too short for
+a good code, the last one may be shorter and of reach 1 (see layout). Members are compared per anchor; an anchor with many members is dealt out in tiles of
 pairs of slices. A tile returns a spanning star of its links, not all pairs; stars are joined by alternating
 large-star and small-star rounds over tables in the shared folder.
 
@@ -111,22 +111,53 @@ class AnchorCode:
         return at[0], words[at[0]] ^ masks[at]
 
 
-def parts(per_lane: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of the parts of a lane."""
-    cut = [64 * i // per_lane for i in range(per_lane + 1)]
-    return list(zip(cut, np.diff(cut).tolist(), strict=False))
+class DropCode:
+    """Words of one part with one of their bits left out: words that differ in one bit or none meet."""
 
+    def __init__(self, length: int):
+        self.length = length
 
-def covered(nodes: DataFrame, per_lane: int) -> DataFrame:
-    """(key, fp, ..., rep): a row for each anchor of each part that a fingerprint is near enough to."""
+    def anchors(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.repeat(np.arange(len(words)), self.length)
+        bit = np.tile(np.arange(self.length), len(words))
+        return at, words[at] & ~(1 << bit) | bit << self.length
+
+
+def layout(bits: int, threshold: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, reach) of parts: every pair within the threshold differs by `reach` bits or fewer in one of them.
+
+    For reach + 1 sums to more than the threshold. Parts are of one size, unless they would be shorter than the
+    Hamming code of 15 bits and a short last part of reach 1 is enough beside parts of 15.
+    """
+    n, full = threshold // 3 + 1, threshold // 3
+    if threshold % 3 == 1 and bits // n < 15 and bits > 15 * full:
+        return [*((15 * i, 15, 2) for i in range(full)), (15 * full, bits - 15 * full, 1)]
+    cut = [bits * i // n for i in range(n + 1)]
+    return [(x, y - x, 2) for x, y in zip(cut, cut[1:], strict=False)]
+
+
+def covered(nodes: DataFrame, threshold: int) -> DataFrame:
+    """(key, fp, ..., rep): a row for each anchor of each part that a fingerprint is near enough to.
+
+    All pairs of nodes within the threshold meet at some key.
+    """
     names = [c for c in nodes.columns if c.startswith("fp")]
-    codes = {size: AnchorCode(size, 1 + 1) for _, size in parts(per_lane)}
+    parts = [(at, size, AnchorCode(size, 1 + 1) if reach == 2 else DropCode(size)) for at, size, reach in layout(64 * len(names), threshold)]
+
+    def word(lanes, at, size):
+        """The bits of a part, which may lie in two lanes."""
+        low, off = divmod(at, 64)
+        out = lanes[low] >> np.uint64(off)
+        if off + size > 64:
+            out = out | lanes[low + 1] << np.uint64(64 - off)
+        return (out & np.uint64((1 << size) - 1)).astype(np.int64)
 
     def run(batches):
         for b in batches:
             *fps, rep = (b.column(i).to_numpy(zero_copy_only=False) for i in range(len(names) + 1))
-            for k, (lane, (at, size)) in enumerate((x, y) for x in fps for y in parts(per_lane)):
-                i, anchor = codes[size].anchors((lane.view(np.uint64) >> np.uint64(at)).astype(np.int64) & ((1 << size) - 1))
+            lanes = [x.view(np.uint64) for x in fps]
+            for k, (at, size, code) in enumerate(parts):
+                i, anchor = code.anchors(word(lanes, at, size))
                 key = anchor | (k << 48)
                 for lo in range(0, len(key), 1 << 16):
                     j = i[lo : lo + (1 << 16)]
@@ -155,9 +186,44 @@ def star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[member]], nodes[member]
 
 
+#: Rows of one key from which on all pairs of blocks are compared at once, and the rows of a block.
+CROWD, BLOCK = 64, 256
+
+
+def block_pairs(lanes: np.ndarray, threshold: int):
+    """(i, j), i < j, of the rows of one key that are within the threshold, a block of rows at a time."""
+    n = lanes.shape[1]
+    kind = np.uint8 if len(lanes) < 4 else np.uint16
+    for lo in range(0, n, BLOCK):
+        far = np.zeros((min(BLOCK, n - lo), n - lo), kind)
+        for bits in lanes:
+            far += np.bitwise_count(bits[lo : lo + BLOCK, None] ^ bits[None, lo:])
+        i, j = np.divmod(np.flatnonzero(far <= threshold), n - lo)
+        kept = i < j
+        yield lo + i[kept], lo + j[kept]
+
+
 def close_pairs(key: np.ndarray, lanes: np.ndarray, rep: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning star of the links among rows of equal key; rows are sorted by key, lanes has a row a lane."""
     left, right, held = [], [], 0
+
+    def add(a, b):
+        nonlocal left, right, held
+        left.append(a)
+        right.append(b)
+        held += len(a)
+        if held > 1 << 18:
+            a, b = star(np.concatenate(left), np.concatenate(right))
+            left, right, held = [a], [b], 0
+
+    first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+    size = np.diff(first, append=len(key))
+    for lo, n in zip(first[size > CROWD].tolist(), size[size > CROWD].tolist(), strict=True):
+        own = rep[lo : lo + n]
+        for i, j in block_pairs(lanes[:, lo : lo + n], threshold):
+            add(own[i], own[j])
+    few = np.repeat(size <= CROWD, size)
+    key, lanes, rep = key[few], lanes[:, few], rep[few]
     shift, at = 1, np.arange(len(key))
     while len(at):
         at = at[at < len(key) - shift]
@@ -166,24 +232,17 @@ def close_pairs(key: np.ndarray, lanes: np.ndarray, rep: np.ndarray, threshold:
         for bits in lanes:
             far += np.bitwise_count(bits[at] ^ bits[at + shift])
         near = at[far <= threshold]
-        left.append(rep[near])
-        right.append(rep[near + shift])
-        held += len(near)
-        if held > 1 << 18:
-            a, b = star(np.concatenate(left), np.concatenate(right))
-            left, right, held = [a], [b], 0
+        add(rep[near], rep[near + shift])
         shift += 1
     if not left:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return star(np.concatenate(left), np.concatenate(right))
 
 
-def links(nodes: DataFrame, threshold: int = 4, tile: int = TILE, per_lane: int | None = None) -> DataFrame:
-    """(a, b), a < b: edges with the same components as the pairs of nodes (fp, ..., rep) that are within the threshold
-    and meet at an anchor: all pairs within the threshold unless per_lane names fewer parts than that takes."""
+def links(nodes: DataFrame, threshold: int = 4, tile: int = TILE) -> DataFrame:
+    """(a, b), a < b: edges with the same components as all pairs of nodes (fp, ..., rep) that are within the threshold."""
     names = [c for c in nodes.columns if c.startswith("fp")]
-    per_lane = per_lane or threshold // 3 + 1
-    near = covered(nodes, per_lane)
+    near = covered(nodes, threshold)
     crowded = written(near.groupBy("key").count().where(F.col("count") > tile), "crowded", narrow=True)
     n = crowded.count()
     if n:
@@ -248,14 +307,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         held, seen = new, now
 
 
-def grouped(rows: DataFrame, first, threshold: int, per_lane: int | None = None) -> DataFrame:
+def grouped(rows: DataFrame, first, threshold: int) -> DataFrame:
     """(fp, ..., first, root) of the distinct fingerprints of rows: the aggregate `first` of each and its component.
 
     Nodes are the fingerprints, numbered as they stand in a written table, so that no id has to stand for a missing one.
     """
     names = [c for c in rows.columns if c.startswith("fp")]
     nodes = written(rows.groupBy(*names).agg(first.alias("first")).withColumn("rep", F.monotonically_increasing_id()), "simhash_nodes")
-    roots = connected_components(links(nodes.select(*names, "rep"), threshold, per_lane=per_lane))
+    roots = connected_components(links(nodes.select(*names, "rep"), threshold))
     return written(nodes.join(roots, nodes.rep == roots.node, "left").select(*names, "first", F.coalesce("component", "rep").alias("root")), "simhash_members")
 
 
@@ -267,16 +326,16 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, width: int = 4, id_col:
     return rows.join(member.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def heads(docs: DataFrame, threshold: int = 25, width: int = 5, lanes: int = 2, per_lane: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def heads(docs: DataFrame, threshold: int = 25, width: int = 5, lanes: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, blob, n): of each group of linked fingerprints the row of the smallest id, then text hash, and how often it occurs.
 
     The fingerprints are of distinct shingles, so that their distance follows the Jaccard similarity J of the texts' shingle
-    sets: with equal sizes a bit differs with the chance acos(2J / (1 + J)) / pi, at J = 0.8 that is 0.15. The share of
-    pairs that meet at an anchor of one of six parts and differ by 25 bits of 128 or fewer, computed so: 0.87 at J = 0.8,
-    0.97 at 0.85, 0.997 at 0.9; 0.43 at 0.7, 0.1 at 0.6. Rows of different texts are told apart where ids are null or repeated.
+    sets: with equal sizes a bit differs with the chance acos(2J / (1 + J)) / pi, at J = 0.8 that is 0.15. All pairs that
+    differ by 25 bits of 128 or fewer are linked: the rule is the fingerprints' distance, which estimates J. Rows of
+    different texts are told apart where ids are null or repeated.
     """
     rows = written(fingerprints(docs, width, lanes, distinct=True, id_col=id_col, text_col=text_col, blob=True), "simhash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("blob").alias("head")))
-    found = written(grouped(rows, first, threshold, per_lane).groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.head"), "simhash_heads")
+    found = written(grouped(rows, first, threshold).groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.head"), "simhash_heads")
     held = rows.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("blob") == F.col("head")))
     return held.groupBy("doc_id", "blob").agg(F.count("*").alias("n"))

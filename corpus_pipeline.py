@@ -29,7 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the smallest id; of rows equal in id and text one.
 
     Near copies: 5-word shingle sets with a similarity of 0.8 or more, by the distance of SimHash fingerprints of 128
-    bits (simhash.heads gives the shares it finds). Texts without a word are copies of one another. A null id is the largest.
+    bits: all pairs that differ by 25 bits or fewer are linked. Texts without a word are copies of one another. A null id is the largest.
     """
     first = written(simhash.heads(docs), "stage_heads")
     first = first.select(F.col("doc_id").alias(f"{P}kept"), F.col("blob").alias(f"{P}head"), "n")

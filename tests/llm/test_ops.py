@@ -195,6 +195,45 @@ def test_links_find_all_pairs(spark):
         assert {i: roots.get(i, i) for i in range(len(fps))} == want
 
 
+def test_links_of_two_lanes_leave_out_no_pair(spark, monkeypatch):
+    """Pairs whose 25 differing bits lie anywhere, also over three in each of the parts there were."""
+    import random
+
+    rng, rows = random.Random(5), []
+    spread = [b for lo, size in ((0, 21), (21, 21), (42, 22), (64, 21), (85, 21), (106, 22)) for b in range(lo, lo + size, 5)]  # 4 or 5 bits of each
+    for n in range(120):
+        x = rng.getrandbits(128)
+        bits = rng.sample(spread, 25) if n < 60 else rng.sample(range(128), 25 if n % 2 else 26)
+        y = x
+        for b in bits:
+            y ^= 1 << b
+        rows += [x, y]
+    rows += [rows[0] ^ 1 << b for b in range(100)]  # a crowd about one
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    nodes = spark.createDataFrame([(signed(v & (1 << 64) - 1), signed(v >> 64), i) for i, v in enumerate(rows)], "fp long, fp1 long, rep long")
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(rows):
+        for j in range(i):
+            if (x ^ rows[j]).bit_count() <= 25:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    for tile in (simhash.TILE, 8):
+        got = {r.node: r.component for r in simhash.connected_components(simhash.links(nodes, 25, tile)).collect()}
+        assert got == {i: find(i) for i in range(len(rows)) if find(i) != i}
+    # some of these differ by three bits or more in each of six parts, where the stage once looked for two
+    six = ((0, 21), (21, 21), (42, 22), (64, 21), (85, 21), (106, 22))
+    assert any(all(((rows[2 * n] ^ rows[2 * n + 1]) >> at & (1 << size) - 1).bit_count() > 2 for at, size in six) for n in range(60))
+    prints = nodes.selectExpr("rep as doc_id", "fp", "fp1", "cast(rep as string) as blob")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a, **b: prints)
+    assert {r.doc_id for r in simhash.heads(prints).collect()} == {find(i) for i in range(len(rows))}
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 99), (99, 98), (7, 7)]
     roots = {r.node: r.component for r in simhash.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
